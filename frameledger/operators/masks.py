@@ -6,6 +6,7 @@ frame_id is never shuffled again, and no group is larger than one image.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from frameledger.constants import (
@@ -245,12 +246,60 @@ def runs_of(px: DataFrame, on: Column) -> DataFrame:
 _WIDTH = 1 << 20                # node id = y * _WIDTH + x1
 
 
-def components(px: DataFrame, on: Column, max_rounds: int = 64) -> DataFrame:
+def _label_runs(y, x1, x2) -> list[int]:
+    """First run of each run's component (union-find over one image's runs in reading order)."""
+    parent = list(range(len(y)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above = start = 0               # runs [above, start) belong to the row before the current one
+    for i in range(len(y)):
+        if i and y[i] != y[i - 1]:
+            above, start = start, i
+        j = above
+        while j < start and y[j] == y[i] - 1 and x1[j] <= x2[i] + 1:
+            if x2[j] >= x1[i] - 1:
+                a, b = find(j), find(i)
+                parent[max(a, b)] = min(a, b)
+            else:
+                above = j + 1
+            j += 1
+    return [find(i) for i in range(len(y))]
+
+
+def _component_boxes(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("frame_id", "label").agg(
+        F.sum("n").alias("area"), F.min("x1").alias("x1"), F.min("y").alias("y1"),
+        (F.max("x2") + 1).alias("x2"), (F.max("y") + 1).alias("y2"))
+
+
+def components(px: DataFrame, on: Column) -> DataFrame:
     """8-connected components: one row per component with label, area and box.
 
-    Pixels shrink to runs, then labels spread over run adjacency with pointer jumping, so the
-    number of rounds grows with the logarithm of the longest chain. Each round is cut with a
-    reliable checkpoint; the loop ends when no label changes.
+    Pixels shrink to runs in Spark; the runs of one image (at most half its pixels) are then
+    labelled together. The label is the first run of the component in reading order.
+    """
+    @F.pandas_udf("array<int>")
+    def label(y: pd.Series, x1: pd.Series, x2: pd.Series) -> pd.Series:
+        return pd.Series([_label_runs(a.tolist(), b.tolist(), c.tolist()) for a, b, c in zip(y, x1, x2)])
+
+    per_image = runs_of(px, on).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("y", "x1", "x2", "n"))).alias("runs"))
+    tagged = per_image.withColumn("root", label(C("runs.y"), C("runs.x1"), C("runs.x2")))
+    one = tagged.select("frame_id", "runs", F.explode(F.arrays_zip("runs", "root")).alias("z"))
+    first = F.element_at("runs", C("z.root") + 1)
+    return _component_boxes(one.select("frame_id", (first["y"].cast("long") * _WIDTH + first["x1"]).alias("label"), "z.runs.*"))
+
+
+def components_by_joins(px: DataFrame, on: Column, max_rounds: int = 64) -> DataFrame:
+    """Same result for images too large for one task: labels spread by joins.
+
+    Every round takes the least label of the neighbours and then jumps to that label's own label,
+    so the number of rounds grows with the logarithm of the longest chain. Each round is cut with
+    a reliable checkpoint; the loop ends when no label changes.
     """
     node = C("y").cast("long") * _WIDTH + C("x1")
     runs = cut_lineage(runs_of(px, on).withColumn("id", node))
@@ -264,19 +313,15 @@ def components(px: DataFrame, on: Column, max_rounds: int = 64) -> DataFrame:
         near = edges.join(seen, ["frame_id", "src"]).groupBy("frame_id", C("dst").alias("id")).agg(F.min("other").alias("other"))
         low = (label.join(near, ["frame_id", "id"], "left")
                .select("frame_id", "id", "label", F.least("label", F.coalesce("other", "label")).alias("low")))
-        low = cut_lineage(low)
         jump = low.select("frame_id", C("id").alias("low"), C("low").alias("far"))
-        step = low.join(jump, ["frame_id", "low"]).select("frame_id", "id", "label", F.least("low", "far").alias("next"))
-        step = cut_lineage(step)
+        step = cut_lineage(low.join(jump, ["frame_id", "low"]).select("frame_id", "id", "label", F.least("low", "far").alias("next")))
         moved = step.filter("label <> next").limit(1).count()
         label = step.select("frame_id", "id", C("next").alias("label"))
         if moved == 0:
             break
     else:
         raise RuntimeError("component labels did not settle")
-    return (runs.join(label, ["frame_id", "id"]).groupBy("frame_id", "label")
-            .agg(F.sum("n").alias("area"), F.min("x1").alias("x1"), F.min("y").alias("y1"),
-                 (F.max("x2") + 1).alias("x2"), (F.max("y") + 1).alias("y2")))
+    return _component_boxes(runs.join(label, ["frame_id", "id"]))
 
 
 def component_summary(comp: DataFrame, n_px: int) -> DataFrame:

@@ -139,6 +139,15 @@ def pairs(cell: DataFrame) -> DataFrame:
     return wide.groupBy("gt", "pred").agg(*out)
 
 
+def _class_counts(weight: str, zero: Column):
+    """Class index -> (tp, support, found) over the collected `_pairs`."""
+    def total(keep):
+        return F.aggregate(F.filter("_pairs", keep), zero, lambda acc, c: acc + c[weight])
+
+    return lambda k: F.struct(total(lambda c: (c["gt"] == k) & (c["pred"] == k)).alias("tp"),
+                              total(lambda c: c["gt"] == k).alias("support"), total(lambda c: c["pred"] == k).alias("found"))
+
+
 def block_values(cell: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:
     """One wide row: frame_* and clip_* metrics of the whole table, from one scan."""
     pair = pairs(cell)
@@ -158,21 +167,21 @@ def block_values(cell: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:
             out += [count(n).alias(f"frame_n_{label}_scored"), (whole - count(n)).alias(f"frame_n_{label}_skipped"),
                     count(f"w_{n}").alias(f"clip_n_{label}_scored"), (count("w") - count(f"w_{n}")).alias(f"clip_n_{label}_skipped")]
     good = C("gt") == C("pred")
-    for grain, v in (("frame", "n"), ("clip", "w")):
-        support = [F.coalesce(F.sum(F.when(C("gt") == k, C(v))), F.lit(0)) for k in range(n_classes)]
-        found = [F.coalesce(F.sum(F.when(C("pred") == k, C(v))), F.lit(0)) for k in range(n_classes)]
-        hit = [F.coalesce(F.sum(F.when(good & (C("gt") == k), C(v))), F.lit(0)) for k in range(n_classes)]
-        f1 = F.array(*[over(t * 2.0, a + b) for t, a, b in zip(hit, support, found)])
-        out += [over(F.sum(F.when(good, C(v)).otherwise(0)), F.sum(v)).alias(f"{grain}_cls_top1"), f1.alias(f"{grain}_f1"),
-                F.array(*support).alias(f"{grain}_support")]
     out += [over(F.sum("s_conf"), F.sum("n")).alias("mean_cls_conf"), over(F.sum("s_det"), F.sum("n")).alias("mean_det_conf"),
             over(F.sum(F.when(good, C("s_conf"))), F.sum(F.when(good, C("n")))).alias("cls_conf_correct"),
             over(F.sum(F.when(~good, C("s_conf"))), F.sum(F.when(~good, C("n")))).alias("cls_conf_incorrect"),
             F.collect_list(F.struct("gt", "pred", "n", "w")).alias("_pairs")]
     row = pair.groupBy().agg(*out)
-    for grain in ("frame", "clip"):
-        row = row.withColumn(f"{grain}_cls_macro_f1",
-                             F.aggregate(f"{grain}_f1", F.lit(0.0), lambda a, v: a + v) / n_classes)
+    axis = F.sequence(F.lit(0), F.lit(n_classes - 1))
+    for grain, v, zero in (("frame", "n", F.lit(0).cast("long")), ("clip", "w", F.lit(0.0))):
+        row = row.withColumn("_cls", F.transform(axis, _class_counts(v, zero)))
+        row = (row.withColumn(f"{grain}_support", C("_cls.support"))
+               .withColumn(f"{grain}_f1", F.transform("_cls", lambda c: F.when(
+                   c["support"] + c["found"] > 0, c["tp"] * 2.0 / (c["support"] + c["found"])).otherwise(F.lit(0.0))))
+               .withColumn(f"{grain}_cls_top1", over(F.aggregate("_cls", zero, lambda acc, c: acc + c["tp"]),
+                                                     F.aggregate("_cls", zero, lambda acc, c: acc + c["support"])))
+               .withColumn(f"{grain}_cls_macro_f1", F.aggregate(f"{grain}_f1", F.lit(0.0), lambda acc, c: acc + c) / n_classes)
+               .drop("_cls"))
     return row
 
 

@@ -70,12 +70,29 @@ def grid(df: DataFrame, w: int, h: int) -> DataFrame:
             .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1)))))
 
 
-def frame_rows(spark, sf, **extra: Column) -> DataFrame:
+_TARGET_BYTES = 128 << 20       # per task after expansion
+_ROW_BYTES = 16                 # estimate of one narrow row before it
+
+
+def placed(df: DataFrame, key: str, rows_per_row: int, row_bytes: int = 64) -> DataFrame:
+    """Hash-place rows that are about to be expanded, sized for what they expand to.
+
+    Adaptive coalescing looks at the small rows before the expansion and would pack far too many
+    into one task, so the number of partitions is set from the expanded size instead.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    expanded = size // _ROW_BYTES * rows_per_row * row_bytes
+    n = max(spark.sparkContext.defaultParallelism, expanded // _TARGET_BYTES + 1)
+    return df.repartition(int(n), key)
+
+
+def frame_rows(spark, sf, expand: int = 256, **extra: Column) -> DataFrame:
     """One row per frame placed by frame; `extra` adds per-frame columns before expansion."""
     base = table(spark, sf, "part").select(C("p_partkey").alias("frame_id"), "p_size")
     for name, col in extra.items():
         base = base.withColumn(name, col)
-    return base.repartition("frame_id")
+    return placed(base, "frame_id", expand)
 
 
 def px(spark, sf) -> DataFrame:
@@ -91,7 +108,7 @@ def px(spark, sf) -> DataFrame:
 
 def rgb(spark, sf, **extra: Column) -> DataFrame:
     f, s, x, y = C("frame_id"), C("p_size"), C("x"), C("y")
-    return grid(frame_rows(spark, sf, **extra), 8, 8).select(
+    return grid(frame_rows(spark, sf, 64, **extra), 8, 8).select(
         "frame_id", (f % 10).cast("int").alias("scene"), "y", "x",
         ((x * 16 + f) % 256).cast("int").alias("r"), ((y * 16 + s * 3) % 256).cast("int").alias("g"),
         ((x * y + f * 5) % 256).cast("int").alias("b"), *extra)
@@ -103,7 +120,7 @@ def heat(spark, sf) -> DataFrame:
     def bump(cx, cy):
         return F.exp(-((x - cx) * (x - cx) + (y - cy) * (y - cy)) / 4.0)
 
-    return grid(frame_rows(spark, sf), 12, 9).select(
+    return grid(frame_rows(spark, sf, 108), 12, 9).select(
         "frame_id", "p_size", "y", "x",
         F.round(bump(f % 12, s % 9) + F.lit(0.5) * bump(s % 12, f % 9), 9).alias("heat"))
 
@@ -150,7 +167,7 @@ def clipframes(spark, sf) -> DataFrame:
 
 
 def cands(spark, sf) -> DataFrame:
-    return (frame_rows(spark, sf).withColumn("rk", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return (frame_rows(spark, sf, 7).withColumn("rk", F.explode(F.sequence(F.lit(0), F.lit(6))))
             .withColumn("frac", ((C("frame_id") * 31 + C("rk") * 17) % 200).cast("double") / 1000))
 
 
@@ -205,7 +222,7 @@ def layers(spark, sf) -> DataFrame:
 def knots(spark, sf) -> DataFrame:
     """Five perturbed tone knots per frame."""
     kx = C("k") / 4.0
-    return (frame_rows(spark, sf).select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    return (frame_rows(spark, sf, 5).select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
             .select("frame_id", "k", kx.alias("kx"),
                     clip(kx + (F.lit(-0.1) + F.lit(0.2) * uniform("tone", C("frame_id"), C("k"))), 0.0, 1.0).alias("ky")))
 
