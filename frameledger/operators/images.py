@@ -424,27 +424,27 @@ def equalise_table(px: DataFrame, values: tuple = RGB, keys: tuple = ("frame_id"
                     .otherwise(C("level")).cast("int").alias("out"))
 
 
-def equalise(px: DataFrame, keys: tuple = ("frame_id",)) -> DataFrame:
-    t = equalise_table(px, RGB, keys)
-    out = px
-    for c in RGB:
-        part = t.filter(C("channel") == c).select(*keys, C("level").alias(c), C("out").alias(f"_e{c}"))
-        out = out.join(part, [*keys, c])
-    return out.withColumns({c: C(f"_e{c}") for c in RGB}).drop(*[f"_e{c}" for c in RGB])
-
-
 def level_chain(px: DataFrame, keys: tuple, choice: str, bits: Column, threshold: Column) -> DataFrame:
-    """One op per image chosen by `choice`: 0 autocontrast, 1 equalise, 2 posterise, 3 solarise, else none."""
+    """One op per image chosen by `choice`: 0 autocontrast, 1 equalise, 2 posterise, 3 solarise, else none.
+
+    Equalisation needs the number of pixels below a level, which is the pixel's rank in its image.
+    """
     w = W.partitionBy(*keys)
-    t = equalise_table(px.filter(C(choice) == 1), RGB, keys)
-    out = px.withColumns({**{f"_lo{c}": F.min(c).over(w) for c in RGB}, **{f"_hi{c}": F.max(c).over(w) for c in RGB}})
+    out = px.withColumns({**{f"_lo{c}": F.min(c).over(w) for c in RGB}, **{f"_hi{c}": F.max(c).over(w) for c in RGB},
+                          "_n": F.count(F.lit(1)).over(w)})
+    out = out.withColumns({f"_top{c}": F.count_if(C(c) == C(f"_hi{c}")).over(w) for c in RGB})
     for c in RGB:
-        part = t.filter(C("channel") == c).select(*keys, C("level").alias(c), C("out").alias(f"_e{c}"))
-        out = out.join(part, [*keys, c], "left")
-    values = {c: F.when(C(choice) == 0, autocontrast(C(c), C(f"_lo{c}"), C(f"_hi{c}"))).when(C(choice) == 1, C(f"_e{c}"))
+        out = out.withColumn(f"_below{c}", F.rank().over(w.orderBy(c)) - 1)
+
+    def equalised(c):
+        step = F.floor((C("_n") - C(f"_top{c}")) / 255)
+        level = F.floor((F.floor(step / 2) + C(f"_below{c}")) / step)
+        return F.when((C(f"_hi{c}") > C(f"_lo{c}")) & (step > 0), F.least(level, F.lit(255))).otherwise(C(c))
+
+    values = {c: F.when(C(choice) == 0, autocontrast(C(c), C(f"_lo{c}"), C(f"_hi{c}"))).when(C(choice) == 1, equalised(c))
               .when(C(choice) == 2, posterise(C(c), bits)).when(C(choice) == 3, solarise(C(c), threshold)).otherwise(C(c)).cast("int")
               for c in RGB}
-    return out.withColumns(values).drop(*[f"{p}{c}" for p in ("_lo", "_hi", "_e") for c in RGB])
+    return out.withColumns(values).drop("_n", *[f"{p}{c}" for p in ("_lo", "_hi", "_top", "_below") for c in RGB])
 
 
 def chain_mix(px: DataFrame, seed, width: int = 3, severity: int = 3, strength: float = 1.0) -> DataFrame:
