@@ -261,14 +261,14 @@ def gaussian_blur(px: DataFrame, w: int, h: int, sigma: Column, radius: int, suf
 
         def at(p):
             def total(name):
-                offsets = F.sequence(-C("_h"), C("_h"))
-                num = F.aggregate(offsets, F.lit(0.0), lambda acc, d: acc + F.exp(-(d * d) / (C("_s") * C("_s") * 2.0))
-                                  * F.element_at("_vec", _reflect(p + d, size).cast("int") + 1)[name])
-                return num / C("_norm")
+                return F.aggregate(F.sequence(F.lit(0), C("_h") * 2), F.lit(0.0), lambda acc, i: acc + F.element_at("_k", i + 1)
+                                   * F.element_at("_vec", _reflect(p + i - C("_h"), size).cast("int") + 1)[name])
             return F.struct(p.alias(along), *[total(n).alias(n) for n in names])
 
-        norm = F.aggregate(F.sequence(-C("_h"), C("_h")), F.lit(0.0), lambda acc, d: acc + F.exp(-(d * d) / (C("_s") * C("_s") * 2.0)))
-        done = rows.withColumn("_norm", norm).select(
+        # The kernel is made once per line.
+        kernel = F.transform(F.sequence(-C("_h"), C("_h")), lambda d: F.exp(-(d * d) / (C("_s") * C("_s") * 2.0)))
+        unit = F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda acc, q: acc + q))
+        done = rows.withColumn("_e", kernel).withColumn("_k", unit).select(
             "frame_id", line, "_s", "_h", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)).alias("_p"))
         return done.select("frame_id", line, "_s", "_h", "_p.*")
 
@@ -424,49 +424,48 @@ def equalise_table(px: DataFrame, values: tuple = RGB, keys: tuple = ("frame_id"
                     .otherwise(C("level")).cast("int").alias("out"))
 
 
-def level_chain(px: DataFrame, keys: tuple, choice: str, bits: Column, threshold: Column) -> DataFrame:
-    """One op per image chosen by `choice`: 0 autocontrast, 1 equalise, 2 posterise, 3 solarise, else none.
+def level_histogram(px: DataFrame) -> DataFrame:
+    """(frame_id, channel, level, n): at most 256 rows per image and channel."""
+    long = px.select("frame_id", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), C(c).alias("level")) for c in RGB])).alias("u"))
+    return long.groupBy("frame_id", "u.channel", "u.level").agg(F.count(F.lit(1)).alias("n"))
 
-    Equalisation needs the number of pixels below a level, which is the pixel's rank in its image.
-    """
-    w = W.partitionBy(*keys)
-    out = px.withColumns({**{f"_lo{c}": F.min(c).over(w) for c in RGB}, **{f"_hi{c}": F.max(c).over(w) for c in RGB},
-                          "_n": F.count(F.lit(1)).over(w)})
-    out = out.withColumns({f"_top{c}": F.count_if(C(c) == C(f"_hi{c}")).over(w) for c in RGB})
-    for c in RGB:
-        out = out.withColumn(f"_below{c}", F.rank().over(w.orderBy(c)) - 1)
 
-    def equalised(c):
-        step = F.floor((C("_n") - C(f"_top{c}")) / 255)
-        level = F.floor((F.floor(step / 2) + C(f"_below{c}")) / step)
-        return F.when((C(f"_hi{c}") > C(f"_lo{c}")) & (step > 0), F.least(level, F.lit(255))).otherwise(C(c))
-
-    values = {c: F.when(C(choice) == 0, autocontrast(C(c), C(f"_lo{c}"), C(f"_hi{c}"))).when(C(choice) == 1, equalised(c))
-              .when(C(choice) == 2, posterise(C(c), bits)).when(C(choice) == 3, solarise(C(c), threshold)).otherwise(C(c)).cast("int")
-              for c in RGB}
-    return out.withColumns(values).drop("_n", *[f"{p}{c}" for p in ("_lo", "_hi", "_top", "_below") for c in RGB])
+def level_step(table: DataFrame, keys: tuple, choice: Column, bits: Column, threshold: Column) -> DataFrame:
+    """Apply one op to the `value` of histogram rows (weight n): 0 autocontrast, 1 equalise,
+    2 posterise, 3 solarise, anything else none."""
+    w = W.partitionBy(*keys)
+    lower = w.orderBy("value").rangeBetween(W.unboundedPreceding, -1)
+    t = table.withColumns({"_op": choice, "_lo": F.min("value").over(w), "_hi": F.max("value").over(w), "_n": F.sum("n").over(w),
+                           "_below": F.coalesce(F.sum("n").over(lower), F.lit(0))})
+    t = t.withColumn("_top", F.sum(F.when(C("value") == C("_hi"), C("n")).otherwise(0)).over(w))
+    v, step = C("value"), F.floor((C("_n") - C("_top")) / 255)
+    equal = F.when((C("_hi") > C("_lo")) & (step > 0), F.least(F.floor((F.floor(step / 2) + C("_below")) / step), F.lit(255))).otherwise(v)
+    new = (F.when(C("_op") == 0, autocontrast(v, C("_lo"), C("_hi"))).when(C("_op") == 1, equal)
+           .when(C("_op") == 2, posterise(v, bits)).when(C("_op") == 3, solarise(v, threshold)).otherwise(v))
+    return t.withColumn("value", new.cast("int")).drop("_op", "_lo", "_hi", "_n", "_below", "_top")
 
 
 def chain_mix(px: DataFrame, seed, width: int = 3, severity: int = 3, strength: float = 1.0) -> DataFrame:
     """Weighted mix of `width` chains of one to three label-safe ops, blended with the image.
 
-    Weights are normalised exponentials (sum to one); the blend factor is uniform. Branches are
-    rows, so all chains of an image run together.
+    Weights are normalised exponentials (sum to one); the blend factor is uniform. Every op maps
+    levels to levels, so the chains run on histograms and the pixels meet only the final tables.
     """
     key = (C("frame_id"), C("branch"))
-    b = px.select("frame_id", "y", "x", *RGB).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    b = b.withColumn("depth", F.floor(uniform(f"{seed}-depth", *key) * 3).cast("int") + 1)
+    t = level_histogram(px).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("value", C("level"))
+    depth = F.floor(uniform(f"{seed}-depth", *key) * 3) + 1
     for step in range(3):
         lvl = uniform_between(0.1, float(severity), f"{seed}-level{step}", *key)
-        pick = F.when(C("depth") > step, F.floor(uniform(f"{seed}-op{step}", *key) * 4).cast("int")).otherwise(-1)
-        b = b.withColumns({"_op": pick, "_bits": F.lit(4) - F.floor(lvl * 0.4).cast("int"), "_thr": F.lit(256) - F.floor(lvl * 25.6).cast("int")})
-        b = level_chain(b, ("frame_id", "branch"), "_op", C("_bits"), C("_thr"))
+        choice = F.when(depth > step, F.floor(uniform(f"{seed}-op{step}", *key) * 4).cast("int")).otherwise(-1)
+        t = level_step(t, ("frame_id", "branch", "channel"), choice, F.lit(4) - F.floor(lvl * 0.4).cast("int"),
+                       F.lit(256) - F.floor(lvl * 25.6).cast("int"))
     raw = -F.log(F.greatest(uniform(f"{seed}-weight", *key), F.lit(1e-12)))
-    mixed = b.withColumn("_w", raw).groupBy("frame_id", "y", "x").agg(
-        *[(F.sum(C(c) / 255.0 * C("_w")) / F.sum("_w")).alias(f"_m{c}") for c in RGB])
-    m = uniform(f"{seed}-blend", C("frame_id")) * float(strength)
-    j = px.join(mixed, ["frame_id", "y", "x"]).withColumn("_b", m)
-    return j.withColumns({c: (F.lit(1.0) - C("_b")) * C(c) / 255.0 + C("_b") * C(f"_m{c}") for c in RGB}).drop("_b", *[f"_m{c}" for c in RGB])
+    mixed = t.withColumn("_w", raw).groupBy("frame_id", "channel", "level").agg((F.sum(C("value") * C("_w")) / F.sum("_w") / 255.0).alias("mix"))
+    out = px.withColumn("_b", uniform(f"{seed}-blend", C("frame_id")) * float(strength))
+    for c in RGB:
+        part = mixed.filter(C("channel") == c).select("frame_id", C("level").alias(c), C("mix").alias(f"_m{c}"))
+        out = out.join(part, ["frame_id", c])
+    return out.withColumns({c: (F.lit(1.0) - C("_b")) * C(c) / 255.0 + C("_b") * C(f"_m{c}") for c in RGB}).drop("_b", *[f"_m{c}" for c in RGB])
 
 
 def neighbours(px: DataFrame, w: int, h: int, radius: int) -> DataFrame:

@@ -69,16 +69,16 @@ def head_and_tail(frames: DataFrame, share: float = 0.10) -> DataFrame:
 
 
 def stratified_examples(rows: DataFrame, n: int, order: list[str], cls: str = "gt") -> DataFrame:
-    """n // 4 failures first, then correct or not up to n // 10 per class, in `order`.
+    """The first n // 4 failures, then others until a class holds n // 10 rows, in `order`.
 
-    Top rows per class are found without sorting a class: the cap is small, so each partition
-    keeps only its own first rows before the shuffle.
+    The rank filter is a constant, so Spark trims each class inside every partition before the
+    shuffle and no class is sorted whole.
     """
     per_class, budget = max(1, n // 10), max(1, n // 4)
     wrong = rows.filter(C("gt") != C("pred")).orderBy(*order).limit(budget).withColumn("kind", F.lit("failure"))
-    local = W.partitionBy(F.spark_partition_id(), cls).orderBy(*order)
-    mine = rows.withColumn("_r", F.row_number().over(local)).filter(C("_r") <= per_class + budget).drop("_r")
-    rest = mine.join(wrong.select(*order), order, "left_anti")
-    ranked = rest.withColumn("_r", F.row_number().over(W.partitionBy(cls).orderBy(*order)))
-    fill = ranked.filter(C("_r") <= per_class).drop("_r").withColumn("kind", F.lit("fill"))
+    rest = rows.join(wrong.select(*order), order, "left_anti")
+    first = rest.withColumn("_r", F.row_number().over(W.partitionBy(cls).orderBy(*order))).filter(C("_r") <= per_class)
+    taken = wrong.groupBy(cls).agg(F.count(F.lit(1)).alias("_t"))
+    fill = (first.join(taken, cls, "left").filter(C("_r") <= per_class - F.coalesce("_t", F.lit(0)))
+            .drop("_r", "_t").withColumn("kind", F.lit("fill")))
     return wrong.unionByName(fill)

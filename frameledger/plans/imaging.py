@@ -207,13 +207,13 @@ def _blur_sql(src, sigma, half, w, h, mark="q"):
         at = f"CASE WHEN {m}<{size} THEN {m} ELSE {2 * (size - 1)}-{m} END"
         k = f"exp(-(d*d)/(2e0*({sigma})*({sigma})))"
         vals = ", ".join(f"sum({k}*s.{c})/sum({k}) AS {c}" for c in RGB)
-        return f"(SELECT a.frame_id, a.y, a.x, {vals} FROM {src} a JOIN range(-4,5) t(d) ON abs(d)<={half} JOIN {src} s ON s.frame_id=a.frame_id AND s.{other}=a.{other} AND s.{axis}={at} GROUP BY 1,2,3)".replace("frame_id%", "a.frame_id%")
+        return f"(SELECT a.frame_id, a.y, a.x, {vals} FROM {src} a JOIN range(-4,5) t(d) ON abs(d)<={half} JOIN {src} s ON s.frame_id=a.frame_id AND s.{other}=a.{other} AND s.{axis}={at} GROUP BY 1,2,3)".replace("@f", "a.frame_id")
     return one(one(src, "x", w), "y", h)
 
 
 _BASE = "(SELECT frame_id, y, x, r/255e0 AS r, g/255e0 AS g, b/255e0 AS b FROM rgb)"
-_SIGMA = "(0.4e0+(frame_id%10)/8e0)"
-_HALF = "greatest(1,least(CAST(floor(2.5e0*(0.4e0+(frame_id%10)/8e0)) AS INT),4))"
+_SIGMA = "(0.4e0+(@f%10)/8e0)"
+_HALF = "greatest(1,least(CAST(floor(2.5e0*(0.4e0+(@f%10)/8e0)) AS INT),4))"
 
 
 @query("I10", f"""
