@@ -17,9 +17,13 @@ C = F.col
 
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Stream over a Parquet file or folder with the schema it already has."""
+    """Stream over a Parquet file or folder with the schema it already has.
+
+    The path is passed as a pattern, because a streaming source takes a single file only that way.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
 def drain(stream: DataFrame, mode: str, label: str, checkpoint: str | None = None, sink: str | None = None) -> DataFrame:
