@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from frameledger.functions.numeric import hash_long
 from frameledger.operators.ranking import hashed_row_number
+from frameledger.sources.durable import cut_lineage
 
 C = F.col
 _BUCKETS = 1024
@@ -52,7 +53,7 @@ def clip_intervals(records: DataFrame, clip: str, metrics: dict, n_boot: int = 1
     The clips drawn from are those in `records`: for a metric known only on annotated frames, pass
     the annotated frames, so that clips without any are neither drawn nor counted.
     """
-    sums = clip_sums(records, clip, metrics)
+    sums = cut_lineage(clip_sums(records, clip, metrics))      # the only pass over the records
     indexed = (hashed_row_number(sums, F.md5(C(clip).cast("string")), [clip], "pos")
                .withColumn("pos", C("pos") - 1))
     size = sums.groupBy().agg(F.count(F.lit(1)).alias("k")).withColumn("_one", F.lit(1))
@@ -75,7 +76,7 @@ def split_intervals(records: DataFrame, clip: str, metrics: dict, n_boot: int =
     ones inside each bucket. Each bucket is one task's group (clips / buckets rows); it emits n_boot
     partial sums, so the shuffle carries clips once plus buckets x n_boot rows.
     """
-    sums = clip_sums(records, clip, metrics)
+    sums = cut_lineage(clip_sums(records, clip, metrics))      # the only pass over the records
     cols = [f"{p}_{m}" for m in metrics for p in ("s", "n")]
     tagged = sums.withColumn("bucket", F.pmod(F.xxhash64(clip), F.lit(buckets)).cast("int"))
     # At most `buckets` rows reach the driver, whatever the data size.

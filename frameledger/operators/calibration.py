@@ -28,9 +28,10 @@ def reliability(records: DataFrame, n_bins: int = CALIBRATION_BINS) -> DataFrame
     got = (records.groupBy(bin_index(C("conf"), n_bins).alias("bin"))
            .agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("conf"),
                 F.avg(flag(C("gt") == C("pred"))).alias("acc")))
-    total = got.groupBy().agg(F.sum("n").alias("_rows"))       # counts every row, binned or not
+    # Windows over at most n_bins + 1 rows; the total counts every row, binned or not.
+    got = got.withColumn("_rows", F.sum("n").over(W.partitionBy()))
     bins = records.sparkSession.range(n_bins).select(C("id").cast("int").alias("bin"))
-    joined = bins.join(got, "bin", "left").withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
+    joined = bins.join(got, "bin", "left").withColumn("_rows", F.max("_rows").over(W.partitionBy()))
     n = F.coalesce("n", F.lit(0))
     return joined.select(
         "bin", (C("bin") * (1.0 / n_bins)).alias("lo"), ((C("bin") + 1) * (1.0 / n_bins)).alias("hi"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from frameledger.constants import CLIP_NAME_PATTERN, FRAME_PATTERN, GESTURES, SCENE_NAME_PATTERN
-from frameledger.operators.ranking import hashed_row_number
+from frameledger.operators.ranking import broadcast_if_small, hashed_row_number
+from frameledger.sources.durable import cut_lineage
 
 C = F.col
 _LIMBS, _LIMB_HEX = 5, 6
@@ -73,12 +74,13 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def unfinished(frames: DataFrame, done: DataFrame, keys: list[str], need: int) -> DataFrame:
     """Drop groups that already have `need` finished rows (resume)."""
     ready = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(C("_n") >= need)
-    return frames.join(ready, keys, "left_anti")
+    return frames.join(broadcast_if_small(ready), keys, "left_anti")
 
 
 def first_contributors(frames: DataFrame, n: int, subject: str = "subject") -> DataFrame:
     """Rows of the first n contributors by name (a top-n of the distinct names)."""
-    return frames.join(frames.select(subject).distinct().orderBy(subject).limit(n), subject, "left_semi")
+    names = frames.select(subject).distinct().orderBy(subject).limit(n)
+    return frames.join(F.broadcast(names), subject, "left_semi")       # n rows
 
 
 # -- duplicates -----------------------------------------------------------------------------------
@@ -90,6 +92,7 @@ def set_signature(df: DataFrame, keys: list[str], item: Column) -> DataFrame:
     never collected or sorted.
     """
     d = F.md5(item)
+    # 24-bit limbs: sums stay exact for more than 10**11 items.
     limbs = [F.sum(F.conv(F.substring(d, 1 + i * _LIMB_HEX, _LIMB_HEX), 16, 10).cast("long")).alias(f"_l{i}") for i in range(_LIMBS)]
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), *limbs)
     text = F.concat_ws("|", C("n_files").cast("string"), *[C(f"_l{i}").cast("string") for i in range(_LIMBS)])
@@ -128,7 +131,7 @@ def holdout_splits(frames: DataFrame, holdout: int, seed, subject: str = "subjec
 
     Whole contributors only, so near-copies of a clip never sit on both sides.
     """
-    subjects = frames.select(subject).distinct()
+    subjects = cut_lineage(frames.select(subject).distinct())       # read three times below
     if holdout <= 0:
         return subjects.withColumn("split", F.lit("train"))
     if holdout >= subjects.limit(holdout + 1).count():
@@ -140,7 +143,7 @@ def holdout_splits(frames: DataFrame, holdout: int, seed, subject: str = "subjec
 
 def strict_split(frames: DataFrame, splits: DataFrame, split: str) -> DataFrame:
     """Rows of one split; unknown contributors are excluded, an empty result is an error."""
-    out = frames.join(splits, "subject").filter(C("split") == split)
+    out = frames.join(broadcast_if_small(splits), "subject").filter(C("split") == split)
     if out.limit(1).count() == 0:
         have = [r[0] for r in splits.select("split").distinct().orderBy("split").limit(20).collect()]
         raise ValueError(f"split {split!r} is empty; the index holds {have}")
@@ -149,13 +152,13 @@ def strict_split(frames: DataFrame, splits: DataFrame, split: str) -> DataFrame:
 
 def lenient_split(frames: DataFrame, splits: DataFrame, split: str) -> DataFrame:
     """Rows of one split; unknown contributors count as train."""
-    return frames.join(splits, "subject", "left").withColumn("split", F.coalesce("split", F.lit("train"))).filter(C("split") == split)
+    return frames.join(broadcast_if_small(splits), "subject", "left").withColumn("split", F.coalesce("split", F.lit("train"))).filter(C("split") == split)
 
 
 def dispatch_splits(wanted: dict[str, DataFrame | None], splits: dict[str, DataFrame]) -> DataFrame:
     """All splits a configuration supports, in one table; missing or empty ones are skipped."""
-    parts = [strict_or_none for name, df in wanted.items() if df is not None
-             for strict_or_none in [df.join(splits[name], "subject").filter(C("split") == name)]]
+    parts = [df.join(broadcast_if_small(splits[name]), "subject").filter(C("split") == name)
+             for name, df in wanted.items() if df is not None]
     if not parts:
         raise ValueError("no split could be built")
     out = parts[0]
@@ -176,11 +179,10 @@ def random_cap(df: DataFrame, n: int, seed, key: str) -> DataFrame:
 def batches(df: DataFrame, size: int, seed, key: str, drop_last: bool) -> DataFrame:
     """Shuffled batch number per row; the last short batch is dropped for training."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), C(key).cast("string")))
-    numbered = hashed_row_number(df, digest, [key], "_rn").withColumn("batch", F.floor((C("_rn") - 1) / size)).drop("_rn")
-    if not drop_last:
-        return numbered
-    full = numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("_n")).filter(C("_n") == size)
-    return numbered.join(full.select("batch"), "batch", "left_semi")
+    numbered = hashed_row_number(df, digest, [key], "_rn", "_total").withColumn("batch", F.floor((C("_rn") - 1) / size))
+    if drop_last:
+        numbered = numbered.filter(C("batch") < F.floor(C("_total") / size))
+    return numbered.drop("_rn", "_total")
 
 
 # -- corrections and configuration -----------------------------------------------------------------

@@ -248,35 +248,38 @@ def _reflect(i: Column, n: int) -> Column:
 
 
 def gaussian_blur(px: DataFrame, w: int, h: int, sigma: Column, radius: int, suffix: str = "_blur") -> DataFrame:
-    """Separable Gaussian; mirrored borders. Each image line is one small array.
+    """Separable Gaussian as extra columns; mirrored borders, NULL where sigma is NULL.
 
-    The kernel half-width is int(2.5 * sigma), at least 1 and at most `radius`.
+    Each image line is one small array that carries every column of its pixels, so nothing is
+    joined back. The kernel half-width is int(2.5 * sigma), at least 1 and at most `radius`.
     """
     half = F.greatest(F.lit(1), F.least(F.floor(sigma * 2.5).cast("int"), F.lit(radius)))
 
-    def pass_over(df, line, along, size, names):
-        vec = F.array_sort(F.collect_list(F.struct(C(along).alias("p"), *[C(n) for n in names])))
-        # The line's own constants ride along as aggregates of equal values.
-        rows = df.groupBy("frame_id", line).agg(vec.alias("_vec"), F.first("_s").alias("_s"), F.first("_h").alias("_h"))
+    def pass_over(df, line, along, size, names, outs):
+        carried = [c for c in df.columns if c not in ("frame_id", line, along)]
+        rows = df.groupBy("frame_id", line).agg(F.array_sort(F.collect_list(F.struct(along, *carried))).alias("_vec"))
 
         def at(p):
             def total(name):
-                return F.aggregate(F.sequence(F.lit(0), C("_h") * 2), F.lit(0.0), lambda acc, i: acc + F.element_at("_k", i + 1)
+                return F.aggregate(F.sequence(F.lit(0), C("_h2")), F.lit(0.0), lambda acc, i: acc + F.element_at("_k", i + 1)
                                    * F.element_at("_vec", _reflect(p + i - C("_h"), size).cast("int") + 1)[name])
-            return F.struct(p.alias(along), *[total(n).alias(n) for n in names])
+            own = F.element_at("_vec", p + 1)
+            return F.struct(own[along].alias(along), *[own[c].alias(c) for c in carried],
+                            *[total(n).alias(o) for n, o in zip(names, outs)])
 
-        # The kernel is made once per line.
+        # The kernel is made once per line from the line's own (equal) parameters.
+        first = F.element_at("_vec", 1)
+        rows = rows.withColumns({"_s": first["_sg"], "_h": first["_hf"], "_h2": first["_hf"] * 2})
         kernel = F.transform(F.sequence(-C("_h"), C("_h")), lambda d: F.exp(-(d * d) / (C("_s") * C("_s") * 2.0)))
         unit = F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda acc, q: acc + q))
         done = rows.withColumn("_e", kernel).withColumn("_k", unit).select(
-            "frame_id", line, "_s", "_h", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)).alias("_p"))
-        return done.select("frame_id", line, "_s", "_h", "_p.*")
+            "frame_id", line, F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)).alias("_p"))
+        return done.select("frame_id", line, "_p.*")
 
-    src = px.select("frame_id", "y", "x", *[C(c).cast("double").alias(c) for c in RGB], sigma.alias("_s"), half.alias("_h"))
-    src = src.filter(C("_s").isNotNull())
-    out = pass_over(pass_over(src, "y", "x", w, RGB), "x", "y", h, RGB)
-    soft = out.select("frame_id", "y", "x", *[C(c).alias(f"{c}{suffix}") for c in RGB])
-    return px.join(soft, ["frame_id", "y", "x"], "left")
+    src = px.withColumns({"_sg": sigma, "_hf": half, **{c: C(c).cast("double") for c in RGB}})
+    across = pass_over(src, "y", "x", w, RGB, [f"_t{c}" for c in RGB])
+    both = pass_over(across, "x", "y", h, [f"_t{c}" for c in RGB], [f"{c}{suffix}" for c in RGB])
+    return both.drop("_sg", "_hf", *[f"_t{c}" for c in RGB])
 
 
 def blur_or_sharpen(px: DataFrame, w: int, h: int, radius: int = 4) -> DataFrame:
@@ -360,20 +363,15 @@ def choose_crop(frames: DataFrame, px: DataFrame, on: Column, seed, w: int, h: i
     """
     prop = crop_proposals(frames.select("frame_id"), seed, w, h)
     fg = px.filter(on).select("frame_id", "y", "x")
-    total = fg.groupBy("frame_id").agg(F.count(F.lit(1)).alias("fg"))
     inside = (C("x") >= C("x0")) & (C("x") < C("x0") + C("cw")) & (C("y") >= C("y0")) & (C("y") < C("y0") + C("ch"))
-    seen = (prop.join(fg, "frame_id").groupBy("frame_id", "attempt", "cw", "ch", "x0", "y0")
-            .agg(F.count_if(inside).alias("vis")).join(total, "frame_id")
-            .filter(C("vis") >= F.greatest(F.lit(1), F.ceil(C("fg") * min_visible))))
-    pick = seen.groupBy("frame_id").agg(F.min(F.struct("attempt", "cw", "ch", "x0", "y0", "vis", "fg")).alias("p"))
-    empty = prop.join(total, "frame_id", "left_anti").groupBy("frame_id").agg(F.min(F.struct("attempt", "cw", "ch", "x0", "y0")).alias("e"))
-    j = frames.join(pick, "frame_id", "left").join(empty, "frame_id", "left").join(total.select("frame_id", C("fg").alias("_fg")), "frame_id", "left")
-
-    def value(name, whole):
-        return F.coalesce(C(f"p.{name}"), C(f"e.{name}"), F.lit(whole)).alias(name)
-
-    share = F.when(C("_fg").isNull(), F.lit(None).cast("double")).otherwise(F.coalesce(C("p.vis") / C("p.fg"), F.lit(1.0)))
-    return j.select(*frames.columns, value("cw", w), value("ch", h), value("x0", 0), value("y0", 0), share.alias("visible"))
+    seen = (prop.join(fg, "frame_id", "left").groupBy("frame_id", "attempt", "cw", "ch", "x0", "y0")
+            .agg(F.count_if(inside).alias("vis"), F.count("x").alias("fg")))
+    valid = (C("fg") == 0) | (C("vis") >= F.greatest(F.lit(1), F.ceil(C("fg") * min_visible)))
+    pick = seen.groupBy("frame_id").agg(F.min(F.when(valid, F.struct("attempt", "cw", "ch", "x0", "y0", "vis"))).alias("p"), F.max("fg").alias("_fg"))
+    j = frames.join(pick, "frame_id", "left")
+    share = F.when(C("_fg") > 0, F.coalesce(C("p.vis") / C("_fg"), F.lit(1.0)))
+    return j.select(*frames.columns, *[F.coalesce(C(f"p.{n}"), F.lit(d)).alias(n) for n, d in (("cw", w), ("ch", h), ("x0", 0), ("y0", 0))],
+                    share.alias("visible"))
 
 
 def crop(px: DataFrame, x0: Column, y0: Column, cw: Column, ch: Column) -> DataFrame:
@@ -481,17 +479,18 @@ def random_convolution(px: DataFrame, seed, w: int, h: int, strength: float = 1.
     """Random 1x1 or 3x3 convolution, first two moments matched to the input, then blended."""
     unit = to_unit(px).select("frame_id", "y", "x", *RGB)
     k3 = uniform(f"{seed}-k", C("frame_id")) >= 0.5
-    near = neighbours(unit, w, h, 1).withColumn("_k3", k3)
-    near = near.filter(C("_k3") | ((C("dy") == 0) & (C("dx") == 0)))
-    sd = F.when(C("_k3"), F.lit(math.sqrt(2.0 / 27))).otherwise(F.lit(math.sqrt(2.0 / 3)))
+    sd = F.when(k3, F.lit(math.sqrt(2.0 / 27))).otherwise(F.lit(math.sqrt(2.0 / 3)))
+    off = F.sequence(F.lit(-1), F.lit(1))
 
     def weight(o, i):
-        return normal(f"{seed}-w{o}{i}", C("frame_id"), C("dy"), C("dx"))
-
-    # One weight table per frame and offset, joined inside the frame: hashes are drawn once.
-    wt = (near.select("frame_id", "dy", "dx", "_k3").distinct()
-          .select("frame_id", "dy", "dx", *[(weight(o, i) * sd).alias(f"w{o}{i}") for o in range(3) for i in range(3)]))
-    conv = (near.drop("_k3").join(wt, ["frame_id", "dy", "dx"]).groupBy("frame_id", "y", "x")
+        return normal(f"{seed}-w{o}{i}", C("frame_id"), C("dy"), C("dx")) * sd
+
+    # One weight row per frame and offset, so hashes are drawn once; a 1x1 kernel has one offset.
+    wt = (px.select("frame_id").distinct().withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off))
+          .filter(k3 | ((C("dy") == 0) & (C("dx") == 0)))
+          .select("frame_id", "dy", "dx", *[weight(o, i).alias(f"w{o}{i}") for o in range(3) for i in range(3)]))
+    near = neighbours(unit, w, h, 1)
+    conv = (near.join(wt, ["frame_id", "dy", "dx"]).groupBy("frame_id", "y", "x")
             .agg(*[F.sum(sum(C(c) * C(f"w{o}{i}") for i, c in enumerate(RGB))).alias(f"y{o}") for o in range(3)]))
     j = unit.join(conv, ["frame_id", "y", "x"])
     fw = W.partitionBy("frame_id")

@@ -44,7 +44,7 @@ def standardised(long: DataFrame, pos: str = "pos", v: str = "v") -> DataFrame:
     a window per dimension would sort the whole data set into a few tasks.
     """
     st = long.groupBy(pos).agg(F.avg(v).alias("_mu"), (F.stddev_pop(v) + F.lit(1e-6)).alias("_sd"))
-    return long.join(st, pos).withColumn(v, (C(v) - C("_mu")) / C("_sd")).drop("_mu", "_sd")
+    return long.join(F.broadcast(st), pos).withColumn(v, (C(v) - C("_mu")) / C("_sd")).drop("_mu", "_sd")
 
 
 def gradient(vectors: DataFrame, features: str, label: str, n_classes: int) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-_BUCKET_DIGITS = 3              # 16**3 = 4096 hash buckets
+C = F.col
+_BUCKET_DIGITS = 4              # 16**4 = 65536 hash buckets
 
 
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order_by: list,
@@ -28,11 +29,42 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order_by
             .drop("_bucket", "_offset", "_local"))
 
 
-def hashed_row_number(df: DataFrame, digest: Column, ties: list, out: str = "rn") -> DataFrame:
-    """Row number of the whole table in digest order (a seeded shuffle), in 4096 buckets."""
+def hashed_row_number(df: DataFrame, digest: Column, ties: list, out: str = "rn", total: str | None = None) -> DataFrame:
+    """Row number of the whole table in digest order (a seeded shuffle), in 65536 buckets."""
     rows = df.withColumn("_digest", digest)
     bucket = F.conv(F.substring("_digest", 1, _BUCKET_DIGITS), 16, 10).cast("int")
-    return bucketed_row_number(rows, [], bucket, ["_digest", *ties], out).drop("_digest")
+    return bucketed_row_number(rows, [], bucket, ["_digest", *ties], out, total).drop("_digest")
+
+
+def ordered_row_number(df: DataFrame, order: str, out: str = "rn", buckets: int = 4096) -> DataFrame:
+    """Row number of the whole table by one unique numeric column, in equal-width buckets.
+
+    Two numbers (least and greatest value) reach the driver.
+    """
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
+    return bucketed_row_number(df, [], F.floor((C(order) - int(lo)) / width), [order], out)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only when a bounded count proves the table small; else joins shuffle.
+
+    Without the hint a join with a table of unknown size would first shuffle the large side on a
+    few hot keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bounded_parts(df: DataFrame, keys: list[str], item: str, size: int, out: str = "part") -> DataFrame:
+    """Hash part per row so that (keys, part) holds about `size` rows, however hot a key is."""
+    if not keys:
+        parts = max(1, -(-df.count() // size))
+        return df.withColumn(out, F.pmod(F.xxhash64(item), F.lit(parts)).cast("int"))
+    n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
+    return (df.join(broadcast_if_small(n), keys)
+            .withColumn(out, F.pmod(F.xxhash64(item), C("_parts")).cast("int")).drop("_parts"))
 
 
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:

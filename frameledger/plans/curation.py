@@ -295,8 +295,8 @@ def correction_file(spark, sf):
     k = C("kind")
     body = F.struct(F.when(k == "point", F.array(F.lit(3), F.lit(4))).alias("point"), F.when(k == "mask", F.lit("m.png")).alias("mask"),
                     F.when(k == "box", F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))).alias("box"), F.when(k == "drop", F.lit(True)).alias("drop"))
-    docs = c.select(C("frame_id").cast("string").alias("id"), body.alias("c")).groupBy(F.pmod(F.hash("id"), F.lit(8)).alias("part")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "c")))).alias("value"))
+    rows = c.select(C("frame_id").cast("string").alias("id"), body.alias("c"))
+    docs = writers.map_documents(rows, "id", "c", "m", 100).select("part", F.to_json("m").alias("value"))
     path = scratch_path(spark, "corrections")
     docs.select("part", "value").write.partitionBy("part").text(path)
     return _count(readers.correction_map(spark, path + "/part=*"), "kind")

@@ -77,14 +77,16 @@ def segmentation_means(spark, sf):
     rec = metrics.coerce_seg(I.segrec(spark, sf))
     per_clip = rec.groupBy("clip").agg(*[a for k in metrics.SEG for a in (F.sum(k).alias(f"s_{k}"), F.count(k).alias(f"n_{k}"))],
                                        F.count(F.lit(1)).alias("n"))
-    frame = per_clip.agg(F.lit("frame").alias("grain"),
-                         *[F.round(F.coalesce(F.sum(f"s_{k}") / F.sum(f"n_{k}"), F.lit(0.0)), 6).alias(f"seg_{k}") for k in metrics.SEG],
-                         F.sum("n_dice").alias("n_seg_scored"), F.sum(C("n") - C("n_dice")).alias("n_seg_skipped"))
     scored = F.sum((C("n_dice") > 0).cast("long"))
-    clip = per_clip.agg(F.lit("clip").alias("grain"),
-                        *[F.round(mean_or_zero(C(f"s_{k}") / F.when(C(f"n_{k}") > 0, C(f"n_{k}"))), 6).alias(f"seg_{k}") for k in metrics.SEG],
-                        scored.alias("n_seg_scored"), (F.count(F.lit(1)) - scored).alias("n_seg_skipped"))
-    return frame.unionByName(clip)
+    r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+
+    def block(grain, mean, n, skipped):
+        return F.struct(F.lit(grain).alias("grain"), *[r6(mean(k)).alias(f"seg_{k}") for k in metrics.SEG], n.alias("n_seg_scored"), skipped.alias("n_seg_skipped"))
+
+    both = per_clip.agg(F.array(
+        block("frame", lambda k: F.sum(f"s_{k}") / F.sum(f"n_{k}"), F.sum("n_dice"), F.sum(C("n") - C("n_dice"))),
+        block("clip", lambda k: F.avg(C(f"s_{k}") / F.when(C(f"n_{k}") > 0, C(f"n_{k}"))), scored, F.count(F.lit(1)) - scored)).alias("b"))
+    return both.select(F.explode("b").alias("b")).select("b.*")
 
 
 _CM = """
@@ -117,10 +119,10 @@ SELECT gesture, c.cls, sum(CASE WHEN gt=c.cls THEN n ELSE 0 END)::BIGINT AS sup,
  coalesce(2e0*sum(CASE WHEN gt=c.cls AND pred=c.cls THEN w ELSE 0 END)/nullif(sum(CASE WHEN gt=c.cls THEN w ELSE 0 END)+sum(CASE WHEN pred=c.cls THEN w ELSE 0 END),0),0) AS f1w
 FROM classes c CROSS JOIN m GROUP BY 1,2)""", "pred classes")
 def class_f1(spark, sf):
-    cm = metrics.confusion(metrics.cells(I.pred_iou(spark, sf)))
-    a = metrics.class_scores(cm, "n").select("cls", "f1", C("support").cast("long").alias("support"))
-    b = metrics.class_scores(cm, "w").select("cls", C("f1").alias("f1_clip"), C("support").alias("support_clip"))
-    return (a.join(b, "cls").join(F.broadcast(I.classes(spark)), "cls")
+    row = metrics.block_values(metrics.cells(I.pred_iou(spark, sf)))
+    cols = {"f1": "frame_f1", "support": "frame_support", "f1_clip": "clip_f1", "support_clip": "clip_support"}
+    long = row.select(F.posexplode(F.arrays_zip(*[C(v).alias(k) for k, v in cols.items()])).alias("cls", "z")).select("cls", "z.*")
+    return (long.join(F.broadcast(I.classes(spark)), "cls")
             .select("gesture", F.round("f1", 6).alias("f1"), F.round("f1_clip", 6).alias("f1_clip"), "support",
                     F.round("support_clip", 6).alias("support_clip")))
 
@@ -198,9 +200,9 @@ def segmentation_record(spark, sf):
 @query("P11", """SELECT count(DISTINCT k) AS n_clips, sum(CASE WHEN k LIKE '_frame%' THEN 1 ELSE 0 END)::BIGINT AS n_fallback FROM (
 SELECT CASE WHEN o_orderstatus='P' THEN concat('_frame', row_number() OVER (ORDER BY o_orderkey)-1) ELSE CAST(o_custkey AS VARCHAR) END AS k FROM orders)""")
 def clip_key_fallback(spark, sf):
-    from frameledger.operators.ranking import bucketed_row_number
+    from frameledger.operators.ranking import ordered_row_number
     rows = I.table(spark, sf, "orders").select("o_orderkey", F.when(C("o_orderstatus") != "P", C("o_custkey")).alias("clip"))
-    at = bucketed_row_number(rows, [], F.floor(C("o_orderkey") / 4096), ["o_orderkey"], "pos").withColumn("pos", C("pos") - 1)
+    at = ordered_row_number(rows, "o_orderkey", "pos").withColumn("pos", C("pos") - 1)
     keyed = metrics.with_clip_key(at, "clip", "pos").groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
     return keyed.agg(F.count(F.lit(1)).alias("n_clips"),
                      F.coalesce(F.sum(F.when(C("clip").startswith("_frame"), C("n"))), F.lit(0)).alias("n_fallback"))

@@ -78,7 +78,7 @@ m AS (SELECT frame_id, i, v/sqrt(sum(v*v) OVER (PARTITION BY frame_id)+1e-6) AS
 SELECT frame_id, count(*) AS n, round(sum(f*(i+1)),4) AS checksum, round(max(f),5) AS top FROM m GROUP BY frame_id"""
 
 
-@query("L1", _hog_sql(), "px")
+@query("L1 F7", _hog_sql(), "px")
 def orientation_features(spark, sf):
     f = learning.orientation_features(I.px(spark, sf), C("gt_v"), 16, 16)
     return f.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(C("f") * (C("i") + 1)), 4).alias("checksum"), F.round(F.max("f"), 5).alias("top"))
@@ -163,3 +163,19 @@ def percentiles(spark, sf):
     q = F.percentile("conf", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     g = I.pred(spark, sf).groupBy("gt").agg(q.alias("q"))
     return g.select("gt", *[F.round(F.element_at("q", i + 1), 6).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
+
+
+@query("L5 S13", "SELECT vec_id, gt, pred FROM emb_pred", "emb_pred")
+def batch_scoring(spark, sf):
+    """A user model (class means as a matrix) applied to Arrow batches of vectors."""
+    import numpy as np
+    from frameledger.operators import scoring
+    means = sorted(I.centroids(spark, sf).collect(), key=lambda r: (r["k"], r["pos"]))     # classes x dimensions numbers
+    weights = np.array([r["m"] for r in means]).reshape(10, -1)
+
+    def predict(model, pdf):
+        z = np.round(np.stack(pdf["embedding"].to_numpy()).astype(float) @ model.T, 9)
+        return pdf[["vec_id"]].assign(gt=pdf["label"], pred=z.argmax(axis=1))
+
+    vectors = I.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return scoring.score(vectors, lambda: weights, predict, "vec_id long, gt int, pred int")

@@ -6,23 +6,25 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from frameledger.constants import GESTURES
+from frameledger.operators.ranking import bounded_parts, broadcast_if_small
 
 C = F.col
 
 
 def write_index(records: DataFrame, splits: DataFrame, summary: DataFrame, path: str) -> None:
     """Records by split (so that a split filter prunes files), the split map and the summary."""
-    (records.join(splits, "subject").repartition("split", F.hash("id") % 16).sortWithinPartitions("id")
-     .write.mode("overwrite").partitionBy("split").parquet(f"{path}/records"))
+    placed = records.join(broadcast_if_small(splits), "subject").hint("rebalance", "split")     # even files, hot splits cut
+    placed.sortWithinPartitions("id").write.mode("overwrite").partitionBy("split").parquet(f"{path}/records")
     splits.write.mode("overwrite").json(f"{path}/splits")
     summary.write.mode("overwrite").json(f"{path}/meta")
 
 
-def write_index_document(records: DataFrame, splits: DataFrame, root: str, path: str) -> None:
-    """The index as one JSON document per subject, for readers that expect documents."""
-    per = records.groupBy("subject", F.pmod(F.hash("id"), F.lit(64)).alias("part")).agg(
+def write_index_document(records: DataFrame, splits: DataFrame, root: str, path: str, per_document: int = 5000) -> None:
+    """The index as JSON documents of bounded size, for readers that expect documents."""
+    parts = bounded_parts(records, ["subject"], "id", per_document)
+    per = parts.groupBy("subject", "part").agg(
         F.array_sort(F.collect_list(F.struct("id", *[c for c in records.columns if c != "id"]))).alias("records"))
-    doc = per.join(splits, "subject").select(
+    doc = per.join(broadcast_if_small(splits), "subject").select(
         F.lit(root).alias("root"), F.create_map("subject", "split").alias("split_map"), "records")
     doc.write.mode("overwrite").json(path)
 
@@ -71,11 +73,15 @@ def append_epochs(epochs: DataFrame, path: str) -> None:
     epochs.write.mode("append").json(path)
 
 
-def box_documents(index: DataFrame, per_file: int = 64) -> DataFrame:
-    """Boxes by frame id, as map documents of bounded size (hash parts of the id)."""
-    entry = F.struct("id", "box")
-    return index.groupBy(F.pmod(F.hash("id"), F.lit(per_file)).alias("part")).agg(
-        F.count(F.lit(1)).alias("n"), F.map_from_entries(F.collect_list(entry)).alias("boxes"))
+def box_documents(index: DataFrame, per_document: int = 5000) -> DataFrame:
+    """Boxes by frame id, as map documents of bounded size."""
+    return map_documents(index.select("id", "box"), "id", "box", "boxes", per_document)
+
+
+def map_documents(df: DataFrame, key: str, value: str, out: str, per_document: int = 5000) -> DataFrame:
+    """(part, n, map): key/value rows folded into maps of about `per_document` entries."""
+    return bounded_parts(df, [], key, per_document).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.map_from_entries(F.collect_list(F.struct(key, value))).alias(out))
 
 
 def write_images(images: DataFrame, path: str) -> None:
