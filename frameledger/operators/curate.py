@@ -203,22 +203,20 @@ def unknown_keys(layers: DataFrame, known: tuple) -> DataFrame:
     return layers.filter(~C("k").isin(*known)).select("run", "k").distinct()
 
 
-def extends_chain(configs: DataFrame, name: str = "name", parent: str = "extends", max_depth: int = 32) -> DataFrame:
+def extends_chain(configs: DataFrame, max_depth: int = 64) -> DataFrame:
     """(name, ancestor, depth): every configuration with all it inherits from; a cycle is an error.
 
-    One join per inheritance level over the table of configurations, not over data.
+    `configs` has (name, extends). Recursion over the table of configurations, not over data.
     """
-    step = configs.select(C(name), C(name).alias("ancestor"), F.lit(0).alias("depth"))
-    links = configs.select(C(name).alias("ancestor"), C(parent).alias("up")).filter(C("up").isNotNull())
-    out, level = step, step
-    for depth in range(1, max_depth + 1):
-        level = level.join(links, "ancestor").select(name, C("up").alias("ancestor"), F.lit(depth).alias("depth"))
-        if level.filter(C(name) == C("ancestor")).limit(1).count():
-            raise ValueError("configuration extends itself")
-        if level.limit(1).count() == 0:
-            return out
-        out = out.unionByName(level)
-    raise ValueError("configuration chain does not end")
+    chain = configs.sparkSession.sql(f"""
+        WITH RECURSIVE chain(name, ancestor, depth) AS (
+          SELECT name, name, 0 FROM {{configs}}
+          UNION ALL
+          SELECT c.name, p.extends, c.depth + 1 FROM chain c JOIN {{configs}} p ON p.name = c.ancestor
+          WHERE p.extends IS NOT NULL AND c.depth < {max_depth})
+        SELECT * FROM chain""", configs=configs)
+    cycle = (C("depth") > 0) & (C("name") == C("ancestor")) | (C("depth") >= max_depth)
+    return chain.withColumn("depth", F.when(cycle, F.raise_error(F.lit("configuration extends itself")).cast("int")).otherwise(C("depth")))
 
 
 def index_summary(frames: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:

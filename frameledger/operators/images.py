@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from frameledger.constants import (
@@ -239,52 +241,65 @@ def colour_rendering(px: DataFrame) -> DataFrame:
     return clip_unit(apply_matrix(px, stored("sh")))
 
 
-def _reflect(i: Column, n: int) -> Column:
-    """Mirror an index about the edge pixels."""
-    if n == 1:
-        return F.lit(0)
-    m = F.pmod(i, F.lit(2 * (n - 1)))
-    return F.when(m < n, m).otherwise(F.lit(2 * (n - 1)) - m)
+def _smooth_lines(lines, sigma, half):
+    """1-D Gaussian of many image lines at once (mirrored ends); lines are grouped by length."""
+    out = [None] * len(lines)
+    size = np.array([len(v) for v in lines])
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        v, s, h = np.stack([lines[i] for i in at]), sigma[at], half[at].astype(int)
+        r = int(h.max())
+        wide = v if n == 1 else np.pad(v, ((0, 0), (r, r)), mode="reflect") if r < n else v[:, _mirror_index(n, r)]
+        d = np.arange(-r, r + 1)
+        k = np.exp(-(d * d) / (2.0 * s[:, None] ** 2)) * (np.abs(d) <= h[:, None])
+        k /= k.sum(axis=1, keepdims=True)
+        res = v if n == 1 else sum(k[:, i:i + 1] * wide[:, i:i + n] for i in range(2 * r + 1))
+        for i, row in zip(at, res):
+            out[i] = row
+    return out
 
 
-def gaussian_blur(px: DataFrame, w: int, h: int, sigma: Column, radius: int, suffix: str = "_blur") -> DataFrame:
+def _mirror_index(n: int, r: int):
+    m = np.abs(np.arange(-r, n + r)) % (2 * (n - 1))
+    return np.where(m < n, m, 2 * (n - 1) - m)
+
+
+def gaussian_blur(px: DataFrame, sigma: Column, radius: int, suffix: str = "_blur") -> DataFrame:
     """Separable Gaussian as extra columns; mirrored borders, NULL where sigma is NULL.
 
-    Each image line is one small array that carries every column of its pixels, so nothing is
-    joined back. The kernel half-width is int(2.5 * sigma), at least 1 and at most `radius`.
+    Each image line becomes one small array that carries every column of its pixels, so nothing is
+    joined back; Arrow batches of lines are smoothed together. The kernel half-width is
+    int(2.5 * sigma), at least 1 and at most `radius`.
     """
     half = F.greatest(F.lit(1), F.least(F.floor(sigma * 2.5).cast("int"), F.lit(radius)))
 
-    def pass_over(df, line, along, size, names, outs):
+    @F.pandas_udf("array<double>")
+    def smooth(v: pd.Series, s: pd.Series, h: pd.Series) -> pd.Series:
+        known = s.notna().to_numpy()
+        out = np.full(len(v), None, dtype=object)
+        done = _smooth_lines(v[known].to_list(), s[known].to_numpy(float), h[known].to_numpy(float)) if known.any() else []
+        for i, row in zip(np.flatnonzero(known), done):
+            out[i] = row
+        return pd.Series(out)
+
+    def pass_over(df, line, along, names, outs):
         carried = [c for c in df.columns if c not in ("frame_id", line, along)]
         rows = df.groupBy("frame_id", line).agg(F.array_sort(F.collect_list(F.struct(along, *carried))).alias("_vec"))
-
-        def at(p):
-            def total(name):
-                return F.aggregate(F.sequence(F.lit(0), C("_h2")), F.lit(0.0), lambda acc, i: acc + F.element_at("_k", i + 1)
-                                   * F.element_at("_vec", _reflect(p + i - C("_h"), size).cast("int") + 1)[name])
-            own = F.element_at("_vec", p + 1)
-            return F.struct(own[along].alias(along), *[own[c].alias(c) for c in carried],
-                            *[total(n).alias(o) for n, o in zip(names, outs)])
-
-        # The kernel is made once per line from the line's own (equal) parameters.
         first = F.element_at("_vec", 1)
-        rows = rows.withColumns({"_s": first["_sg"], "_h": first["_hf"], "_h2": first["_hf"] * 2})
-        kernel = F.transform(F.sequence(-C("_h"), C("_h")), lambda d: F.exp(-(d * d) / (C("_s") * C("_s") * 2.0)))
-        unit = F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda acc, q: acc + q))
-        done = rows.withColumn("_e", kernel).withColumn("_k", unit).select(
-            "frame_id", line, F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)).alias("_p"))
-        return done.select("frame_id", line, "_p.*")
+        rows = rows.withColumns({o: smooth(C(f"_vec.{n}"), first["_sg"], first["_hf"]) for n, o in zip(names, outs)})
+        # Unmatched (NULL) results must still leave one entry per pixel.
+        zipped = F.arrays_zip("_vec", *[F.coalesce(o, F.transform("_vec", lambda e: F.lit(None).cast("double"))).alias(o) for o in outs])
+        return rows.select("frame_id", line, F.explode(zipped).alias("_p")).select("frame_id", line, "_p._vec.*", *[f"_p.{o}" for o in outs])
 
     src = px.withColumns({"_sg": sigma, "_hf": half, **{c: C(c).cast("double") for c in RGB}})
-    across = pass_over(src, "y", "x", w, RGB, [f"_t{c}" for c in RGB])
-    both = pass_over(across, "x", "y", h, [f"_t{c}" for c in RGB], [f"{c}{suffix}" for c in RGB])
+    across = pass_over(src, "y", "x", RGB, [f"_t{c}" for c in RGB])
+    both = pass_over(across, "x", "y", [f"_t{c}" for c in RGB], [f"{c}{suffix}" for c in RGB])
     return both.drop("_sg", "_hf", *[f"_t{c}" for c in RGB])
 
 
-def blur_or_sharpen(px: DataFrame, w: int, h: int, radius: int = 4) -> DataFrame:
+def blur_or_sharpen(px: DataFrame, radius: int = 4) -> DataFrame:
     """Exactly one of blur (amount NULL) or unsharp mask; a NULL sigma leaves the image alone."""
-    soft = gaussian_blur(px, w, h, C("sigma"), radius)
+    soft = gaussian_blur(px, C("sigma"), radius)
 
     def value(c):
         s = C(f"{c}_blur")
@@ -310,7 +325,7 @@ def chroma_shift(px: DataFrame, dx: Column, dy: Column) -> DataFrame:
     return _set(first, {"r": moved("r", dx, along_row()), "b": moved("b", -dx, along_row())})
 
 
-def camera_chain(px: DataFrame, seed, w: int, h: int, stages=CAMERA_STAGES) -> DataFrame:
+def camera_chain(px: DataFrame, seed, stages=CAMERA_STAGES) -> DataFrame:
     """All camera stages in order over frames that carry camera_params. No codec stage."""
     on = set(stages)
     out = sensor_noise(linear_stage(px), seed)
@@ -318,7 +333,7 @@ def camera_chain(px: DataFrame, seed, w: int, h: int, stages=CAMERA_STAGES) -> D
     if "satihue" in on:
         out = colour_rendering(out)
     if "sharpblur" in on:
-        out = blur_or_sharpen(out, w, h)
+        out = blur_or_sharpen(out)
     if "resample" in on:
         out = resample_mismatch(out)
     return chroma_shift(out, C("dx"), C("dy")) if "chroma" in on else out
@@ -466,33 +481,48 @@ def chain_mix(px: DataFrame, seed, width: int = 3, severity: int = 3, strength:
     return out.withColumns({c: (F.lit(1.0) - C("_b")) * C(c) / 255.0 + C("_b") * C(f"_m{c}") for c in RGB}).drop("_b", *[f"_m{c}" for c in RGB])
 
 
-def neighbours(px: DataFrame, w: int, h: int, radius: int) -> DataFrame:
-    """Each pixel with its (2r+1)^2 neighbours, mirrored at the border: a join inside the frame."""
-    off = F.sequence(F.lit(-radius), F.lit(radius))
-    t = (px.select("frame_id", "y", "x").withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off))
-         .withColumns({"sy": _reflect(C("y") + C("dy"), h).cast("int"), "sx": _reflect(C("x") + C("dx"), w).cast("int")}))
-    src = px.select("frame_id", C("y").alias("sy"), C("x").alias("sx"), *RGB)
-    return t.join(src, ["frame_id", "sy", "sx"]).drop("sy", "sx")
+def neighbours3(px: DataFrame, names) -> tuple[DataFrame, dict]:
+    """3x3 neighbourhood of each pixel as columns, mirrored at the border (two window passes).
+
+    Returns the table and {(dy, dx, name): column name}.
+    """
+    def sides(df, win, cols, before, after):
+        out = {}
+        for c in cols:
+            back, ahead = F.lag(c).over(win), F.lead(c).over(win)
+            out[c + before], out[c + after] = F.coalesce(back, ahead, C(c)), F.coalesce(ahead, back, C(c))
+        return df.withColumns(out)
+
+    x_tag, y_tag = {-1: "_l", 0: "", 1: "_r"}, {-1: "_u", 0: "", 1: "_d"}
+    across = sides(px, along_row(), names, "_l", "_r")
+    wide = sides(across, along_column(), [n + t for n in names for t in x_tag.values()], "_u", "_d")
+    return wide, {(dy, dx, n): n + x_tag[dx] + y_tag[dy] for n in names for dx in x_tag for dy in y_tag}
 
 
-def random_convolution(px: DataFrame, seed, w: int, h: int, strength: float = 1.0) -> DataFrame:
+def random_convolution(px: DataFrame, seed, strength: float = 1.0) -> DataFrame:
     """Random 1x1 or 3x3 convolution, first two moments matched to the input, then blended."""
     unit = to_unit(px).select("frame_id", "y", "x", *RGB)
     k3 = uniform(f"{seed}-k", C("frame_id")) >= 0.5
     sd = F.when(k3, F.lit(math.sqrt(2.0 / 27))).otherwise(F.lit(math.sqrt(2.0 / 3)))
     off = F.sequence(F.lit(-1), F.lit(1))
+    here = k3 | ((C("dy") == 0) & (C("dx") == 0))       # a 1x1 kernel has only its centre
 
     def weight(o, i):
-        return normal(f"{seed}-w{o}{i}", C("frame_id"), C("dy"), C("dx")) * sd
-
-    # One weight row per frame and offset, so hashes are drawn once; a 1x1 kernel has one offset.
-    wt = (px.select("frame_id").distinct().withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off))
-          .filter(k3 | ((C("dy") == 0) & (C("dx") == 0)))
-          .select("frame_id", "dy", "dx", *[weight(o, i).alias(f"w{o}{i}") for o in range(3) for i in range(3)]))
-    near = neighbours(unit, w, h, 1)
-    conv = (near.join(wt, ["frame_id", "dy", "dx"]).groupBy("frame_id", "y", "x")
-            .agg(*[F.sum(sum(C(c) * C(f"w{o}{i}") for i, c in enumerate(RGB))).alias(f"y{o}") for o in range(3)]))
-    j = unit.join(conv, ["frame_id", "y", "x"])
+        return F.when(here, normal(f"{seed}-w{o}{i}", C("frame_id"), C("dy"), C("dx")) * sd).otherwise(0.0)
+
+    # 81 weights per frame, drawn once: three arrays of 27, ordered by (dy, dx, channel).
+    draws = (px.select("frame_id").distinct().withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off))
+             .withColumns({f"w{o}": F.array(*[weight(o, i) for i in range(3)]) for o in range(3)}))
+    taps = F.array_sort(F.collect_list(F.struct("dy", "dx", "w0", "w1", "w2")))
+    wt = draws.groupBy("frame_id").agg(taps.alias("_t")).select(
+        "frame_id", F.struct(*[F.flatten(C(f"_t.w{o}")).alias(f"w{o}") for o in range(3)]).alias("_w"))
+    wide, at = neighbours3(unit, RGB)
+    j = wide.join(wt, "frame_id")
+    # Weighted sums over arrays: written out, 81 products make a method too big to be compiled.
+    order = [(dy, dx, c) for dy in (-1, 0, 1) for dx in (-1, 0, 1) for c in RGB]
+    j = j.withColumn("_v", F.array(*[C(at[k]) for k in order])).select("frame_id", "y", "x", *RGB, "_v", "_w")
+    j = j.selectExpr("frame_id", "y", "x", *RGB, *[
+        f"aggregate(zip_with(_v, _w.w{o}, (a, b) -> a * b), 0e0, (acc, t) -> acc + t) AS y{o}" for o in range(3)])
     fw = W.partitionBy("frame_id")
 
     def moments(cols):
@@ -509,15 +539,15 @@ def random_convolution(px: DataFrame, seed, w: int, h: int, strength: float = 1.
     return j.select("frame_id", "y", "x", *[v.alias(c) for c, v in out.items()])
 
 
-def held_out_shift(px: DataFrame, w: int, h: int) -> DataFrame:
+def held_out_shift(px: DataFrame) -> DataFrame:
     """Fixed tone curve, strong unsharp mask, saturation. (No resampling round trip.)"""
     toned = _set(px, {c: interp(C(c) / 255.0, SHIFT_TONE_X, SHIFT_TONE_Y) for c in RGB})
-    soft = gaussian_blur(toned, w, h, F.lit(SHIFT_SIGMA), SHIFT_RADIUS)
+    soft = gaussian_blur(toned, F.lit(SHIFT_SIGMA), SHIFT_RADIUS)
     sharp = _set(soft, {c: C(c) * (1.0 + SHIFT_AMOUNT) - C(f"{c}_blur") * SHIFT_AMOUNT for c in RGB}).drop(*[f"{c}_blur" for c in RGB])
     return clip_unit(apply_matrix(sharp, saturation_matrix(SHIFT_SATURATION)))
 
 
-def policy(frames: DataFrame, expand, w: int, h: int, photometric: str = "jitter", stages=None, strength: float = 1.0, seed=0) -> DataFrame:
+def policy(frames: DataFrame, expand, photometric: str = "jitter", stages=None, strength: float = 1.0, seed=0) -> DataFrame:
     """One named photometric block over images. `expand` turns frame rows into pixel rows.
 
     Unknown modes and stages raise; strength 0 is the identity. Values are in [0, 1].
@@ -535,9 +565,9 @@ def policy(frames: DataFrame, expand, w: int, h: int, photometric: str = "jitter
         out = color_jitter(expand(jitter_params(frames, seed, strength)))
     elif photometric == "cpr":
         use = CAMERA_STAGES if stages is None else tuple(stages)
-        out = camera_chain(expand(camera_params(frames, seed, strength, use)), seed, w, h, use)
+        out = camera_chain(expand(camera_params(frames, seed, strength, use)), seed, use)
     elif photometric == "randconv":
-        out = random_convolution(expand(frames), seed, w, h, strength)
+        out = random_convolution(expand(frames), seed, strength)
     else:
         out = chain_mix(expand(frames), seed, strength=strength)
     return out.select(*names)

@@ -114,7 +114,7 @@ def _jitter_sql():
 @query("I5 I21 F17", _jitter_sql(), "rgb")
 def color_jitter(spark, sf):
     """Whole policy path: per-frame draws, one composed map, contrast about the luma mean."""
-    return _means(images.policy(I.frame_rows(spark, sf, 64), _expand, 8, 8, "jitter", seed="j"))
+    return _means(images.policy(I.frame_rows(spark, sf, 64), _expand, "jitter", seed="j"))
 
 
 def _camera_sql(stage):
@@ -224,7 +224,7 @@ def blur_or_sharpen(spark, sf):
     f = C("frame_id")
     frames = (I.frame_rows(spark, sf, 64).withColumn("sigma", F.lit(0.4) + (f % 10) / 8.0)
               .withColumn("amount", F.when(f % 2 == 1, F.lit(0.8))))
-    return _means(images.blur_or_sharpen(images.to_unit(_expand(frames)), 8, 8))
+    return _means(images.blur_or_sharpen(images.to_unit(_expand(frames))))
 
 
 @query("I11", f"SELECT frame_id, {', '.join(f'round(var_pop({c}),4) AS {c}' for c in RGB)} FROM (SELECT frame_id, {', '.join(f'CASE WHEN frame_id%2=0 THEN avg({c}) OVER w ELSE {c} END AS {c}' for c in RGB)} FROM rgb WINDOW w AS (PARTITION BY frame_id, y//2, x//2)) GROUP BY frame_id", "rgb")
@@ -336,7 +336,7 @@ def equalise_levels(spark, sf):
 
 @query("I18 I17 I21")
 def chain_mix(spark, sf):
-    return _means(images.policy(I.frame_rows(spark, sf, 64), _expand, 8, 8, "augmix", seed="mix"))
+    return _means(images.policy(I.frame_rows(spark, sf, 64), _expand, "augmix", seed="mix"))
 
 
 def _randconv_sql():
@@ -359,7 +359,7 @@ SELECT frame_id, {', '.join(f"round(avg(least(greatest((1-al)*{c}+al*((y{o}-my)/
 
 @query("I19", _randconv_sql(), "rgb")
 def random_convolution(spark, sf):
-    return _means(images.random_convolution(I.rgb(spark, sf), "rc", 8, 8))
+    return _means(images.random_convolution(I.rgb(spark, sf), "rc"))
 
 
 @query("I20", f"""
@@ -367,12 +367,12 @@ WITH base AS (SELECT frame_id, y, x, {', '.join(_interp_sql(f'({c}/255e0)', SHIF
 sharp AS (SELECT b.frame_id, b.y, b.x, {', '.join(f'2.5e0*b.{c}-1.5e0*s.{c} AS {c}' for c in RGB)} FROM base b JOIN soft s USING (frame_id,y,x))
 {_means_sql(_each_sql(_affine_sql('sharp', _sat_sql('1.4e0')), _CLIP))}""", "rgb")
 def held_out_shift(spark, sf):
-    return _means(images.held_out_shift(I.rgb(spark, sf), 8, 8))
+    return _means(images.held_out_shift(I.rgb(spark, sf)))
 
 
 @query("I21 I6 I7 I8 I9 I10 I11 I12")
 def camera_policy(spark, sf):
-    return _means(images.policy(I.frame_rows(spark, sf, 64), _expand, 8, 8, "cpr", seed="cam"))
+    return _means(images.policy(I.frame_rows(spark, sf, 64), _expand, "cpr", seed="cam"))
 
 
 def _skin_sql(band):
