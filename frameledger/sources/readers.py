@@ -57,7 +57,8 @@ def result_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = (spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
            .withColumn("run", F.regexp_replace(C("_metadata.file_name"), r"\.json$", "")))
-    bad = C("_corrupt").isNotNull()
+    # The second test is never true; Spark refuses a scan of the corrupt-record column alone.
+    bad = C("_corrupt").isNotNull() | C("n_frames").eqNullSafe(F.lit(-1).cast("long"))
     return raw.filter(~bad).drop("_corrupt"), raw.filter(bad).select("run", "_corrupt")
 
 
@@ -100,7 +101,15 @@ def correction_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", kind.alias("kind"), "c.point", "c.mask", "c.box").filter(C("kind").isNotNull())
 
 
-def readable(files: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(usable rows, rejects with a reason). A broken file never stops the job."""
+def readable(files: DataFrame, content: str = "content", image: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, rejects with a reason). A broken file never stops the job.
+
+    With `image` the first bytes must be those of a PNG or JPEG file. Spark's file source does not
+    list files of zero bytes: an empty mask shows up as an image without a mask instead.
+    """
+    head = F.hex(F.substring(content, 1, 4))
     ok = C(content).isNotNull() & (F.length(content) > 0)
-    return files.filter(ok), files.filter(~F.coalesce(ok, F.lit(False))).withColumn("error", F.lit("empty or missing file")).drop(content)
+    if image:
+        ok = ok & (head.startswith("89504E47") | head.startswith("FFD8FF"))
+    ok = F.coalesce(ok, F.lit(False))
+    return files.filter(ok), files.filter(~ok).withColumn("error", F.lit("empty, missing or not an image")).drop(content)
