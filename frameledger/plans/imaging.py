@@ -227,10 +227,10 @@ def blur_or_sharpen(spark, sf):
     return _means(images.blur_or_sharpen(images.to_unit(_expand(frames))))
 
 
-@query("I11", f"SELECT frame_id, {', '.join(f'round(var_pop({c}),4) AS {c}' for c in RGB)} FROM (SELECT frame_id, {', '.join(f'CASE WHEN frame_id%2=0 THEN avg({c}) OVER w ELSE {c} END AS {c}' for c in RGB)} FROM rgb WINDOW w AS (PARTITION BY frame_id, y//2, x//2)) GROUP BY frame_id", "rgb")
+@query("I11", f"SELECT frame_id, {', '.join(f'sum({c}*(x+1)*(y+2)) AS {c}' for c in RGB)} FROM (SELECT frame_id, y, x, {', '.join(f'CASE WHEN frame_id%2=0 THEN avg({c}) OVER w ELSE {c} END AS {c}' for c in RGB)} FROM rgb WINDOW w AS (PARTITION BY frame_id, y//2, x//2)) GROUP BY frame_id", "rgb")
 def resample_mismatch(spark, sf):
     px = images.resample_mismatch(I.rgb(spark, sf, factor=F.when(C("frame_id") % 2 == 0, 2).otherwise(1)))
-    return px.groupBy("frame_id").agg(*[F.round(F.var_pop(c), 4).alias(c) for c in RGB])
+    return px.groupBy("frame_id").agg(*[F.sum(C(c) * (C("x") + 1) * (C("y") + 2)).alias(c) for c in RGB])
 
 
 @query("I12", """

@@ -174,7 +174,7 @@ def cands(spark, sf) -> DataFrame:
 def epochs(spark, sf) -> DataFrame:
     return (table(spark, sf, "events")
             .groupBy(C("event_type").alias("run"), F.dayofmonth("ts").alias("epoch"))
-            .agg(F.round(F.avg("value") / 100, 9).alias("score"), F.count(F.lit(1)).alias("n")))
+            .agg(F.round(F.avg("value") / 100, 12).alias("score"), F.count(F.lit(1)).alias("n")))
 
 
 def runs(spark, sf) -> DataFrame:

@@ -90,7 +90,7 @@ SELECT user_id AS clip, event_id, row_number() OVER (PARTITION BY user_id ORDER
 SELECT p_partkey AS frame_id, p_size, CAST(rk AS INT) AS rk, CAST((p_partkey*31 + rk*17) % 200 AS DOUBLE)/1000 AS frac
 FROM part CROSS JOIN range(7) AS t(rk)"""),
     "epochs": ("", """
-SELECT event_type AS run, CAST(EXTRACT(DAY FROM ts) AS INT) AS epoch, round(avg(value)/100, 9) AS score, count(*) AS n
+SELECT event_type AS run, CAST(EXTRACT(DAY FROM ts) AS INT) AS epoch, round(avg(value)/100, 12) AS score, count(*) AS n
 FROM events GROUP BY event_type, CAST(EXTRACT(DAY FROM ts) AS INT)"""),
     "runs": ("pred_iou", """
 SELECT concat(fam, '_', split) AS run, fam, split, fam NOT IN ('b1','b4') AS has_det, n_frames, n_clips,

@@ -108,9 +108,10 @@ _NB = """(SELECT frame_id, y, x, gt_v AS v, coalesce(lag(gt_v) OVER r, lead(gt_v
  FROM px WINDOW r AS (PARTITION BY frame_id,y ORDER BY x), c AS (PARTITION BY frame_id,x ORDER BY y))"""
 
 
-@query("M6", f"SELECT frame_id, round(var_pop(lap),6) AS sharpness FROM {_NB} GROUP BY frame_id", "px")
+@query("M6", f"SELECT frame_id, CAST(round(var_pop(lap)*65536) AS BIGINT) AS sharpness FROM {_NB} GROUP BY frame_id", "px")
 def sharpness(spark, sf):
-    return masks.laplacian_variance(I.px(spark, sf), C("gt_v")).select("frame_id", F.round("sharpness", 6).alias("sharpness"))
+    """Scaled by the squared pixel count, where the variance of whole numbers is whole."""
+    return masks.laplacian_variance(I.px(spark, sf), C("gt_v")).select("frame_id", F.round(C("sharpness") * 65536).cast("long").alias("sharpness"))
 
 
 def _slide_sql(steps):

@@ -15,7 +15,7 @@ C = F.col
 
 def _long(df, groups: dict, keys=()):
     """Unpivot one wide row into (grain, metric, value)."""
-    items = [F.struct(F.lit(g).alias("grain"), F.lit(m).alias("metric"), F.round(C(c).cast("double"), 6).alias("value"))
+    items = [F.struct(F.lit(g).alias("grain"), F.lit(m).alias("metric"), F.round(C(c).cast("double"), 9).alias("value"))
              for (g, m), c in groups.items()]
     return df.select(*keys, F.explode(F.array(*items)).alias("u")).select(*keys, "u.*")
 
@@ -32,7 +32,7 @@ c AS (SELECT clip, avg(bi) AS m, avg(CASE WHEN bi>=0.5e0 THEN 1e0 WHEN bi<0.5e0
 k AS (SELECT cls, coalesce(2*sum(CASE WHEN gt=cls AND pred=cls THEN 1e0 ELSE 0e0 END)/nullif(sum(CASE WHEN gt=cls THEN 1e0 ELSE 0e0 END)+sum(CASE WHEN pred=cls THEN 1e0 ELSE 0e0 END),0),0) AS f1,
   coalesce(2*sum(CASE WHEN gt=cls AND pred=cls THEN w ELSE 0e0 END)/nullif(sum(CASE WHEN gt=cls THEN w ELSE 0e0 END)+sum(CASE WHEN pred=cls THEN w ELSE 0e0 END),0),0) AS f1w
   FROM classes CROSS JOIN (SELECT gt,pred,1e0/count(*) OVER (PARTITION BY clip) AS w FROM pred) GROUP BY cls)
-SELECT grain, metric, round(CAST(value AS DOUBLE),6) AS value FROM (
+SELECT grain, metric, round(CAST(value AS DOUBLE),9) AS value FROM (
 SELECT 'frame' AS grain,'det_acc50' AS metric, avg(CASE WHEN bi>=0.5e0 THEN 1e0 WHEN bi<0.5e0 THEN 0e0 END) AS value FROM p
 UNION ALL SELECT 'frame','det_acc75', avg(CASE WHEN bi>=0.75e0 THEN 1e0 WHEN bi<0.75e0 THEN 0e0 END) FROM p
 UNION ALL SELECT 'frame','det_acc90', avg(CASE WHEN bi>=0.9e0 THEN 1e0 WHEN bi<0.9e0 THEN 0e0 END) FROM p
@@ -52,36 +52,36 @@ def frame_clip_summary(spark, sf):
     return _long(row, {(g, m): f"{g}_{m}" for g in ("frame", "clip") for m in _SUMMARY})
 
 
-@query("A1", """SELECT gt, round(coalesce(sum(conf*l_quantity)/nullif(sum(l_quantity),0),0),6) AS avg, round(sum(l_quantity),6) AS n
+@query("A1", """SELECT gt, round(coalesce(sum(conf*l_quantity)/nullif(sum(l_quantity),0),0),9) AS avg, round(sum(l_quantity),9) AS n
 FROM pred GROUP BY gt""", "pred")
 def weighted_meter(spark, sf):
     out = metrics.weighted_mean(I.pred(spark, sf), ["gt"], "conf", "l_quantity")
-    return out.select("gt", F.round("avg", 6).alias("avg"), F.round(C("n").cast("double"), 6).alias("n"))
+    return out.select("gt", F.round("avg", 9).alias("avg"), F.round(C("n").cast("double"), 9).alias("n"))
 
 
-@query("F1 F2", """SELECT clip, frame, l_partkey, l_suppkey, round(iou,6) AS iou,
-  round(1-(iou-(hull-((gx2-gx1)*(gy2-gy1)+(px2-px1)*(py2-py1)-it))/hull),6) AS giou_loss
+@query("F1 F2", """SELECT clip, frame, l_partkey, l_suppkey, round(iou,9) AS iou,
+  round(1-(iou-(hull-((gx2-gx1)*(gy2-gy1)+(px2-px1)*(py2-py1)-it))/hull),9) AS giou_loss
 FROM (SELECT *, (greatest(gx2,px2)-least(gx1,px1))*(greatest(gy2,py2)-least(gy1,py1)) AS hull FROM pred_iou)""", "pred_iou")
 def box_overlap_rows(spark, sf):
     return I.pred(spark, sf).select(
-        "clip", "frame", "l_partkey", "l_suppkey", F.round(boxes.iou(I.pred_box(), I.gt_box()), 6).alias("iou"),
-        F.round(boxes.giou_loss(I.pred_box(), I.gt_box()), 6).alias("giou_loss"))
+        "clip", "frame", "l_partkey", "l_suppkey", F.round(boxes.iou(I.pred_box(), I.gt_box()), 9).alias("iou"),
+        F.round(boxes.giou_loss(I.pred_box(), I.gt_box()), 9).alias("giou_loss"))
 
 
 @query("A6 A7", """
 WITH s AS (SELECT *, (iou_hand+iou_bg)/2 AS miou FROM segrec),
 c AS (SELECT clip, avg(miou) AS miou, avg(iou_hand) AS iou_hand, avg(iou_bg) AS iou_bg, avg(dice) AS dice FROM s GROUP BY clip)
-SELECT 'frame' AS grain, round(avg(miou),6) AS seg_miou, round(avg(iou_hand),6) AS seg_iou_hand, round(avg(iou_bg),6) AS seg_iou_bg, round(avg(dice),6) AS seg_dice, count(dice) AS n_seg_scored, count(*)-count(dice) AS n_seg_skipped FROM s
-UNION ALL SELECT 'clip', round(avg(miou),6), round(avg(iou_hand),6), round(avg(iou_bg),6), round(avg(dice),6), count(dice), count(*)-count(dice) FROM c""", "segrec")
+SELECT 'frame' AS grain, round(avg(miou),9) AS seg_miou, round(avg(iou_hand),9) AS seg_iou_hand, round(avg(iou_bg),9) AS seg_iou_bg, round(avg(dice),9) AS seg_dice, count(dice) AS n_seg_scored, count(*)-count(dice) AS n_seg_skipped FROM s
+UNION ALL SELECT 'clip', round(avg(miou),9), round(avg(iou_hand),9), round(avg(iou_bg),9), round(avg(dice),9), count(dice), count(*)-count(dice) FROM c""", "segrec")
 def segmentation_means(spark, sf):
     rec = metrics.coerce_seg(I.segrec(spark, sf))
     per_clip = rec.groupBy("clip").agg(*[a for k in metrics.SEG for a in (F.sum(k).alias(f"s_{k}"), F.count(k).alias(f"n_{k}"))],
                                        F.count(F.lit(1)).alias("n"))
     scored = F.sum((C("n_dice") > 0).cast("long"))
-    r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    r9 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)
 
     def block(grain, mean, n, skipped):
-        return F.struct(F.lit(grain).alias("grain"), *[r6(mean(k)).alias(f"seg_{k}") for k in metrics.SEG], n.alias("n_seg_scored"), skipped.alias("n_seg_skipped"))
+        return F.struct(F.lit(grain).alias("grain"), *[r9(mean(k)).alias(f"seg_{k}") for k in metrics.SEG], n.alias("n_seg_scored"), skipped.alias("n_seg_skipped"))
 
     both = per_clip.agg(F.array(
         block("frame", lambda k: F.sum(f"s_{k}") / F.sum(f"n_{k}"), F.sum("n_dice"), F.sum(C("n") - C("n_dice"))),
@@ -95,10 +95,10 @@ m AS (SELECT a.cls AS gt, b.cls AS pred, count(w.w) AS n, coalesce(sum(w.w),0) A
   FROM classes a CROSS JOIN classes b LEFT JOIN w ON w.gt=a.cls AND w.pred=b.cls GROUP BY 1,2) """
 
 
-@query("A8 A9 W1", _CM + "SELECT gt, pred, n, round(w,6) AS w FROM m", "pred classes")
+@query("A8 A9 W1", _CM + "SELECT gt, pred, n, round(w,9) AS w FROM m", "pred classes")
 def confusion_matrix(spark, sf):
     cm = metrics.dense_confusion(metrics.confusion(metrics.cells(I.pred_iou(spark, sf))))
-    return cm.select("gt", "pred", "n", F.round("w", 6).alias("w"))
+    return cm.select("gt", "pred", "n", F.round("w", 9).alias("w"))
 
 
 @query("A8", "SELECT gt, " + ", ".join(f"count(*) FILTER (WHERE pred={k}) AS p{k}" for k in range(10)) + " FROM pred GROUP BY gt", "pred")
@@ -107,13 +107,13 @@ def confusion_pivot(spark, sf):
     return wide.select("gt", *[C(str(k)).alias(f"p{k}") for k in range(10)])
 
 
-@query("A10", _CM + "SELECT gt, pred, round(CASE WHEN sum(n) OVER (PARTITION BY gt)>0 THEN CAST(n AS DOUBLE)/sum(n) OVER (PARTITION BY gt) ELSE 0 END,6) AS share FROM m", "pred classes")
+@query("A10", _CM + "SELECT gt, pred, round(CASE WHEN sum(n) OVER (PARTITION BY gt)>0 THEN CAST(n AS DOUBLE)/sum(n) OVER (PARTITION BY gt) ELSE 0 END,9) AS share FROM m", "pred classes")
 def confusion_row_shares(spark, sf):
     cm = metrics.dense_confusion(metrics.confusion(metrics.cells(I.pred_iou(spark, sf))))
-    return metrics.row_normalised(cm).select("gt", "pred", F.round("share", 6).alias("share"))
+    return metrics.row_normalised(cm).select("gt", "pred", F.round("share", 9).alias("share"))
 
 
-@query("A11", _CM + """SELECT gesture, round(f1,6) AS f1, round(f1w,6) AS f1_clip, sup AS support, round(supw,6) AS support_clip FROM (
+@query("A11", _CM + """SELECT gesture, round(f1,9) AS f1, round(f1w,9) AS f1_clip, sup AS support, round(supw,9) AS support_clip FROM (
 SELECT gesture, c.cls, sum(CASE WHEN gt=c.cls THEN n ELSE 0 END)::BIGINT AS sup, sum(CASE WHEN gt=c.cls THEN w ELSE 0 END) AS supw,
  coalesce(2e0*sum(CASE WHEN gt=c.cls AND pred=c.cls THEN n ELSE 0 END)/nullif(sum(CASE WHEN gt=c.cls THEN n ELSE 0 END)+sum(CASE WHEN pred=c.cls THEN n ELSE 0 END),0),0) AS f1,
  coalesce(2e0*sum(CASE WHEN gt=c.cls AND pred=c.cls THEN w ELSE 0 END)/nullif(sum(CASE WHEN gt=c.cls THEN w ELSE 0 END)+sum(CASE WHEN pred=c.cls THEN w ELSE 0 END),0),0) AS f1w
@@ -123,36 +123,36 @@ def class_f1(spark, sf):
     cols = {"f1": "frame_f1", "support": "frame_support", "f1_clip": "clip_f1", "support_clip": "clip_support"}
     long = row.select(F.posexplode(F.arrays_zip(*[C(v).alias(k) for k, v in cols.items()])).alias("cls", "z")).select("cls", "z.*")
     return (long.join(F.broadcast(I.classes(spark)), "cls")
-            .select("gesture", F.round("f1", 6).alias("f1"), F.round("f1_clip", 6).alias("f1_clip"), "support",
-                    F.round("support_clip", 6).alias("support_clip")))
+            .select("gesture", F.round("f1", 9).alias("f1"), F.round("f1_clip", 9).alias("f1_clip"), "support",
+                    F.round("support_clip", 9).alias("support_clip")))
 
 
 @query("A11 L6", """
 WITH w AS (SELECT gt,pred,1e0/count(*) OVER (PARTITION BY clip) AS w FROM emb_pred)
-SELECT round(avg(CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END),6) AS top1, round(sum(CASE WHEN gt=pred THEN w ELSE 0 END)/sum(w),6) AS top1_clip FROM w""", "emb_pred")
+SELECT round(avg(CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END),9) AS top1, round(sum(CASE WHEN gt=pred THEN w ELSE 0 END)/sum(w),9) AS top1_clip FROM w""", "emb_pred")
 def classifier_top1(spark, sf):
     per = I.emb_pred(spark, sf).groupBy("clip").agg(F.count(F.lit(1)).alias("n"), F.sum(flag(C("gt") == C("pred"))).alias("ok"))
-    return per.agg(F.round(F.sum("ok") / F.sum("n"), 6).alias("top1"), F.round(F.avg(C("ok") / C("n")), 6).alias("top1_clip"))
+    return per.agg(F.round(F.sum("ok") / F.sum("n"), 9).alias("top1"), F.round(F.avg(C("ok") / C("n")), 9).alias("top1_clip"))
 
 
-@query("A12", """SELECT round(avg(conf),6) AS mean_cls_conf, round(avg(det_conf),6) AS mean_det_conf,
- round(avg(conf) FILTER (WHERE gt=pred),6) AS cls_conf_correct, round(avg(conf) FILTER (WHERE gt<>pred),6) AS cls_conf_incorrect FROM pred""", "pred")
+@query("A12", """SELECT round(avg(conf),9) AS mean_cls_conf, round(avg(det_conf),9) AS mean_det_conf,
+ round(avg(conf) FILTER (WHERE gt=pred),9) AS cls_conf_correct, round(avg(conf) FILTER (WHERE gt<>pred),9) AS cls_conf_incorrect FROM pred""", "pred")
 def confidence_means(spark, sf):
     v = metrics.block_values(metrics.cells(I.pred_iou(spark, sf)))
-    return v.select(*[F.round(c, 6).alias(c) for c in ("mean_cls_conf", "mean_det_conf", "cls_conf_correct", "cls_conf_incorrect")])
+    return v.select(*[F.round(c, 9).alias(c) for c in ("mean_cls_conf", "mean_det_conf", "cls_conf_correct", "cls_conf_incorrect")])
 
 
-@query("A21 A26", """SELECT round(coalesce(avg(CASE WHEN has_mask THEN (abs(px1-gx1)+abs(py1-gy1)+abs(px2-gx2)+abs(py2-gy2))/4 END),0),6) AS l1,
- round(coalesce(avg(CASE WHEN has_mask THEN 1-(iou-(hull-((gx2-gx1)*(gy2-gy1)+(px2-px1)*(py2-py1)-it))/hull) END),0),6) AS giou,
- round(avg(-ln(greatest(conf,1e-3))),6) AS cls, sum(CASE WHEN has_mask THEN 1 ELSE 0 END)::BIGINT AS n_annotated
+@query("A21 A26", """SELECT round(coalesce(avg(CASE WHEN has_mask THEN (abs(px1-gx1)+abs(py1-gy1)+abs(px2-gx2)+abs(py2-gy2))/4 END),0),9) AS l1,
+ round(coalesce(avg(CASE WHEN has_mask THEN 1-(iou-(hull-((gx2-gx1)*(gy2-gy1)+(px2-px1)*(py2-py1)-it))/hull) END),0),9) AS giou,
+ round(avg(-ln(greatest(conf,1e-3))),9) AS cls, sum(CASE WHEN has_mask THEN 1 ELSE 0 END)::BIGINT AS n_annotated
 FROM (SELECT *, (greatest(gx2,px2)-least(gx1,px1))*(greatest(gy2,py2)-least(gy1,py1)) AS hull FROM pred_iou)""", "pred_iou")
 def sparse_losses(spark, sf):
     """Box terms over annotated rows only (0, not NaN, when there are none); class term over all."""
     seen = C("has_mask")
     return I.pred(spark, sf).agg(
-        F.round(mean_or_zero(F.when(seen, boxes.mean_l1(I.pred_box(), I.gt_box()))), 6).alias("l1"),
-        F.round(mean_or_zero(F.when(seen, boxes.giou_loss(I.pred_box(), I.gt_box()))), 6).alias("giou"),
-        F.round(mean_or_zero(-F.log(F.greatest(C("conf"), F.lit(1e-3)))), 6).alias("cls"),
+        F.round(mean_or_zero(F.when(seen, boxes.mean_l1(I.pred_box(), I.gt_box()))), 9).alias("l1"),
+        F.round(mean_or_zero(F.when(seen, boxes.giou_loss(I.pred_box(), I.gt_box()))), 9).alias("giou"),
+        F.round(mean_or_zero(-F.log(F.greatest(C("conf"), F.lit(1e-3)))), 9).alias("cls"),
         F.coalesce(F.sum(seen.cast("long")), F.lit(0)).alias("n_annotated"))
 
 
@@ -162,29 +162,29 @@ c AS (SELECT clip, avg(iou) AS iou, avg(CASE WHEN iou>=0.5e0 THEN 1e0 WHEN iou<0
 m AS (SELECT a.cls AS gt, b.cls AS pred, count(s.gt) AS n, coalesce(sum(1e0/s.cn),0) AS w
   FROM classes a CROSS JOIN classes b LEFT JOIN s ON s.gt=a.cls AND s.pred=b.cls GROUP BY 1,2)
 SELECT (SELECT count(*) FROM s) AS n_frames, (SELECT count(*) FROM c) AS n_clips,
- (SELECT round(avg(CASE WHEN iou>=0.5e0 THEN 1e0 WHEN iou<0.5e0 THEN 0e0 END),6) FROM s) AS frame_det_acc50, (SELECT round(avg(hit),6) FROM c) AS clip_det_acc50,
- (SELECT round(avg(iou),6) FROM s) AS frame_mean_box_iou, (SELECT round(avg(iou),6) FROM c) AS clip_mean_box_iou,
- (SELECT round(avg(miou),6) FROM s) AS frame_seg_miou, (SELECT round(avg(miou),6) FROM c) AS clip_seg_miou,
- (SELECT round(avg(dice),6) FROM s) AS frame_seg_dice, (SELECT round(avg(dice),6) FROM c) AS clip_seg_dice,
+ (SELECT round(avg(CASE WHEN iou>=0.5e0 THEN 1e0 WHEN iou<0.5e0 THEN 0e0 END),9) FROM s) AS frame_det_acc50, (SELECT round(avg(hit),9) FROM c) AS clip_det_acc50,
+ (SELECT round(avg(iou),9) FROM s) AS frame_mean_box_iou, (SELECT round(avg(iou),9) FROM c) AS clip_mean_box_iou,
+ (SELECT round(avg(miou),9) FROM s) AS frame_seg_miou, (SELECT round(avg(miou),9) FROM c) AS clip_seg_miou,
+ (SELECT round(avg(dice),9) FROM s) AS frame_seg_dice, (SELECT round(avg(dice),9) FROM c) AS clip_seg_dice,
  (SELECT count(dice) FROM s) AS frame_n_seg_scored, (SELECT count(dice) FROM c) AS clip_n_seg_scored,
- (SELECT round(sum(CASE WHEN gt=pred THEN w ELSE 0 END)/sum(w),6) FROM m) AS clip_top1,
+ (SELECT round(sum(CASE WHEN gt=pred THEN w ELSE 0 END)/sum(w),9) FROM m) AS clip_top1,
  (SELECT '['||string_agg(r, ',' ORDER BY gt)||']' FROM (SELECT gt, '['||string_agg(n::VARCHAR, ',' ORDER BY pred)||']' AS r FROM m GROUP BY gt)) AS confusion_matrix,
- (SELECT round(avg(det_conf),6) FROM s) AS mean_det_conf""", "evals classes")
+ (SELECT round(avg(det_conf),9) FROM s) AS mean_det_conf""", "evals classes")
 def evaluation_document(spark, sf):
     d = metrics.evaluation_document(metrics.checked_classes(I.evals(spark, sf)))
-    r6 = lambda c, n: F.round(C(c), 6).alias(n)
+    r9 = lambda c, n: F.round(C(c), 9).alias(n)
     return d.select(
-        "n_frames", "n_clips", *[r6(f"{g}.{m}", f"{g}_{m}") for m in ("det_acc50", "mean_box_iou", "seg_miou", "seg_dice") for g in ("frame", "clip")],
+        "n_frames", "n_clips", *[r9(f"{g}.{m}", f"{g}_{m}") for m in ("det_acc50", "mean_box_iou", "seg_miou", "seg_dice") for g in ("frame", "clip")],
         C("frame.n_seg_scored").alias("frame_n_seg_scored"), C("clip.n_seg_scored").alias("clip_n_seg_scored"),
-        r6("clip.cls_top1", "clip_top1"), F.to_json("confusion_matrix").alias("confusion_matrix"), r6("mean_det_conf", "mean_det_conf"))
+        r9("clip.cls_top1", "clip_top1"), F.to_json("confusion_matrix").alias("confusion_matrix"), r9("mean_det_conf", "mean_det_conf"))
 
 
-@query("A31", """SELECT subject, round(avg(CASE WHEN ann IS NOT NULL THEN 1e0 ELSE 0e0 END),6) AS annotated, round(avg(CASE WHEN ann IS NULL THEN 1e0 ELSE 0e0 END),6) AS skipped, count(*) AS n
+@query("A31", """SELECT subject, round(avg(CASE WHEN ann IS NOT NULL THEN 1e0 ELSE 0e0 END),9) AS annotated, round(avg(CASE WHEN ann IS NULL THEN 1e0 ELSE 0e0 END),9) AS skipped, count(*) AS n
 FROM frames GROUP BY subject""", "frames")
 def annotation_density(spark, sf):
     return I.frames(spark, sf).groupBy("subject").agg(
-        F.round(F.avg(flag(C("ann").isNotNull())), 6).alias("annotated"),
-        F.round(F.avg(flag(C("ann").isNull())), 6).alias("skipped"), F.count(F.lit(1)).alias("n"))
+        F.round(F.avg(flag(C("ann").isNotNull())), 9).alias("annotated"),
+        F.round(F.avg(flag(C("ann").isNull())), 9).alias("skipped"), F.count(F.lit(1)).alias("n"))
 
 
 @query("P13", "SELECT gt, pred, count(*) AS n FROM pred GROUP BY gt, pred", "pred")
@@ -192,9 +192,9 @@ def class_range_check(spark, sf):
     return metrics.checked_classes(I.pred(spark, sf)).groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P14", "SELECT frame_id, round((iou_hand+iou_bg)/2,6) AS miou FROM segrec", "segrec")
+@query("P14", "SELECT frame_id, round((iou_hand+iou_bg)/2,9) AS miou FROM segrec", "segrec")
 def segmentation_record(spark, sf):
-    return metrics.coerce_seg(I.segrec(spark, sf)).select("frame_id", F.round("miou", 6).alias("miou"))
+    return metrics.coerce_seg(I.segrec(spark, sf)).select("frame_id", F.round("miou", 9).alias("miou"))
 
 
 @query("P11", """SELECT count(DISTINCT k) AS n_clips, sum(CASE WHEN k LIKE '_frame%' THEN 1 ELSE 0 END)::BIGINT AS n_fallback FROM (
@@ -223,21 +223,21 @@ WITH b AS (SELECT CAST(i AS INT) AS bin, i*(1e0/15) AS lo, CASE WHEN i=14 THEN 1
 j AS (SELECT b.bin, b.lo, b.hi, p.conf, CASE WHEN p.gt=p.pred THEN 1e0 WHEN p.conf IS NOT NULL THEN 0e0 END AS ok FROM b LEFT JOIN pred p ON (p.conf>b.lo OR (b.bin=0 AND p.conf>=b.lo)) AND p.conf<=b.hi) """
 
 
-@query("A14 J8", _BINS + "SELECT bin, round(min(lo),6) AS lo, round(min(hi),6) AS hi, count(conf) AS n, round(avg(conf),6) AS conf, round(avg(ok),6) AS acc, round(count(conf)/(SELECT CAST(count(*) AS DOUBLE) FROM pred),6) AS share FROM j GROUP BY bin", "pred")
+@query("A14 J8", _BINS + "SELECT bin, round(min(lo),9) AS lo, round(min(hi),9) AS hi, count(conf) AS n, round(avg(conf),9) AS conf, round(avg(ok),9) AS acc, round(count(conf)/(SELECT CAST(count(*) AS DOUBLE) FROM pred),9) AS share FROM j GROUP BY bin", "pred")
 def reliability_curve(spark, sf):
     r = calibration.reliability(I.pred(spark, sf))
-    return r.select("bin", *[F.round(c, 6).alias(c) for c in ("lo", "hi")], "n", *[F.round(c, 6).alias(c) for c in ("conf", "acc", "share")])
+    return r.select("bin", *[F.round(c, 9).alias(c) for c in ("lo", "hi")], "n", *[F.round(c, 9).alias(c) for c in ("conf", "acc", "share")])
 
 
-@query("A13", _BINS + "SELECT round(sum(n*abs(a-c))/(SELECT CAST(count(*) AS DOUBLE) FROM pred),6) AS cls_ece, (SELECT count(*) FROM pred) AS n FROM (SELECT bin, count(conf) AS n, avg(conf) AS c, avg(ok) AS a FROM j GROUP BY bin)", "pred")
+@query("A13", _BINS + "SELECT round(sum(n*abs(a-c))/(SELECT CAST(count(*) AS DOUBLE) FROM pred),9) AS cls_ece, (SELECT count(*) FROM pred) AS n FROM (SELECT bin, count(conf) AS n, avg(conf) AS c, avg(ok) AS a FROM j GROUP BY bin)", "pred")
 def calibration_error(spark, sf):
-    return calibration.calibration_error(I.pred(spark, sf)).select(F.round("cls_ece", 6).alias("cls_ece"), "n")
+    return calibration.calibration_error(I.pred(spark, sf)).select(F.round("cls_ece", 9).alias("cls_ece"), "n")
 
 
 def _boot_sql(cols: str, names: list[str], where: str, seed: int, draws: int) -> str:
     agg = ", ".join(f"sum(s_{m})/nullif(sum(n_{m}),0) AS {m}" for m in names)
     rows = " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, round((SELECT sum(s_{m})/sum(n_{m}) FROM c),6) AS mean, round(quantile_cont({m},0.025),6) AS lo, round(quantile_cont({m},0.975),6) AS hi, (SELECT count(*) FROM c) AS n_clips FROM d"
+        f"SELECT '{m}' AS metric, round((SELECT sum(s_{m})/sum(n_{m}) FROM c),9) AS mean, round(quantile_cont({m},0.025),9) AS lo, round(quantile_cont({m},0.975),9) AS hi, (SELECT count(*) FROM c) AS n_clips FROM d"
         for m in names)
     return f"""
 WITH c AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(l_suppkey AS VARCHAR)), l_suppkey)-1 AS pos FROM (SELECT l_suppkey, {cols} FROM pred_iou WHERE {where} GROUP BY l_suppkey)),
@@ -254,7 +254,7 @@ def _sums(**m):
 @query("A16", _boot_sql(_sums(cls_top1="CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END"), ["cls_top1"], "true", 0, 200), "pred_iou")
 def bootstrap_interval(spark, sf):
     out = bootstrap.clip_intervals(I.pred(spark, sf), "l_suppkey", {"cls_top1": flag(C("gt") == C("pred"))}, n_boot=200)
-    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n_clips")
+    return out.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "n_clips")
 
 
 @query("A17", _boot_sql(_sums(det_acc50="CASE WHEN iou>=0.5e0 THEN 1e0 ELSE 0e0 END", det_acc75="CASE WHEN iou>=0.75e0 THEN 1e0 ELSE 0e0 END", mean_box_iou="iou"), ["det_acc50", "det_acc75", "mean_box_iou"], "has_mask", 0, 100), "pred_iou")
@@ -262,7 +262,7 @@ def bootstrap_metrics(spark, sf):
     out = bootstrap.clip_intervals(
         I.pred_iou(spark, sf).filter("has_mask"), "l_suppkey",
         {"det_acc50": flag(C("box_iou") >= 0.5), "det_acc75": flag(C("box_iou") >= 0.75), "mean_box_iou": C("box_iou")}, n_boot=100)
-    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n_clips")
+    return out.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "n_clips")
 
 
 @query("A16 A17")

@@ -144,9 +144,9 @@ def moving_average(spark, sf):
     return series.moving_average(I.epochs(spark, sf), ramp=20.0).withColumn("ema", F.round("ema", 6))
 
 
-@query("W14", "SELECT run, epoch, 'val' AS part, 'score' AS name, score AS value FROM epochs WHERE n >= 60 UNION ALL SELECT run, epoch, 'train', 'loss', round(1-score,9) FROM epochs", "epochs")
+@query("W14", "SELECT run, epoch, 'val' AS part, 'score' AS name, score AS value FROM epochs WHERE n >= 60 UNION ALL SELECT run, epoch, 'train', 'loss', round(1-score,12) FROM epochs", "epochs")
 def curve_points(spark, sf):
-    e = I.epochs(spark, sf).select("run", "epoch", F.round(F.lit(1.0) - C("score"), 9).alias("train/loss"), F.when(C("n") >= 60, C("score")).alias("val/score"), C("n").alias("train/n_annotated"))
+    e = I.epochs(spark, sf).select("run", "epoch", F.round(F.lit(1.0) - C("score"), 12).alias("train/loss"), F.when(C("n") >= 60, C("score")).alias("val/score"), C("n").alias("train/n_annotated"))
     return series.curves(e, ["run", "epoch"])
 
 
