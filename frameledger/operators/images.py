@@ -360,33 +360,45 @@ def flip_box(box, w, when: Column) -> list[Column]:
 
 
 def crop_proposals(frames: DataFrame, seed, w: int, h: int, attempts: int = 10, scale=(0.5, 1.0), ratio=(3 / 4, 4 / 3)) -> DataFrame:
-    """Hashed crop proposals per frame; those that do not fit are dropped."""
-    key = (C("frame_id"), C("attempt"))
-    p = frames.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    area = uniform_between(scale[0], scale[1], f"{seed}-area", *key) * float(w * h)
-    ar = F.exp(uniform_between(math.log(ratio[0]), math.log(ratio[1]), f"{seed}-ratio", *key))
-    p = p.withColumns({"cw": F.bround(F.sqrt(area * ar)).cast("int"), "ch": F.bround(F.sqrt(area / ar)).cast("int")})
-    p = p.filter(C("cw").between(1, w) & C("ch").between(1, h))
-    return p.withColumns({"x0": F.floor(uniform(f"{seed}-x", *key) * (F.lit(w + 1) - C("cw"))).cast("int"),
-                          "y0": F.floor(uniform(f"{seed}-y", *key) * (F.lit(h + 1) - C("ch"))).cast("int")})
-
-
-def choose_crop(frames: DataFrame, px: DataFrame, on: Column, seed, w: int, h: int, min_visible: float = 0.5) -> DataFrame:
+    """Array `props` of hashed crop proposals per frame; those that do not fit are dropped."""
+    f = C("frame_id")
+
+    def shape(k):
+        area = uniform_between(scale[0], scale[1], f"{seed}-area", f, k) * float(w * h)
+        ar = F.exp(uniform_between(math.log(ratio[0]), math.log(ratio[1]), f"{seed}-ratio", f, k))
+        return F.struct(k.alias("attempt"), F.bround(F.sqrt(area * ar)).cast("int").alias("cw"), F.bround(F.sqrt(area / ar)).cast("int").alias("ch"))
+
+    def place(p):
+        k, cw, ch = p["attempt"], p["cw"], p["ch"]
+        return F.struct(k.alias("attempt"), cw.alias("cw"), ch.alias("ch"),
+                        F.floor(uniform(f"{seed}-x", f, k) * (F.lit(w + 1) - cw)).cast("int").alias("x0"),
+                        F.floor(uniform(f"{seed}-y", f, k) * (F.lit(h + 1) - ch)).cast("int").alias("y0"))
+
+    fits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), shape), lambda p: p["cw"].between(1, w) & p["ch"].between(1, h))
+    return frames.withColumn("props", F.transform(fits, place))
+
+
+def choose_crop(frames: DataFrame, px: DataFrame, on: Column, seed, w: int, h: int, min_visible: float = 0.5, attempts: int = 10) -> DataFrame:
     """First proposal that keeps enough of the mask, else the whole image. Adds the visible share.
 
-    Placed by frame throughout: proposals (ten per frame) meet the foreground of the same frame.
+    A foreground pixel meets its frame's one row of proposals and counts for each of them, so no
+    rows are multiplied. An empty mask takes the first proposal.
     """
-    prop = crop_proposals(frames.select("frame_id"), seed, w, h)
-    fg = px.filter(on).select("frame_id", "y", "x")
-    inside = (C("x") >= C("x0")) & (C("x") < C("x0") + C("cw")) & (C("y") >= C("y0")) & (C("y") < C("y0") + C("ch"))
-    seen = (prop.join(fg, "frame_id", "left").groupBy("frame_id", "attempt", "cw", "ch", "x0", "y0")
-            .agg(F.count_if(inside).alias("vis"), F.count("x").alias("fg")))
-    valid = (C("fg") == 0) | (C("vis") >= F.greatest(F.lit(1), F.ceil(C("fg") * min_visible)))
-    pick = seen.groupBy("frame_id").agg(F.min(F.when(valid, F.struct("attempt", "cw", "ch", "x0", "y0", "vis"))).alias("p"), F.max("fg").alias("_fg"))
-    j = frames.join(pick, "frame_id", "left")
-    share = F.when(C("_fg") > 0, F.coalesce(C("p.vis") / C("_fg"), F.lit(1.0)))
-    return j.select(*frames.columns, *[F.coalesce(C(f"p.{n}"), F.lit(d)).alias(n) for n, d in (("cw", w), ("ch", h), ("x0", 0), ("y0", 0))],
-                    share.alias("visible"))
+    prop = crop_proposals(frames.select("frame_id"), seed, w, h, attempts)
+    def inside(k):
+        p = f"get(props, {k})"          # NULL where fewer proposals fit
+        return f"x >= {p}.x0 AND x < {p}.x0 + {p}.cw AND y >= {p}.y0 AND y < {p}.y0 + {p}.ch"
+
+    seen = (px.filter(on).select("frame_id", "y", "x").join(prop, "frame_id").groupBy("frame_id")
+            .agg(F.count(F.lit(1)).alias("fg"), *[F.expr(f"count_if({inside(k)})").alias(f"v{k}") for k in range(attempts)]))
+    j = prop.join(seen, "frame_id", "left").withColumn("vis", F.array(*[F.coalesce(f"v{k}", F.lit(0)) for k in range(attempts)]))
+    need = F.greatest(F.lit(1), F.ceil(C("fg") * min_visible))
+    tried = F.zip_with(C("props"), F.slice("vis", 1, F.size("props")), lambda p, v: F.when(C("fg").isNull() | (v >= need), F.struct(
+        *[p[n].alias(n) for n in ("cw", "ch", "x0", "y0")], v.alias("vis"))))
+    j = j.withColumn("_p", F.try_element_at(F.array_compact(tried), F.lit(1)))
+    chosen = j.select("frame_id", *[F.coalesce(C(f"_p.{n}"), F.lit(d)).alias(n) for n, d in (("cw", w), ("ch", h), ("x0", 0), ("y0", 0))],
+                      F.when(C("fg") > 0, F.coalesce(C("_p.vis") / C("fg"), F.lit(1.0))).alias("visible"))
+    return frames.join(chosen, "frame_id")
 
 
 def crop(px: DataFrame, x0: Column, y0: Column, cw: Column, ch: Column) -> DataFrame:

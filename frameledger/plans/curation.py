@@ -114,15 +114,15 @@ def annotated_flag(spark, sf):
     return I.frames(spark, sf).groupBy("cls").agg(F.count("ann").alias("has_mask"), F.count(F.lit(1)).alias("n"))
 
 
-@query("J10 X7", "SELECT cls, clip, count(*) AS n FROM frames ANTI JOIN (SELECT cls, clip FROM frames WHERE oid % 3 = 0 GROUP BY 1,2 HAVING count(*) >= 100) d USING (cls, clip) GROUP BY 1,2", "frames")
+@query("J10 X7", "SELECT cls, clip, count(*) AS n FROM frames ANTI JOIN (SELECT cls, clip FROM frames WHERE ann IS NULL GROUP BY 1,2 HAVING count(*) >= 100) d USING (cls, clip) GROUP BY 1,2", "frames")
 def resume_unfinished(spark, sf):
     f = I.frames(spark, sf)
-    return _count(curate.unfinished(f, f.filter("oid % 3 = 0"), ["cls", "clip"], 100), "cls", "clip")
+    return _count(curate.unfinished(f, f.filter("ann IS NULL"), ["cls", "clip"], 100), "cls", "clip")
 
 
-@query("J11 U3", "SELECT gesture FROM classes WHERE cls NOT IN (SELECT cls FROM frames WHERE oid % 10 < 7)", "frames classes")
+@query("J11 U3", "SELECT gesture FROM classes WHERE cls NOT IN (SELECT cls FROM frames WHERE cls < 7)", "frames classes")
 def missing_classes(spark, sf):
-    seen = I.frames(spark, sf).filter("oid % 10 < 7").select("cls").distinct()
+    seen = I.frames(spark, sf).filter("cls < 7").select("cls").distinct()
     return curate.unmatched(I.classes(spark), seen, ["cls"]).select("gesture")
 
 
