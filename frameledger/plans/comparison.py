@@ -50,9 +50,7 @@ def result_documents(spark, sf):
     path = scratch_path(spark, "results")
     r.select("run", doc.alias("value")).repartition("run").write.partitionBy("run").text(path + "/good")
     r.filter("fam = 'b0'").select(F.lit("{ broken").alias("value"), F.concat(F.lit("bad_"), C("run")).alias("run")).write.partitionBy("run").text(path + "/bad")
-    raw = (spark.read.schema(readers.RESULT_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
-           .json([path + "/good/run=*", path + "/bad/run=*"]).withColumn("run", F.regexp_extract("_metadata.file_path", "run=([^/]+)/", 1)))
-    good = raw.filter(C("_corrupt").isNull()).drop("_corrupt")
+    good, _ = readers.result_set(spark, [path + "/good/run=*", path + "/bad/run=*"], F.regexp_extract("_metadata.file_path", "run=([^/]+)/", 1), "*.txt")
     flat = compare.suppress_absent(readers.result_headlines(good))
     return flat.select("run", "n_frames", *_r("det_acc50", "cls_top1"), F.coalesce("cls_ece", F.lit(0.0)).alias("cls_ece_missing"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from frameledger.operators.curate import parse_tree_path
 
@@ -52,11 +52,14 @@ def packed_index(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return rows.select("root", "r.*", F.try_element_at("split_map", C("r.subject")).alias("split"))
 
 
-def result_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(results keyed by file stem, unreadable files). A bad file never stops the others."""
+def result_set(spark: SparkSession, path: str | list[str], run: Column | None = None, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(results keyed by run, unreadable files). A bad file never stops the others.
+
+    The run is the file stem unless another expression over `_metadata` is given.
+    """
+    key = run if run is not None else F.regexp_replace(C("_metadata.file_name"), r"\.json$", "")
     raw = (spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
-           .withColumn("run", F.regexp_replace(C("_metadata.file_name"), r"\.json$", "")))
+           .option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", glob).json(path).withColumn("run", key))
     # The second test is never true; Spark refuses a scan of the corrupt-record column alone.
     bad = C("_corrupt").isNotNull() | C("n_frames").eqNullSafe(F.lit(-1).cast("long"))
     return raw.filter(~bad).drop("_corrupt"), raw.filter(bad).select("run", "_corrupt")
