@@ -3,12 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frameledger.llm.registry import CHECKS, QUERIES, query, table
+from frameledger.llm.samples import remainder
 
 __all__ = ["CHECKS", "QUERIES"]
 
 
+@query
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from pairs of labelled ones outside the held-out third."""
+    from frameledger.llm import quality_rank
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_rank.fit(docs, labels.where(remainder("doc_id", 3) != 1))
+    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return quality_rank.rate(docs, model).select("doc_id", held, "score", "predicted", "rank")
+
+
+@query
+def op2_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt outside the held-out fifth."""
+    from frameledger.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, docs.where(remainder("doc_id", 5) != 0))
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return language_id.identify(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
+
+
+@query
+def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from frameledger.llm.page_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of all documents, and the verdict of rules and isolation forest."""
+    from frameledger.llm import rule_forest
+
+    docs = table(spark, sf_dir, "documents")
+    return rule_forest.judge(docs, rule_forest.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in groups whose SimHash fingerprints link at 4 or fewer differing bits."""
@@ -17,6 +58,14 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    from frameledger.llm.credential_scan import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 4,096 tokens."""
