@@ -98,22 +98,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", sample: int = 3
                     example = []
                     for piece in [t, *lines[:: max(1, len(lines) // 3)][:3]]:
                         h, n = np.unique(subwords([piece], buckets)[0], return_counts=True)
-                        example.append({"h": h.astype(np.int32).tolist(), "n": n.astype(np.float32).tolist()})
+                        example.append(h.astype("<u4").tobytes() + n.astype("<f4").tobytes())
                     out.append(example)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.struct([("h", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "x"])
 
     # `ids` has at most `sample` rows, so it can be sent to every executor.
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    rows = with_labels(chosen.mapInArrow(run, "doc_id bigint, x array<struct<h:array<int>,n:array<float>>>"), ids, sample)
+    rows = with_labels(chosen.mapInArrow(run, "doc_id bigint, x array<binary>"), ids, sample)
     names = sorted({r["label"] for r in rows})
     if not names:
         return None
     examples, held = [], []
     for i, r in enumerate(rows):
         for x in r["x"]:
-            if x["h"]:
-                n = np.array(x["n"], np.float32)
-                (held if i % 5 == 4 else examples).append((np.array(x["h"]), n / n.sum(), names.index(r["label"])))
+            if x:                                   # bucket numbers, then their counts
+                h, n = np.frombuffer(x[: len(x) // 2], "<u4"), np.frombuffer(x[len(x) // 2 :], "<f4")
+                (held if i % 5 == 4 else examples).append((h, n / n.sum(), names.index(r["label"])))
     rng = np.random.default_rng(seed)
     embed, out, bias = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), np.zeros((dim, len(names)), np.float32), np.zeros(len(names), np.float32)
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
