@@ -66,6 +66,14 @@ def op7_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_hamming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark."""
+    from frameledger.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 4,096 tokens."""
