@@ -66,6 +66,14 @@ def op7_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 or more words that stand in two documents."""
+    from frameledger.llm.sparse_suffixes import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_hamming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark."""
