@@ -33,6 +33,14 @@ def op2_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
 
 
+@query
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate passages of 50 or more words in two documents."""
+    from frameledger.llm.compact_windows import similar_passages
+
+    return similar_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
