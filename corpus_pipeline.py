@@ -2,23 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frameledger.sources.durable import scratch_path
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one that names it."""
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go: no letter, or a probability under the calibrated bound.
+
+    The model learns from the labelled rows of `docs`; texts keep their label. Every row is judged by its own text.
+    """
+    from frameledger.llm import language_id
+    from frameledger.llm.arrow_text import slices, texts
+
+    model = language_id.fit(docs, docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                rejected = language_id.predict(model, texts(part.column("text")))[2]
+                yield part.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one of the smallest doc_id; of rows that repeat it, one."""
     from frameledger.llm.simhash_groups import group_near_duplicates
 
     groups = group_near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    # Rows without an id can name no group: one stays of each fingerprint's group that has no id at all.
+    named = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bare = docs.where("doc_id is null")
+    if bare.isEmpty():
+        return named.select(docs.columns)
+    kept = groups.where("component_id is null").select("fingerprint").distinct()
+    from frameledger.llm.simhash_groups import fingerprint
+
+    prints = F.udf(lambda t: f"{fingerprint((t or '').encode()) & (1 << 64) - 1:016x}")
+    marked = bare.withColumn("fingerprint of the row", prints("text"))
+    alone = marked.join(kept, marked["fingerprint of the row"] == kept["fingerprint"], "left_semi").dropDuplicates(["fingerprint of the row"])
+    return named.select(docs.columns).unionByName(alone.select(docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    from frameledger.llm.decontaminate import contaminated
+
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    found = contaminated(docs, items).select(F.col("doc_id").alias("found")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found")), "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; n_chars follows. No document goes."""
+    from frameledger.llm.arrow_text import slices, texts
+    from frameledger.llm.credential_scan import redact_text
+
+    where, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                changed = [redact_text(t) for t in texts(part.column("text"))]
+                if any(c is not None for c in changed):
+                    old = part.column("text").to_pylist()
+                    columns = list(part.columns)
+                    columns[where] = pa.array([o if c is None else c for o, c in zip(old, changed)], part.schema.field(where).type)
+                    if count is not None:
+                        sizes = part.column("n_chars").to_pylist()
+                        columns[count] = pa.array([s if c is None else len(c) for s, c in zip(sizes, changed)], part.schema.field(count).type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of 4,096 tokens."""
+    """Packed sequences of 4,096 tokens: a row for each piece of a document."""
     import public_tokenizers
 
     from frameledger.llm.packing import pack
@@ -27,11 +92,15 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_copies", near_copies),
+    ("language", drop_unknown_language),
+    ("near_copies", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("secrets", redact_secrets),
     ("pack", pack_tokens),
 ]
 
-#: No stage can be stated in SQL (hashed models, component search, a tokenizer); see tests/llm/test_pipeline.py.
+#: No stage can be stated in SQL but the third (hashed models, component search, a cost model, a tokenizer);
+#: tests/llm/test_pipeline.py checks run() against brute force.
 ORACLE_SQL: str | None = None
 
 
