@@ -49,13 +49,18 @@ def guess_cost(value: str) -> float:
     Segments: a listed word (its rank, more for capitals), a date (the days of two centuries, or its years), a repeat of
     a unit (the unit's guesses times the count), a walk over neighbouring keys (keys, directions, length), or a
     brute-force span (the alphabet of its characters to the power of its length). Segments multiply, and s of them can
-    stand in s! orders. Patterns reach at most 24 characters; brute force has no such bound.
+    stand in s! orders (up to 12). A walk has at most 24 keys; a repeat goes on as long as it can.
     """
     n, low = len(value), value.lower()
     if not n:
         return 0.0
     size = {"d": 10, "l": 26, "u": 26, "o": 33}
     kind = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in value]
+    # same[u][i]: how many characters from i on equal the ones u further.
+    same = {u: [0] * (n + 1) for u in range(1, min(9, n))}
+    for u, again in same.items():
+        for i in range(n - u - 1, -1, -1):
+            again[i] = again[i + 1] + 1 if value[i] == value[i + u] else 0
     # best[i]: for the first i characters, by number of segments, the least sum of logarithms.
     single = [math.log10(size[k]) for k in kind]
     best: list[dict[int, float]] = [{0: 0.0}] + [{} for _ in range(n)]
@@ -80,12 +85,10 @@ def guess_cost(value: str) -> float:
                 put(end, math.log10(rank + 1) + (0.3 * (1 + (not value[i:end].istitle())) if value[i:end] != low[i:end] else 0))
         if kind[i] == "d" and (m := _DATE.match(value, i)):
             put(m.end(), math.log10(200 if m.end() - i == 4 else 73_000))
-        for unit in range(1, 9):
-            k = 1
-            while i + (k + 1) * unit <= min(n, i + 64) and value[i + k * unit : i + (k + 1) * unit] == value[i : i + unit]:
-                k += 1
-                if k * unit >= 3:
-                    put(i + k * unit, sum(single[i : i + unit]) + math.log10(k))
+        for unit, again in same.items():
+            k = again[i] // unit + 1
+            if k > 1 and k * unit >= 3:
+                put(i + k * unit, sum(single[i : i + unit]) + math.log10(k))
         end = i + 1
         while end < min(n, i + _REACH) and _beside(low[end - 1], low[end]):
             end += 1
@@ -120,7 +123,7 @@ def scan(text: str, least_guesses: float = 8.0, least_length: int = 8) -> list[t
         for m in pattern.finditer(text):
             a, value = m.start(group), m[group].rstrip(".!?)")
             b = a + len(value)
-            if len(value) >= least_length and _looks_made(value) and not any(x < b and a < y for x, y in taken) and guess_cost(value[:256]) >= least_guesses:
+            if len(value) >= least_length and _looks_made(value) and not any(x < b and a < y for x, y in taken) and guess_cost(value) >= least_guesses:
                 found.append((3, a, b, a))
                 taken.append((a, b))
     return sorted(found, key=lambda x: (x[1], x[0]))

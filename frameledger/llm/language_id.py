@@ -51,7 +51,8 @@ def subwords(raw: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ x[at + i]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
         hashes.append(h & np.uint32(buckets - 1))
-        rows.append(row[at + n // 2 - 1 if n > 2 else at])
+        # The text of a letter in it: the second place, or of two the one that is a letter.
+        rows.append(row[at + 1] if n > 2 else np.where(solid[at], row[at], row[at + 1]))
     return np.concatenate(hashes), np.concatenate(rows)
 
 
