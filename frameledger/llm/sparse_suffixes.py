@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameledger.llm.arrow_text import Words, mixed, shingles, slices
-from frameledger.llm.text_classes import copies, text_classes
-from frameledger.sources.durable import cut_lineage
+from frameledger.llm.text_classes import copies, stored, text_classes
 
 #: Words of the shingles that are compared to select positions; shingles of a selection window.
 SHINGLE, SPAN = 5, 20
@@ -70,11 +69,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 hashes = w.hashes()
                 at = anchors(w, hashes)
                 at = at[at + head <= w.first[w.row[at] + 1]]
-                yield pa.RecordBatch.from_arrays([part.column("cls").take(pa.array(w.row[at])), pa.array(at - w.first[w.row[at]], pa.int32()), pa.array(_window_hash(hashes, at, head).view(np.int64))], names=["cls", "pos", "h"])
+                yield pa.RecordBatch.from_arrays([part.column("tid").take(pa.array(w.row[at])), pa.array(at - w.first[w.row[at]], pa.int32()), pa.array(_window_hash(hashes, at, head).view(np.int64))], names=["tid", "pos", "h"])
 
-    every = cut_lineage(texts.select("cls", "text").mapInArrow(heads, "cls string, pos int, h bigint"))
-    shared = every.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h")
-    wanted = every.join(shared, "h").groupBy("cls").agg(F.collect_list("pos").alias("at"))      # bounded by the text
+    every = stored(texts.select("tid", "text").mapInArrow(heads, "tid bigint, pos int, h bigint"), "anchors")
+    shared = every.groupBy("h").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("h")
+    wanted = every.join(shared, "h").groupBy("tid").agg(F.collect_list("pos").alias("at"))      # bounded by the text
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,11 +87,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 at, first, last = pos + w.first[row], w.first[row], w.first[row + 1]
                 right, before = _context(short, at, first, last, least, 1), _context(short, at - 1, first, last, left, -1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cls").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array([x.tobytes() for x in right], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary())],
-                    names=["cls", "pos", "suffix", "before"])
+                    [part.column("tid").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array([x.tobytes() for x in right], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary())],
+                    names=["tid", "pos", "suffix", "before"])
 
-    found = cut_lineage(texts.select("cls", "text").join(wanted, "cls").mapInArrow(suffixes, "cls string, pos int, suffix binary, before binary"))
-    ordered = found.repartitionByRange("suffix", "before", "cls", "pos").sortWithinPartitions("suffix", "before", "cls", "pos")
+    found = stored(texts.select("tid", "text").join(wanted, "tid").mapInArrow(suffixes, "tid bigint, pos int, suffix binary, before binary"), "suffixes")
+    ordered = found.repartitionByRange("suffix", "before", "tid", "pos").sortWithinPartitions("suffix", "before", "tid", "pos")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,26 +106,26 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 yield _edge(batch.slice(0, 1), part, "first")
                 first = False
             # The last row, and the last of another text, meet what follows.
-            names = rows.column("cls").to_pylist()
+            names = rows.column("tid").to_pylist()
             other = next((i for i in range(len(names) - 2, -1, -1) if names[i] != names[-1]), None)
             carried = pa.Table.from_batches([rows.slice(other, 1), rows.slice(len(names) - 1, 1)] if other is not None else [rows.slice(len(names) - 1, 1)]).combine_chunks().to_batches()[0]
         if carried is not None:
             yield _edge(carried.slice(carried.num_rows - 1, 1), part, "last")
 
-    pairs = cut_lineage(ordered.mapInArrow(neighbours, "cls string, pos int, start int, n int, other string, other_start int, part int, edge string, suffix binary, before binary"))
+    pairs = stored(ordered.mapInArrow(neighbours, "tid bigint, pos int, start int, n int, other bigint, other_start int, part int, edge string, suffix binary, before binary"), "finds")
     # Two rows per range partition: neighbours across their bounds. One small task by nature.
     bounds = pairs.where("edge is not null").withColumn("i", F.lit(0))
     prior = Window.partitionBy("i").orderBy("part", F.col("edge") == "last")
-    held = bounds.withColumn("prev", F.lag(F.struct("cls", "pos", "suffix", "before")).over(prior)).where("edge = 'first' and prev is not null")
+    held = bounds.withColumn("prev", F.lag(F.struct("tid", "pos", "suffix", "before")).over(prior)).where("edge = 'first' and prev is not null")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                rows = pa.RecordBatch.from_pylist([r["prev"], {k: r[k] for k in ("cls", "pos", "suffix", "before")}], pa.schema([("cls", pa.string()), ("pos", pa.int32()), ("suffix", pa.binary()), ("before", pa.binary())]))
-                yield _compare(rows, least, left).select(["cls", "pos", "start", "n", "other", "other_start"])
+                rows = pa.RecordBatch.from_pylist([r["prev"], {k: r[k] for k in ("tid", "pos", "suffix", "before")}], pa.schema([("tid", pa.int64()), ("pos", pa.int32()), ("suffix", pa.binary()), ("before", pa.binary())]))
+                yield _compare(rows, least, left).select(["tid", "pos", "start", "n", "other", "other_start"])
 
-    near = pairs.where("edge is null").select("cls", "pos", "start", "n", "other", "other_start").unionAll(
-        held.select("cls", "pos", "suffix", "before", "prev").mapInArrow(across, "cls string, pos int, start int, n int, other string, other_start int"))
+    near = pairs.where("edge is null").select("tid", "pos", "start", "n", "other", "other_start").unionAll(
+        held.select("tid", "pos", "suffix", "before", "prev").mapInArrow(across, "tid bigint, pos int, start int, n int, other bigint, other_start int"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,25 +140,25 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 cut = np.ascontiguousarray(line[:, left - o : left - o + least])
                 ok = np.flatnonzero((cut != 0).all(1))
                 keys = [x.tobytes() for x in cut[ok]]
-                yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(ok)), pa.array(pos[ok] - o, pa.int32()), pa.array(keys, pa.binary())], names=["cls", "start", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(ok)), pa.array(pos[ok] - o, pa.int32()), pa.array(keys, pa.binary())], names=["tid", "start", "words"])
 
-    settled = near.select("cls", "pos").distinct()
-    open_rows = found.join(settled, ["cls", "pos"], "left_anti")
-    keyed = open_rows.mapInArrow(windows, "cls string, start int, words binary").select("cls", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2"))
+    settled = near.select("tid", "pos").distinct()
+    open_rows = found.join(settled, ["tid", "pos"], "left_anti")
+    keyed = open_rows.mapInArrow(windows, "tid bigint, start int, words binary").select("tid", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2"))
     # A window of an open position may meet one of a settled position: those are keyed too, where they share a head.
-    settled_keys = found.join(settled, ["cls", "pos"], "left_semi").join(open_rows.select(F.xxhash64(F.substring("suffix", 1, 4 * head)).alias("hh")).distinct(), F.xxhash64(F.substring("suffix", 1, 4 * head)) == F.col("hh"), "left_semi")
-    all_keys = keyed.unionAll(settled_keys.mapInArrow(windows, "cls string, start int, words binary").select("cls", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2")))
-    low = all_keys.groupBy("k", "k2").agg(F.min(F.struct("cls", "start")).alias("low"), F.max(F.struct("cls", "start")).alias("high")).where("low.cls <> high.cls")
-    more = all_keys.join(low, ["k", "k2"]).select("cls", "start", F.lit(least).alias("n"), F.when(F.col("cls") == F.col("low.cls"), F.col("high")).otherwise(F.col("low")).alias("o")).select("cls", "start", "n", F.col("o.cls").alias("other"), F.col("o.start").alias("other_start"))
-    spans = near.select("cls", "start", "n", "other", "other_start").unionAll(more).distinct()
+    settled_keys = found.join(settled, ["tid", "pos"], "left_semi").join(open_rows.select(F.xxhash64(F.substring("suffix", 1, 4 * head)).alias("hh")).distinct(), F.xxhash64(F.substring("suffix", 1, 4 * head)) == F.col("hh"), "left_semi")
+    all_keys = keyed.unionAll(settled_keys.mapInArrow(windows, "tid bigint, start int, words binary").select("tid", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2")))
+    low = all_keys.groupBy("k", "k2").agg(F.min(F.struct("tid", "start")).alias("low"), F.max(F.struct("tid", "start")).alias("high")).where("low.tid <> high.tid")
+    more = all_keys.join(low, ["k", "k2"]).select("tid", "start", F.lit(least).alias("n"), F.when(F.col("tid") == F.col("low.tid"), F.col("high")).otherwise(F.col("low")).alias("o")).select("tid", "start", "n", F.col("o.tid").alias("other"), F.col("o.start").alias("other_start"))
+    spans = near.select("tid", "start", "n", "other", "other_start").unionAll(more).distinct()
 
     # Join overlapping finds of a text; a text's finds are bounded by its length.
-    by_text = Window.partitionBy("cls").orderBy("start", F.desc("n"), "other", "other_start")
+    by_text = Window.partitionBy("tid").orderBy("start", F.desc("n"), "other", "other_start")
     islands = (spans.withColumn("end", F.col("start") + F.col("n")).withColumn("before", F.max("end").over(by_text.rowsBetween(Window.unboundedPreceding, -1)))
                .withColumn("island", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(by_text)))
-    joined = islands.groupBy("cls", "island").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_words"), F.min(F.struct("start", "other", "other_start")).alias("o"))
-    named = texts.select("cls", "doc_id").distinct()
-    passages = (joined.join(named, "cls").join(named.withColumnsRenamed({"cls": "other", "doc_id": "other_doc_id"}), F.col("o.other") == F.col("other"))
+    joined = islands.groupBy("tid", "island").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_words"), F.min(F.struct("start", "other", "other_start")).alias("o"))
+    named = texts.select("tid", "doc_id")
+    passages = (joined.join(named, "tid").join(named.withColumnsRenamed({"tid": "other", "doc_id": "other_doc_id"}), F.col("o.other") == F.col("other"))
                 .select(F.lit("passage").alias("kind"), "doc_id", "start", "n_words", "other_doc_id", F.col("o.other_start").alias("other_start")))
     sizes = texts.select("cls", F.size(F.array_remove(F.split(F.regexp_replace("text", "[\\x09-\\x0D]", " "), " "), "")).alias("n_words")).distinct().where(F.col("n_words") >= least)
     whole = copies(members, sizes).select(F.lit("copy").alias("kind"), "doc_id", F.lit(0).alias("start"), "n_words", F.col("rep_doc_id").alias("other_doc_id"), F.lit(0).alias("other_start"))
@@ -177,8 +176,7 @@ def _window_hash(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 def _compare(rows: pa.RecordBatch, least: int, left: int) -> pa.RecordBatch:
     """Finds of each row with the nearest row above of another text, for both of the two."""
     n = rows.num_rows
-    names = rows.column("cls").to_pylist()
-    code = np.unique(np.array(names, object).astype(str), return_inverse=True)[1]
+    code = rows.column("tid").to_numpy()
     begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     above = np.repeat(begins, np.diff(np.concatenate([begins, [n]]))) - 1
     at = np.flatnonzero(above >= 0)
@@ -191,15 +189,15 @@ def _compare(rows: pa.RecordBatch, least: int, left: int) -> pa.RecordBatch:
     pos = rows.column("pos").to_numpy().astype(np.int64)
     one, two = np.concatenate([at, above]), np.concatenate([above, at])
     b2, total = np.concatenate([b, b]), np.concatenate([r + b, r + b])
-    take = lambda i: rows.column("cls").take(pa.array(i))
+    take = lambda i: rows.column("tid").take(pa.array(i))
     nothing = lambda kind: pa.nulls(len(one), kind)
     return pa.RecordBatch.from_arrays(
         [take(one), pa.array(pos[one], pa.int32()), pa.array(pos[one] - b2, pa.int32()), pa.array(total, pa.int32()), take(two), pa.array(pos[two] - b2, pa.int32()),
          nothing(pa.int32()), nothing(pa.string()), nothing(pa.binary()), nothing(pa.binary())],
-        names=["cls", "pos", "start", "n", "other", "other_start", "part", "edge", "suffix", "before"])
+        names=["tid", "pos", "start", "n", "other", "other_start", "part", "edge", "suffix", "before"])
 
 
 def _edge(row: pa.RecordBatch, part: int, edge: str) -> pa.RecordBatch:
     none = pa.nulls(1, pa.int32())
-    return pa.RecordBatch.from_arrays([row.column("cls"), row.column("pos"), none, none, pa.nulls(1, pa.string()), none, pa.array([part], pa.int32()), pa.array([edge]), row.column("suffix"), row.column("before")],
-                                      names=["cls", "pos", "start", "n", "other", "other_start", "part", "edge", "suffix", "before"])
+    return pa.RecordBatch.from_arrays([row.column("tid"), row.column("pos"), none, none, pa.nulls(1, pa.int64()), none, pa.array([part], pa.int32()), pa.array([edge]), row.column("suffix"), row.column("before")],
+                                      names=["tid", "pos", "start", "n", "other", "other_start", "part", "edge", "suffix", "before"])
