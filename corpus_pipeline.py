@@ -31,22 +31,22 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest doc_id; of rows that repeat it, one."""
-    from frameledger.llm.simhash_groups import group_near_duplicates
+    """One document of each near-duplicate group stays, the one of the smallest doc_id; of rows that repeat it, one.
+
+    Rows without an id name no group: of groups of such rows alone, one row of each fingerprint stays.
+    """
+    from frameledger.llm.simhash_groups import fingerprint, group_near_duplicates
 
     groups = group_near_duplicates(docs)
-    # Rows without an id can name no group: one stays of each fingerprint's group that has no id at all.
-    named = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     bare = docs.where("doc_id is null")
     if bare.isEmpty():
-        return named.select(docs.columns)
-    kept = groups.where("component_id is null").select("fingerprint").distinct()
-    from frameledger.llm.simhash_groups import fingerprint
-
-    prints = F.udf(lambda t: f"{fingerprint((t or '').encode()) & (1 << 64) - 1:016x}")
+        return named
+    prints = F.udf(lambda text: f"{fingerprint((text or '').encode()) & (1 << 64) - 1:016x}")      # for rows without an id only
+    alone = groups.where("component_id is null").select("fingerprint").distinct()
     marked = bare.withColumn("fingerprint of the row", prints("text"))
-    alone = marked.join(kept, marked["fingerprint of the row"] == kept["fingerprint"], "left_semi").dropDuplicates(["fingerprint of the row"])
-    return named.select(docs.columns).unionByName(alone.select(docs.columns))
+    marked = marked.join(alone, marked["fingerprint of the row"] == alone["fingerprint"], "left_semi").dropDuplicates(["fingerprint of the row"])
+    return named.unionByName(marked.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
