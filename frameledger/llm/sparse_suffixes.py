@@ -90,8 +90,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                     [part.column("tid").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array([x.tobytes() for x in right], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary())],
                     names=["tid", "pos", "suffix", "before"])
 
-    found = stored(texts.select("tid", "text").join(wanted, "tid").mapInArrow(suffixes, "tid bigint, pos int, suffix binary, before binary"), "suffixes")
-    ordered = found.repartitionByRange("suffix", "before", "tid", "pos").sortWithinPartitions("suffix", "before", "tid", "pos")
+    found = stored(texts.select("tid", "text").join(wanted, "tid").mapInArrow(suffixes, "tid bigint, pos int, suffix binary, before binary").withColumn("h", F.xxhash64(F.substring("suffix", 1, 4 * head))), "suffixes")
+    ordered = found.drop("h").repartitionByRange("suffix", "before", "tid", "pos").sortWithinPartitions("suffix", "before", "tid", "pos")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,12 +142,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 keys = [x.tobytes() for x in cut[ok]]
                 yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(ok)), pa.array(pos[ok] - o, pa.int32()), pa.array(keys, pa.binary())], names=["tid", "start", "words"])
 
-    settled = near.select("tid", "pos").distinct()
-    open_rows = found.join(settled, ["tid", "pos"], "left_anti")
-    keyed = open_rows.mapInArrow(windows, "tid bigint, start int, words binary").select("tid", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2"))
-    # A window of an open position may meet one of a settled position: those are keyed too, where they share a head.
-    settled_keys = found.join(settled, ["tid", "pos"], "left_semi").join(open_rows.select(F.xxhash64(F.substring("suffix", 1, 4 * head)).alias("hh")).distinct(), F.xxhash64(F.substring("suffix", 1, 4 * head)) == F.col("hh"), "left_semi")
-    all_keys = keyed.unionAll(settled_keys.mapInArrow(windows, "tid bigint, start int, words binary").select("tid", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2")))
+    # Open positions: their head stands three times or more, and no neighbour settled them. All positions of such heads are keyed.
+    light = found.select("tid", "pos", "h")
+    many = light.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").select("h")
+    open_heads = stored(light.join(near.select("tid", "pos").distinct(), ["tid", "pos"], "left_anti").select("h").distinct().join(many, "h", "left_semi"), "heads")
+    all_keys = found.join(open_heads, "h", "left_semi").select("tid", "pos", "suffix", "before").mapInArrow(windows, "tid bigint, start int, words binary").select(
+        "tid", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2"))
     low = all_keys.groupBy("k", "k2").agg(F.min(F.struct("tid", "start")).alias("low"), F.max(F.struct("tid", "start")).alias("high")).where("low.tid <> high.tid")
     more = all_keys.join(low, ["k", "k2"]).select("tid", "start", F.lit(least).alias("n"), F.when(F.col("tid") == F.col("low.tid"), F.col("high")).otherwise(F.col("low")).alias("o")).select("tid", "start", "n", F.col("o.tid").alias("other"), F.col("o.start").alias("other_start"))
     spans = near.select("tid", "start", "n", "other", "other_start").unionAll(more).distinct()
