@@ -56,8 +56,10 @@ HEAD_METRICS = {
 }
 
 # Photometric modes and stages of the colour job.
-PHOTOMETRIC_MODES = ("none", "jitter", "cpr", "randconv", "aprs", "augmix")
+PHOTOMETRIC_MODES = ("none", "jitter", "cpr", "randconv", "augmix")
 CAMERA_STAGES = (
     "wb", "exposure", "ccm", "noise", "gamma", "tone",
-    "satihue", "sharpblur", "resample", "jpeg", "chroma",
+    "satihue", "sharpblur", "resample", "chroma",
 )
+
+FILE_METRIC_NAMES = {"det_acc50": "det_acc@0.5", "det_acc75": "det_acc@0.75", "det_acc90": "det_acc@0.9"}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from frameledger.constants import CLIP_NAME_PATTERN, FRAME_PATTERN, GESTURES, SCENE_NAME_PATTERN
-from frameledger.operators.ranking import broadcast_if_small, hashed_row_number
+from frameledger.operators.ranking import hashed_row_number
 from frameledger.sources.durable import cut_lineage
 
 C = F.col
@@ -13,17 +15,20 @@ _LIMBS, _LIMB_HEX = 5, 6
 
 
 def frame_number(name: Column) -> Column:
-    """Frame number of a file name, NULL for anything else."""
-    return F.try_to_number(F.nullif(F.regexp_extract(name, FRAME_PATTERN, 1), F.lit("")), F.lit("9999999999")).cast("long")
+    """Frame number of a file name, NULL for anything else. Numbers beyond a 64-bit integer are an error, never dropped."""
+    digits = F.nullif(F.regexp_extract(name, FRAME_PATTERN, 1), F.lit(""))
+    number = digits.try_cast("bigint")
+    return F.when(digits.isNotNull() & number.isNull(), F.raise_error(F.concat(F.lit("frame number too large: "), name)).cast("bigint")).otherwise(number)
 
 
-def parse_tree_path(paths: DataFrame, path: str = "path") -> DataFrame:
+def parse_tree_path(paths: DataFrame, root: str, path: str = "path") -> DataFrame:
     """subject, gesture, clip, kind (rgb or annotation) and frame of a dataset path.
 
-    Anchored at the class folder, so wrapper folders above it do not matter; only known classes,
-    clip folders and frame files survive.
+    The subject is the folder right below `root`; wrapper folders between it and the class folder do not matter.
+    Only known classes, clip folders and frame files survive. A scheme (`file:`) before the root is ignored.
     """
-    pattern = r"([^/]+)/(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$"
+    top = re.escape(re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", root).rstrip("/"))
+    pattern = rf"^(?:[a-z0-9]+:(?://[^/]*)?)?{top}/([^/]+)/(?:.*/)?(G\d{{2}}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$"
     part = {n: F.regexp_extract(path, pattern, i) for i, n in enumerate(("subject", "gesture", "clip", "kind", "name"), 1)}
     out = paths.withColumns(part).withColumn("frame", frame_number(C("name")))
     return out.filter(C("gesture").isin(*GESTURES) & C("frame").isNotNull())
@@ -74,7 +79,7 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def unfinished(frames: DataFrame, done: DataFrame, keys: list[str], need: int) -> DataFrame:
     """Drop groups that already have `need` finished rows (resume)."""
     ready = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(C("_n") >= need)
-    return frames.join(broadcast_if_small(ready), keys, "left_anti")
+    return frames.join(ready, keys, "left_anti")
 
 
 def first_contributors(frames: DataFrame, n: int, subject: str = "subject") -> DataFrame:
@@ -131,7 +136,7 @@ def holdout_splits(frames: DataFrame, holdout: int, seed, subject: str = "subjec
 
     Whole contributors only, so near-copies of a clip never sit on both sides.
     """
-    subjects = cut_lineage(frames.select(subject).distinct())       # read three times below
+    subjects = frames.select(subject).distinct()
     if holdout <= 0:
         return subjects.withColumn("split", F.lit("train"))
     if holdout >= subjects.limit(holdout + 1).count():
@@ -143,21 +148,21 @@ def holdout_splits(frames: DataFrame, holdout: int, seed, subject: str = "subjec
 
 def strict_split(frames: DataFrame, splits: DataFrame, split: str) -> DataFrame:
     """Rows of one split; unknown contributors are excluded, an empty result is an error."""
-    out = frames.join(broadcast_if_small(splits), "subject").filter(C("split") == split)
+    out = frames.join(splits, "subject").filter(C("split") == split)
     if out.limit(1).count() == 0:
-        have = [r[0] for r in splits.select("split").distinct().orderBy("split").limit(20).collect()]
+        have = [r[0] for r in splits.select("split").distinct().orderBy("split").collect()]
         raise ValueError(f"split {split!r} is empty; the index holds {have}")
     return out
 
 
 def lenient_split(frames: DataFrame, splits: DataFrame, split: str) -> DataFrame:
     """Rows of one split; unknown contributors count as train."""
-    return frames.join(broadcast_if_small(splits), "subject", "left").withColumn("split", F.coalesce("split", F.lit("train"))).filter(C("split") == split)
+    return frames.join(splits, "subject", "left").withColumn("split", F.coalesce("split", F.lit("train"))).filter(C("split") == split)
 
 
 def dispatch_splits(wanted: dict[str, DataFrame | None], splits: dict[str, DataFrame]) -> DataFrame:
     """All splits a configuration supports, in one table; missing or empty ones are skipped."""
-    parts = [df.join(broadcast_if_small(splits[name]), "subject").filter(C("split") == name)
+    parts = [df.join(splits[name], "subject").filter(C("split") == name)
              for name, df in wanted.items() if df is not None]
     if not parts:
         raise ValueError("no split could be built")
@@ -203,20 +208,24 @@ def unknown_keys(layers: DataFrame, known: tuple) -> DataFrame:
     return layers.filter(~C("k").isin(*known)).select("run", "k").distinct()
 
 
-def extends_chain(configs: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(name, ancestor, depth): every configuration with all it inherits from; a cycle is an error.
+def extends_chain(configs: DataFrame) -> DataFrame:
+    """(name, ancestor, depth): every configuration with all it inherits from, itself included; a cycle is an error.
 
-    `configs` has (name, extends). Recursion over the table of configurations, not over data.
+    `configs` has (name, extends), names once each. Chains double their reach in every round, so a chain of any depth
+    takes as many rounds as its depth has bits; a configuration that reaches itself is on a cycle.
     """
-    chain = configs.sparkSession.sql(f"""
-        WITH RECURSIVE chain(name, ancestor, depth) AS (
-          SELECT name, name, 0 FROM {{configs}}
-          UNION ALL
-          SELECT c.name, p.extends, c.depth + 1 FROM chain c JOIN {{configs}} p ON p.name = c.ancestor
-          WHERE p.extends IS NOT NULL AND c.depth < {max_depth})
-        SELECT * FROM chain""", configs=configs)
-    cycle = (C("depth") > 0) & (C("name") == C("ancestor")) | (C("depth") >= max_depth)
-    return chain.withColumn("depth", F.when(cycle, F.raise_error(F.lit("configuration extends itself")).cast("int")).otherwise(C("depth")))
+    own = configs.select("name", C("name").alias("ancestor"), F.lit(0).alias("depth"))
+    chain = cut_lineage(own.unionAll(configs.where("extends is not null").select("name", C("extends").alias("ancestor"), F.lit(1).alias("depth"))))
+    reach = 1
+    while True:
+        ends = chain.where(C("depth") == reach).select("name", C("ancestor").alias("middle"))
+        onward = chain.where("depth > 0").select(C("name").alias("middle"), "ancestor", "depth")
+        more = cut_lineage(ends.join(onward, "middle").select("name", "ancestor", (C("depth") + reach).alias("depth")))
+        if not chain.where("depth > 0 and name = ancestor").isEmpty():
+            raise ValueError("configuration extends itself")
+        if more.isEmpty():
+            return chain
+        chain, reach = chain.unionAll(more), 2 * reach
 
 
 def index_summary(frames: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:

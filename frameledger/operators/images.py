@@ -144,7 +144,7 @@ def camera_params(frames: DataFrame, seed, strength: float = 1.0, stages=CAMERA_
     """Per frame: every random value of the camera chain. Stages switched off get their identity."""
     bad = set(stages) - set(CAMERA_STAGES)
     if bad:
-        raise ValueError(f"unknown stage(s) {sorted(bad)}; known: {CAMERA_STAGES}")
+        raise ValueError(f"not offered as camera stages: {', '.join(sorted(bad))}")
     key, s, on = C("frame_id"), float(strength), set(stages)
 
     def u(tag, lo, hi):
@@ -565,11 +565,9 @@ def policy(frames: DataFrame, expand, photometric: str = "jitter", stages=None,
     Unknown modes and stages raise; strength 0 is the identity. Values are in [0, 1].
     """
     if photometric not in PHOTOMETRIC_MODES:
-        raise ValueError(f"photometric must be one of {PHOTOMETRIC_MODES}, got {photometric!r}")
+        raise ValueError(f"no such photometric mode: {photometric!r} (offered: {', '.join(PHOTOMETRIC_MODES)})")
     if stages is not None and set(stages) - set(CAMERA_STAGES):
-        raise ValueError(f"unknown stage(s) {sorted(set(stages) - set(CAMERA_STAGES))}; known: {CAMERA_STAGES}")
-    if photometric == "aprs":
-        raise NotImplementedError("spectrum recombination is a per-image transform and is not offered")
+        raise ValueError(f"not offered as camera stages: {', '.join(sorted(set(stages) - set(CAMERA_STAGES)))}")
     names = ("frame_id", "y", "x", *RGB)
     if photometric == "none" or strength <= 0:
         return to_unit(expand(frames)).select(*names)

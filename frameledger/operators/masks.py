@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from frameledger.constants import (
     AREA_HI, AREA_LO, AREA_PCT_P05, AREA_PCT_P95, ASPECT_HI, ASPECT_LO, CENTRE_HI, CENTRE_LO,
     MASK_THRESHOLD, MIN_COMPONENT, MIN_FILL, PRIOR_CENTRE)
-from frameledger.operators.ranking import broadcast_if_small
 from frameledger.sources.durable import cut_lineage
 
 C = F.col
@@ -179,7 +178,7 @@ def plate_distance(px: DataFrame, plate: DataFrame, scene: str, lum: str, a: str
     The plates (one image per scene) are stored once and broadcast when a count shows they are
     small, so the pixels stay where they are; otherwise the join spreads over pixel positions.
     """
-    p = broadcast_if_small(cut_lineage(plate)).select(scene, "y", "x", *[C(c).alias(f"_{c}") for c in (lum, a, b)])
+    p = cut_lineage(plate).select(scene, "y", "x", *[C(c).alias(f"_{c}") for c in (lum, a, b)])
     d = [C(c) - C(f"_{c}") for c in (lum, a, b)]
     dist = F.sqrt(F.lit(weight) * d[0] * d[0] + (d[1] * d[1] + d[2] * d[2]).cast("double"))
     return (px.join(p, [scene, "y", "x"]).withColumn("dist", F.least(dist, F.lit(255.0)))

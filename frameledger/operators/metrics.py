@@ -215,3 +215,25 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
     return df.groupBy(*keys).agg(
         ratio_or_zero(F.coalesce(F.sum(C(value) * C(weight)), F.lit(0.0)),
                       F.coalesce(F.sum(weight), F.lit(0))).alias("avg"), F.coalesce(F.sum(weight), F.lit(0)).alias("n"))
+
+
+def pair_predictions(predictions: DataFrame, truth: DataFrame, key: str, best: str = "conf") -> tuple[DataFrame, DataFrame]:
+    """(pairs, report): predictions joined to ground truth on an id.
+
+    An id pairs once: of several predictions the one with the highest `best` counts (of equals the least in the
+    other columns), of several truths the least row. Ids on one side only, and null ids, do not pair. The report has one
+    row: n_pairs, n_prediction_only, n_truth_only (ids), n_predictions_repeated, n_truths_repeated (rows beyond the first).
+    """
+    def once(df: DataFrame, order: list, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c != key]
+        pick = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *rest)).alias("row")
+        return df.where(C(key).isNotNull()).groupBy(key).agg(pick, F.count(F.lit(1)).alias(name)).select(key, *[C(f"row.{c}") for c in rest], name)
+
+    one, two = once(predictions, [-C(best)], "n_left"), once(truth, [], "n_right")
+    pairs = one.join(two, key).drop("n_left", "n_right")
+    sides = one.select(key, "n_left").join(two.select(key, "n_right"), key, "full")
+    count = lambda c: F.count(F.when(c, 1))
+    report = sides.agg(
+        count(C("n_left").isNotNull() & C("n_right").isNotNull()).alias("n_pairs"), count(C("n_right").isNull()).alias("n_prediction_only"), count(C("n_left").isNull()).alias("n_truth_only"),
+        F.coalesce(F.sum(C("n_left") - 1), F.lit(0)).alias("n_predictions_repeated"), F.coalesce(F.sum(C("n_right") - 1), F.lit(0)).alias("n_truths_repeated"))
+    return pairs, report

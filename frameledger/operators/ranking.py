@@ -48,22 +48,13 @@ def ordered_row_number(df: DataFrame, order: str, out: str = "rn", buckets: int
     return bucketed_row_number(df, [], F.floor((C(order) - int(lo)) / width), [order], out)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the table small; else joins shuffle.
-
-    Without the hint a join with a table of unknown size would first shuffle the large side on a
-    few hot keys.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def bounded_parts(df: DataFrame, keys: list[str], item: str, size: int, out: str = "part") -> DataFrame:
     """Hash part per row so that (keys, part) holds about `size` rows, however hot a key is."""
     if not keys:
         parts = max(1, -(-df.count() // size))
         return df.withColumn(out, F.pmod(F.xxhash64(item), F.lit(parts)).cast("int"))
     n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
-    return (df.join(broadcast_if_small(n), keys)
+    return (df.join(n, keys)
             .withColumn(out, F.pmod(F.xxhash64(item), C("_parts")).cast("int")).drop("_parts"))
 
 

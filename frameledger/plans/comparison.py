@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frameledger.operators import compare, picking
+from frameledger.operators import compare, metrics, picking
 from frameledger.plans import inputs as I
 from frameledger.plans.registry import query
 from frameledger.sources import readers, writers
@@ -55,6 +55,16 @@ def result_documents(spark, sf):
     return flat.select("run", "n_frames", *_r("det_acc50", "cls_top1"), F.coalesce("cls_ece", F.lit(0.0)).alias("cls_ece_missing"))
 
 
+@query("S5 K2 A30", """WITH c AS (SELECT clip, count(*) AS n, sum(CASE WHEN gt=pred THEN 1 ELSE 0 END) AS ok, count(iou) FILTER (has_mask) AS nb, count(*) FILTER (has_mask AND iou>=0.5) AS hit FROM pred_iou GROUP BY clip)
+SELECT 'one' AS run, CAST(sum(n) AS BIGINT) AS n_frames, round(sum(hit)/sum(nb),6) AS det_acc50, round(sum(ok)/sum(n),6) AS cls_top1 FROM c""", "pred_iou")
+def result_round_trip(spark, sf):
+    """The evaluation document, written under its file names and read back by the result scan."""
+    path = scratch_path(spark, "results")
+    writers.write_results(metrics.evaluation_document(I.pred_iou(spark, sf)).withColumn("note", F.struct(F.lit(float("nan")).alias("nan"))), path)
+    good, _ = readers.result_set(spark, path, F.lit("one"))
+    return readers.result_headlines(good).select("run", "n_frames", *_r("det_acc50", "cls_top1"))
+
+
 @query("P15", "SELECT run, CASE WHEN has_det THEN round(det_acc50,6) END AS det_acc50, CASE WHEN has_det THEN round(mean_box_iou,6) END AS mean_box_iou, round(cls_top1,6) AS cls_top1 FROM runs", "runs")
 def absent_heads(spark, sf):
     heads = F.when(C("has_det"), F.array(F.lit("det"), F.lit("cls"))).otherwise(F.array(F.lit("cls")))

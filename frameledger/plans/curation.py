@@ -19,12 +19,12 @@ def _count(df, *keys):
 
 @query("S1 S2 S3 A28", r"""
 SELECT subject, gesture, clip, kind, count(*) AS n, max(frame) AS last_frame FROM (
-SELECT regexp_extract(path, '([^/]+)/(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 1) AS subject, regexp_extract(path, '([^/]+)/(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 2) AS gesture,
- regexp_extract(path, '([^/]+)/(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 3) AS clip, regexp_extract(path, '([^/]+)/(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 4) AS kind,
+SELECT regexp_extract(path, '^/root/([^/]+)/(?:.*/)?(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 1) AS subject, regexp_extract(path, '^/root/([^/]+)/(?:.*/)?(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 2) AS gesture,
+ regexp_extract(path, '^/root/([^/]+)/(?:.*/)?(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 3) AS clip, regexp_extract(path, '^/root/([^/]+)/(?:.*/)?(G\d{2}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$', 4) AS kind,
  TRY_CAST(regexp_extract(path, '/frame_(\d+)\.png$', 1) AS BIGINT) AS frame FROM paths)
 WHERE frame IS NOT NULL AND gesture IN (SELECT gesture FROM classes) GROUP BY 1,2,3,4""", "paths classes")
 def frame_tree_parse(spark, sf):
-    t = curate.parse_tree_path(I.paths(spark, sf))
+    t = curate.parse_tree_path(I.paths(spark, sf), "/root")
     return t.groupBy("subject", "gesture", "clip", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("frame").alias("last_frame"))
 
 

@@ -242,11 +242,11 @@ def paths(spark, sf) -> DataFrame:
     folders = F.array(*[F.lit(g) for g in GESTURES + ("G11_x", "notes")])
     return table(spark, sf, "orders").select(
         "o_orderkey",
-        F.concat(F.lit("/root/"), F.when(cust % 7 == 0, "wrap/").otherwise(""), F.lit("s"), (cust % 23).cast("string"),
+        F.concat(F.lit("/root/s"), (cust % 23).cast("string"), F.when(cust % 7 == 0, "/wrap").when(cust % 5 == 0, "/data/set").otherwise(""),
                  F.lit("/"), F.element_at(folders, (key % 12).cast("int") + 1),
                  F.when(cust % 11 == 0, "/misc0").otherwise("/clip0"), (cust % 5).cast("string"),
                  F.when(key % 3 == 0, "/annotation").otherwise("/rgb"),
-                 F.when(C("o_orderstatus") == "P", "/.DS_Store").otherwise(F.format_string("/frame_%03d.png", key % 1000))).alias("path"),
+                 F.when(C("o_orderstatus") == "P", "/.DS_Store").otherwise(F.format_string("/frame_%03d.png", F.when(key % 13 == 0, key + 1_700_000_000_000_000).otherwise(key % 1000)))).alias("path"),
         F.round("o_totalprice").cast("long").alias("size"))
 
 

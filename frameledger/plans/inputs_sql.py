@@ -123,12 +123,12 @@ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('G0', CAST(p_partkey % 9
   WHEN 1 THEN concat('G', CAST(p_size % 3 + 1 AS VARCHAR), '_rock.MOV') WHEN 2 THEN '.DS_Store' ELSE concat('frame_', lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0'), '.png') END AS name
 FROM part"""),
     "paths": ("", """
-SELECT o_orderkey, concat('/root/', CASE WHEN o_custkey % 7 = 0 THEN 'wrap/' ELSE '' END, 's', CAST(o_custkey % 23 AS VARCHAR),
+SELECT o_orderkey, concat('/root/s', CAST(o_custkey % 23 AS VARCHAR), CASE WHEN o_custkey % 7 = 0 THEN '/wrap' WHEN o_custkey % 5 = 0 THEN '/data/set' ELSE '' END,
   '/', CASE CAST(o_orderkey % 12 AS INT) WHEN 0 THEN 'G01_call' WHEN 1 THEN 'G02_dislike' WHEN 2 THEN 'G03_like' WHEN 3 THEN 'G04_ok' WHEN 4 THEN 'G05_one'
    WHEN 5 THEN 'G06_palm' WHEN 6 THEN 'G07_peace' WHEN 7 THEN 'G08_rock' WHEN 8 THEN 'G09_stop' WHEN 9 THEN 'G10_three' WHEN 10 THEN 'G11_x' ELSE 'notes' END,
   CASE WHEN o_custkey % 11 = 0 THEN '/misc0' ELSE '/clip0' END, CAST(o_custkey % 5 AS VARCHAR),
   CASE WHEN o_orderkey % 3 = 0 THEN '/annotation' ELSE '/rgb' END,
-  CASE WHEN o_orderstatus = 'P' THEN '/.DS_Store' ELSE concat('/frame_', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'), '.png') END) AS path,
+  CASE WHEN o_orderstatus = 'P' THEN '/.DS_Store' ELSE concat('/frame_', CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderkey + 1700000000000000 AS VARCHAR) ELSE lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') END, '.png') END) AS path,
   CAST(o_totalprice AS BIGINT) AS size
 FROM orders"""),
     "emb": ("", "SELECT vec_id, label, unnest(range(0, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"),

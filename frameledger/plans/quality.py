@@ -270,3 +270,30 @@ def bootstrap_split(spark, sf):
     """Full 1000 draws with the two-level split; random, so checked by its distribution in tests."""
     return bootstrap.split_intervals(
         I.pred_iou(spark, sf), "l_suppkey", {"cls_top1": flag(C("gt") == C("pred")), "mean_conf": C("conf")}, n_boot=1000, buckets=64)
+
+
+def _sides(spark, sf):
+    """One prediction per order line, ground truth per order; orders and lines drop out at other ids."""
+    lines = I.table(spark, sf, "lineitem").select(
+        F.when(C("l_partkey") % 9 == 0, -C("l_orderkey")).otherwise(C("l_orderkey")).alias("id"), (C("l_partkey") % 10).cast("int").alias("pred"),
+        ((C("l_partkey") * 37 + C("l_suppkey") * 11 + C("l_linenumber") * 101) % 1000 / 1000.0).cast("double").alias("conf"))
+    orders = I.table(spark, sf, "orders").select((C("o_orderkey") + F.when(C("o_custkey") % 8 == 0, 1).otherwise(0)).alias("id"), (C("o_custkey") % 10).cast("int").alias("gt"))
+    return lines, orders
+
+
+_SIDES_SQL = """p AS (SELECT CASE WHEN l_partkey % 9 = 0 THEN -l_orderkey ELSE l_orderkey END AS id, CAST(l_partkey % 10 AS INT) AS pred,
+  CAST((l_partkey*37 + l_suppkey*11 + l_linenumber*101) % 1000 AS DOUBLE)/1000 AS conf FROM lineitem),
+ t AS (SELECT o_orderkey + CASE WHEN o_custkey % 8 = 0 THEN 1 ELSE 0 END AS id, CAST(o_custkey % 10 AS INT) AS gt FROM orders)"""
+
+
+@query("J3", f"""WITH {_SIDES_SQL}, p1 AS (SELECT id, pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY conf DESC, pred) AS r FROM p) WHERE r = 1),
+ t1 AS (SELECT id, min(gt) AS gt FROM t GROUP BY id) SELECT gt, pred, count(*) AS n FROM p1 JOIN t1 USING (id) GROUP BY gt, pred""")
+def paired_predictions(spark, sf):
+    return metrics.pair_predictions(*_sides(spark, sf), "id")[0].groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("J3", f"""WITH {_SIDES_SQL}, p1 AS (SELECT id, count(*) AS a FROM p GROUP BY id), t1 AS (SELECT id, count(*) AS b FROM t GROUP BY id)
+SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_pairs, count(*) FILTER (b IS NULL) AS n_prediction_only, count(*) FILTER (a IS NULL) AS n_truth_only,
+ CAST(sum(a-1) AS BIGINT) AS n_predictions_repeated, CAST(sum(b-1) AS BIGINT) AS n_truths_repeated FROM p1 FULL JOIN t1 USING (id)""")
+def pairing_report(spark, sf):
+    return metrics.pair_predictions(*_sides(spark, sf), "id")[1]

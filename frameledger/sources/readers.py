@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from frameledger.constants import FILE_METRIC_NAMES
 from frameledger.operators.curate import parse_tree_path
 
 C = F.col
@@ -39,7 +40,7 @@ def frame_tree(spark: SparkSession, root: str, content: bool = False) -> DataFra
     """Frame files under a tree. Without `content` only names and sizes are listed, no bytes read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", "length", *(["content"] if content else [])))
-    return parse_tree_path(files)
+    return parse_tree_path(files, root)
 
 
 def packed_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -67,7 +68,7 @@ def result_set(spark: SparkSession, path: str | list[str], run: Column | None =
 
 def result_headlines(results: DataFrame) -> DataFrame:
     """Flat headline columns of result documents; a placeholder calibration error becomes NULL."""
-    names = {"det_acc50": "det_acc@0.5", "det_acc75": "det_acc@0.75", **{m: m for m in _METRICS if "@" not in m}}
+    names = {"det_acc50": FILE_METRIC_NAMES["det_acc50"], "det_acc75": FILE_METRIC_NAMES["det_acc75"], **{m: m for m in _METRICS if "@" not in m}}
     flat = results.select(
         "run", C("config.split").alias("split"), C("config.train_cfg.heads").alias("heads"), "pseudo_target", "n_frames", "n_clips",
         *[C(f"frame.`{src}`").alias(dst) for dst, src in names.items()],

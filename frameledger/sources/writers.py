@@ -2,43 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
-from frameledger.constants import GESTURES
-from frameledger.operators.ranking import bounded_parts, broadcast_if_small
+from frameledger.constants import FILE_METRIC_NAMES, GESTURES
+from frameledger.operators.ranking import bounded_parts
 
 C = F.col
 
 
 def write_index(records: DataFrame, splits: DataFrame, summary: DataFrame, path: str) -> None:
     """Records by split (so that a split filter prunes files), the split map and the summary."""
-    placed = records.join(broadcast_if_small(splits), "subject").hint("rebalance", "split")     # even files, hot splits cut
+    placed = records.join(splits, "subject", "left").hint("rebalance", "split")     # even files, hot splits cut
     placed.sortWithinPartitions("id").write.mode("overwrite").partitionBy("split").parquet(f"{path}/records")
     splits.write.mode("overwrite").json(f"{path}/splits")
     summary.write.mode("overwrite").json(f"{path}/meta")
 
 
 def write_index_document(records: DataFrame, splits: DataFrame, root: str, path: str, per_document: int = 5000) -> None:
-    """The index as JSON documents of bounded size, for readers that expect documents."""
+    """The index as JSON documents of bounded size, for readers that expect documents.
+
+    A subject's records may take several documents: part tells them apart. Records of subjects without a split stay,
+    with a NULL split.
+    """
     parts = bounded_parts(records, ["subject"], "id", per_document)
     per = parts.groupBy("subject", "part").agg(
         F.array_sort(F.collect_list(F.struct("id", *[c for c in records.columns if c != "id"]))).alias("records"))
-    doc = per.join(broadcast_if_small(splits), "subject").select(
-        F.lit(root).alias("root"), F.create_map("subject", "split").alias("split_map"), "records")
+    doc = per.join(splits, "subject", "left").select(
+        F.lit(root).alias("root"), F.create_map("subject", "split").alias("split_map"), "part", "records")
     doc.write.mode("overwrite").json(path)
 
 
 def strict_numbers(df: DataFrame) -> DataFrame:
-    """Not-a-number becomes 0.0, so that the JSON is strict."""
-    return df.select(*[F.nanvl(f.name, F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType) else C(f.name)
-                       for f in df.schema.fields])
+    """Not-a-number becomes 0.0 at any depth, so that the JSON is strict."""
+    return df.select(*[_strict(C(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def _strict(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.nanvl(value, F.lit(0.0).cast(kind))
+    if isinstance(kind, StructType):
+        inner = F.struct(*[_strict(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _strict(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _strict(x, kind.valueType))
+    return value
 
 
 def write_documents(df: DataFrame, path: str) -> None:
     strict_numbers(df).write.mode("overwrite").json(path)
 
 
+def write_results(documents: DataFrame, path: str) -> None:
+    """Evaluation documents under the metric names that `readers.result_set` reads."""
+    def named(block: str) -> Column:
+        fields = documents.schema[block].dataType.fieldNames()
+        return F.struct(*[C(f"{block}.`{n}`").alias(FILE_METRIC_NAMES.get(n, n)) for n in fields]).alias(block)
+
+    write_documents(documents.withColumns({b: named(b) for b in ("frame", "clip") if b in documents.columns}), path)
+
+
 def prediction_table(p: DataFrame) -> DataFrame:
     """The 27 per-image columns from scored records; blank where there is no ground truth."""
     names = F.array(*[F.lit(g) for g in GESTURES])

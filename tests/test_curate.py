@@ -7,12 +7,20 @@ C = F.col
 
 
 def test_tree_paths(spark):
-    good = ["/a/25_Wu/data/25_Wu/G01_call/clip01/rgb/frame_007.png", "/a/s2/G10_three/clip02/annotation/FRAME_012.JPG"]
+    good = ["/a/31_lee/data/set/G01_call/clip01/rgb/frame_007.png", "/a/s2/G10_three/clip02/annotation/FRAME_012.JPG"]
     bad = ["/a/s2/G10_three/clip02/rgb/.DS_Store", "/a/s2/G11_no/clip02/rgb/frame_001.png", "/a/s2/G01_call/take1/rgb/frame_001.png",
            "/a/s2/G01_call/clip01/rgb/frame_1.gif"]
-    rows = curate.parse_tree_path(spark.createDataFrame([(p,) for p in good + bad], "path string")).orderBy("frame").collect()
+    rows = curate.parse_tree_path(spark.createDataFrame([(p,) for p in good + bad], "path string"), "/a").orderBy("frame").collect()
     assert [(r.subject, r.gesture, r.clip, r.kind, r.frame) for r in rows] == [
-        ("25_Wu", "G01_call", "clip01", "rgb", 7), ("s2", "G10_three", "clip02", "annotation", 12)]
+        ("31_lee", "G01_call", "clip01", "rgb", 7), ("s2", "G10_three", "clip02", "annotation", 12)]
+
+
+def test_subject_below_the_root_and_long_numbers(spark):
+    paths = [f"file:/root/{s}/dataset/G01_call/clip01/rgb/frame_{n}.png" for s in ("s1", "s2") for n in ("1", "12345678901", "170000000000000000")]
+    got = curate.parse_tree_path(spark.createDataFrame([(p,) for p in paths], "path string"), "file:///root/")
+    assert sorted((r.subject, r.frame) for r in got.collect()) == [(s, n) for s in ("s1", "s2") for n in (1, 12345678901, 170000000000000000)]
+    with pytest.raises(Exception, match="frame number too large"):
+        curate.parse_tree_path(spark.createDataFrame([("/r/s/G01_call/clip01/rgb/frame_" + "9" * 30 + ".png",)], "path string"), "/r").collect()
 
 
 def test_video_names(spark):
@@ -94,6 +102,8 @@ def test_configuration_chain_and_cycle(spark):
     cfg = spark.createDataFrame([("base", None), ("e1", "base"), ("e3", "e1")], "name string, extends string")
     got = {(r.name, r.ancestor, r.depth) for r in curate.extends_chain(cfg).collect()}
     assert ("e3", "base", 2) in got and len(got) == 6
+    deep = spark.createDataFrame([(f"c{i:03d}", f"c{i - 1:03d}" if i else None) for i in range(151)], "name string, extends string")
+    assert curate.extends_chain(deep).where("name = 'c150'").agg(F.max("depth"), F.count("*")).first()[:] == (150, 151)
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "name string, extends string")
     with pytest.raises(Exception, match="extends itself"):
         curate.extends_chain(loop).collect()

@@ -27,7 +27,7 @@ def put(path, text):
 
 def test_frame_tree(spark, folder):
     n = 0
-    for s in ("s1", "s2", "wrap/inner/s3"):
+    for s in ("s1", "s2", "s3/wrap/inner"):
         for g in ("G01_call", "G02_dislike", "other"):
             for c in ("clip01", "clip02"):
                 for k in (1, 2, 3):
