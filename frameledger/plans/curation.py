@@ -262,7 +262,7 @@ def index_store(spark, sf):
     return back.groupBy("subject", "split").agg(F.count(F.lit(1)).alias("n"), F.count("ann").alias("n_ann"))
 
 
-@query("K3 S8 J3", """SELECT clip, count(*) AS n, sum(CASE WHEN gt=pred THEN 1 ELSE 0 END)::BIGINT AS correct, count(CASE WHEN has_mask THEN 1 END) AS with_truth, round(sum(CASE WHEN has_mask THEN round(iou,6) END),6) AS iou
+@query("K3 S8", """SELECT clip, count(*) AS n, sum(CASE WHEN gt=pred THEN 1 ELSE 0 END)::BIGINT AS correct, count(CASE WHEN has_mask THEN 1 END) AS with_truth, round(sum(CASE WHEN has_mask THEN round(iou,6) END),6) AS iou
 FROM pred_iou GROUP BY clip""", "pred_iou")
 def prediction_file(spark, sf):
     """27 columns written as CSV and read back; blanks return as NULL."""
