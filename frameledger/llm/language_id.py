@@ -82,7 +82,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", sample: int = 3000, buckets: int = 1 << 15, dim: int = 16,
+def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", sample: int = 2000, buckets: int = 1 << 15, dim: int = 16,
         epochs: int = 3, rate: float = 0.5, keep: float = 0.999, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel | None:
     """Fit on a bounded sample: at most `sample` labelled documents, whole, each with up to three of its lines as further,
     shorter examples. A fifth of the sample sets the temperature and the score below which a prediction is
