@@ -118,8 +118,8 @@ def main_text(page: str, threshold: float = 0.5) -> str:
 
     Per root-to-leaf tag path: text length and punctuation over its blocks (the ratios). Blocks take the ratios of
     their path, smoothed over their neighbours by a Gaussian; the fused score is the geometric mean of both. Paths
-    whose score reaches `threshold` times the length-weighted mean are content. Their common container is the
-    main part: what stands in it and in no aside element (menus, adverts, forms, comments and the like) is kept, so
+    whose score reaches `threshold` times the length-weighted mean are content. The element that holds all of them, or the
+    article around it, is the main part: what stands in it and in no aside element (menus, adverts, forms, comments and the like) is kept, so
     that headings and short paragraphs between content stay.
     """
     every = blocks(page)
@@ -131,6 +131,7 @@ def main_text(page: str, threshold: float = 0.5) -> str:
     marks = np.array([len(_PUNCTUATION.findall(b[2])) for b in free], float)
     index = {p: i for i, p in enumerate(dict.fromkeys(paths))}
     which = np.array([index[p] for p in paths])
+    paths_of = list(index)
     nodes = np.bincount(which)
     ratios = [np.bincount(which, v) / nodes for v in (lengths, marks + 0.1)]
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
@@ -138,22 +139,20 @@ def main_text(page: str, threshold: float = 0.5) -> str:
     smooth = [np.convolve(r[which], kernel)[2 : len(free) + 2] / weight for r in ratios]
     fused = np.sqrt(smooth[0] * smooth[1])
     score = np.bincount(which, fused) / nodes
-    content = score >= threshold * np.average(score[which], weights=lengths)
-    chosen = [b for b, w in zip(free, which) if content[w]]
-    # The deepest element that holds nine tenths of the content's text.
-    total, box, depth = sum(len(b[2]) for b in chosen), 0, 0
+    bound = threshold * np.average(score[which], weights=lengths)
+    content = score >= bound
+    own = np.sqrt(ratios[0] * ratios[1]) >= bound             # not by their neighbours alone, but for the title
+    chosen = [b for b, w in zip(free, which) if content[w] and (own[w] or paths_of[w] and paths_of[w][-1].split(".")[0] == "h1")] or [b for b, w in zip(free, which) if content[w]]
+    # The deepest element that holds all content; an article is not entered, since its heading may stand beside the content.
+    box, depth = 0, 0
     while True:
-        inside: dict[int, int] = {}
-        for b in chosen:
-            if len(b[0]) > depth and (depth == 0 or b[0][depth - 1][2] == box):
-                inside[b[0][depth][2]] = inside.get(b[0][depth][2], 0) + len(b[2])
-        best = max(inside, key=inside.get, default=None)
-        if best is None or inside[best] < 0.9 * total:
-            break
-        leaf = all(b[0][-1][2] == best for b in chosen if len(b[0]) > depth and b[0][depth][2] == best)
-        if leaf:
+        inside = {b[0][depth][2] if len(b[0]) > depth else 0 for b in chosen}
+        best = inside.pop()
+        if inside or not best or all(b[0][-1][2] == best for b in chosen):       # parted, or a single block
             break
         box, depth = best, depth + 1
+        if chosen[0][0][depth - 1][0].split(".")[0] == "article":
+            break
     kept = [b[2] for b in free if depth == 0 or len(b[0]) >= depth and b[0][depth - 1][2] == box]
     return "\n".join(kept)
 

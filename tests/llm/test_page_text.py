@@ -23,6 +23,17 @@ def test_page_without_article_element():
     assert main_text(page).split("\n") == [f"Paragraph {i}, of the text, is long enough. It ends here." for i in range(5)]
 
 
+def test_content_beside_a_large_body_element_stays():
+    prose = "Some words, that make a sentence. "
+    body = "<div class=body>" + f"<p>{prose * 9}</p>" * 11 + "</div>"
+    whole = [(prose * 9).strip()] * 11
+    lead, end = f"Lead: {prose * 8}".strip(), f"Closing: {prose * 8}".strip()
+    assert main_text(f"<article><h1>Heading</h1><p>{lead}</p>{body}</article>").split("\n") == ["Heading", lead, *whole]
+    assert main_text(f"<article><h1>Heading</h1>{body}</article>").split("\n") == ["Heading", *whole]
+    assert main_text(f"<div id=a>{body}<p>{end}</p></div><div class=menu>Home</div>").split("\n") == [*whole, end]
+    assert main_text(f"<article><section><h2>One</h2><p>{lead}</p></section><section><h2>Two</h2>{body}</section></article>").split("\n") == ["One", lead, "Two", *whole]
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "<!--", "<script>x", "</p></div>", "<nav>a</nav>", "\x00"])
 def test_pages_without_text(page):
     assert main_text(page).replace("\x00", "").strip("<") == ""
