@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameledger.llm.arrow_text import slices, texts
+from frameledger.llm.common_words import COMMON
 
 # The contract's patterns, and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -21,7 +22,7 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Names before a value, and what joins them to it: a separator, "is" or an arrow.
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|secret|encryption)[_\x20-]?key)["'`]?(\x20*(?:[:=]|=>|->)\x20*|\x20+is\x20+(?=["'`])|\x20+is:?\x20+)["'`]?([^\s"'`,;]+)""", re.I | re.A)
-USERINFO = re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{4,})@")
+USERINFO = re.compile(r"://[^\s/:@]*:([^\s/:@]{4,})@")
 _HINT = re.compile(rb"pass|pwd|pin|secret|token|credential|auth|bearer|key|akia", re.I)
 
 #: Common words and passwords, most common first: the rank is the number of guesses.
@@ -29,8 +30,8 @@ WORDS = ("password the admin welcome login letmein qwerty secret monkey dragon m
          "guest pass changeme default football baseball sunshine princess superman batman iloveyou trustno access mustang michael jordan hunter "
          "killer soccer pepper ginger flower orange banana cookie freedom whatever computer internet server example sample token key value "
          "none null true false string your here insert redacted placeholder and for with that this from are was not you").split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_RANK = {w: i + 1 for i, w in enumerate([*WORDS, *COMMON])}
+_LONGEST = max(map(len, _RANK))
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEY = {c: (r, i) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
@@ -100,12 +101,6 @@ def guess_cost(value: str) -> float:
     return min(c + math.log10(math.factorial(s)) for s, c in best[n].items())
 
 
-def _looks_made(value: str) -> bool:
-    """At least two of lower case, capitals after the first place, digits and other marks; plain words and numbers are not."""
-    core = value.rstrip(".!?)")
-    return sum((any(c.islower() for c in core), any(c.isupper() for c in core[1:]), any(c.isdigit() for c in core), any(not c.isalnum() for c in core[1:-1]))) >= 2 and any(not c.islower() for c in core[1:])
-
-
 def scan(text: str, least_guesses: float = 8.0, least_length: int = 8) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, start of the secret itself) of every finding, by start and kind; positions in code points.
 
@@ -123,7 +118,7 @@ def scan(text: str, least_guesses: float = 8.0, least_length: int = 8) -> list[t
         for m in pattern.finditer(text):
             a, value = m.start(group), m[group].rstrip(".!?)")
             b = a + len(value)
-            if len(value) >= least_length and _looks_made(value) and not any(x < b and a < y for x, y in taken) and guess_cost(value) >= least_guesses:
+            if len(value) >= least_length and not any(x < b and a < y for x, y in taken) and guess_cost(value) >= least_guesses:
                 found.append((3, a, b, a))
                 taken.append((a, b))
     return sorted(found, key=lambda x: (x[1], x[0]))

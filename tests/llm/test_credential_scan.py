@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -33,6 +34,24 @@ def test_values_in_credential_context_are_found():
     assert scan("The secret of a good password is that nobody knows it. Token ring networks: fast.") == []
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"])
+@pytest.mark.parametrize("context", ["pwd: {}", "passphrase is {}", "bearer: {}", "pin is {}", "redis://:{}@host", "https://" + "u" * 90 + ":{}@host"])
+def test_dear_values_of_one_class_are_found(alphabet, context):
+    rng = random.Random(alphabet + context)
+    for _ in range(50):
+        value = "".join(rng.choices(alphabet, k=rng.randint(10, 20)))
+        found = [context.format(value)[s:e] for k, s, e, _ in scan(context.format(value)) if k == 3]
+        assert found == ([value] if guess_cost(value) >= 8 else [])
+        assert guess_cost(value) >= 8 or alphabet[0] == "0"
+
+
+def test_named_values_and_plain_words():
+    for text in ("pwd: qzjxkvwmbtrplgfh", "passphrase is tgvkqzhwmprxjd", "bearer: XKQZVJWMBTRPLGFH", "pin is 8493017562", "redis://:S3cr3tPass9@host"):
+        assert "[SECRET]" in redact_text(text.encode())
+    for text in ("The pin is everything.", "the secret is understanding", "password: required", "auth: administrator", "the token is generated", "secret is confidential"):
+        assert not [x for x in scan(text) if x[0] == 3]
+
+
 def test_redaction_keeps_the_rest():
     assert redact_text(b'a token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" z') == 'a token = "[SECRET]" z'
     assert redact_text(b"nothing here") is None
