@@ -52,8 +52,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     the right of it. Positions whose next words occur in one text only are dropped by their hash; the rest are
     sorted by their suffix over the cluster, ties and hot suffixes included, so no key gathers in a task. Sorted neighbours of
     different texts are compared word by word, right up to `least` words and left up to SPAN - 1. Where three or more
-    suffixes share their head, a neighbour need not be the one with the longest common left side: positions not settled by
-    their neighbours are matched by the hash of each `least`-word window around them. Overlapping finds of a text are joined.
+    suffixes share their head, a neighbour need not be the one with the longest common left side: there every `least`-word window
+    around a position is matched by its hash, at each left extent. A window that two neighbours of other texts above already have
+    is left out, since its position is settled by them and they are matched. Overlapping finds of a text are joined.
 
     Null and empty texts have no passage. Rows with equal id and text count once. An empty table gives no rows. Further columns are not carried.
     """
@@ -91,7 +92,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                     names=["tid", "pos", "suffix", "before"])
 
     found = stored(texts.select("tid", "text").join(wanted, "tid").mapInArrow(suffixes, "tid bigint, pos int, suffix binary, before binary").withColumn("h", F.xxhash64(F.substring("suffix", 1, 4 * head))), "suffixes")
-    ordered = found.drop("h").repartitionByRange("suffix", "before", "tid", "pos").sortWithinPartitions("suffix", "before", "tid", "pos")
+    many = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").select("h", F.lit(True).alias("hot"))
+    ordered = found.join(many, "h", "left").drop("h").repartitionByRange("suffix", "before", "tid", "pos").sortWithinPartitions("suffix", "before", "tid", "pos")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -102,17 +104,18 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 continue
             rows = pa.Table.from_batches([carried, batch] if carried is not None else [batch]).combine_chunks().to_batches()[0]
             yield _compare(rows, least, left)
+            yield from _windows(rows, 0 if carried is None else carried.num_rows, least, left)
             if first:
                 yield _edge(batch.slice(0, 1), part, "first")
                 first = False
-            # The last row, and the last of another text, meet what follows.
-            names = rows.column("tid").to_pylist()
-            other = next((i for i in range(len(names) - 2, -1, -1) if names[i] != names[-1]), None)
-            carried = pa.Table.from_batches([rows.slice(other, 1), rows.slice(len(names) - 1, 1)] if other is not None else [rows.slice(len(names) - 1, 1)]).combine_chunks().to_batches()[0]
+            # The last row, the last of another text, and the last above that of another, meet what follows.
+            code = rows.column("tid").to_numpy()
+            ends = [len(code) - 1, *np.flatnonzero(code[1:] != code[:-1])[::-1][:2].tolist()]
+            carried = pa.Table.from_batches([rows.slice(i, 1) for i in ends[::-1]]).combine_chunks().to_batches()[0]
         if carried is not None:
             yield _edge(carried.slice(carried.num_rows - 1, 1), part, "last")
 
-    pairs = stored(ordered.mapInArrow(neighbours, "tid bigint, pos int, start int, n int, other bigint, other_start int, part int, edge string, suffix binary, before binary"), "finds")
+    pairs = stored(ordered.mapInArrow(neighbours, "tid bigint, pos int, start int, n int, other bigint, other_start int, part int, edge string, suffix binary, before binary, k bigint, k2 int"), "finds")
     # Two rows per range partition: neighbours across their bounds. One small task by nature.
     bounds = pairs.where("edge is not null").withColumn("i", F.lit(0))
     prior = Window.partitionBy("i").orderBy("part", F.col("edge") == "last")
@@ -124,32 +127,13 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 rows = pa.RecordBatch.from_pylist([r["prev"], {k: r[k] for k in ("tid", "pos", "suffix", "before")}], pa.schema([("tid", pa.int64()), ("pos", pa.int32()), ("suffix", pa.binary()), ("before", pa.binary())]))
                 yield _compare(rows, least, left).select(["tid", "pos", "start", "n", "other", "other_start"])
 
-    near = pairs.where("edge is null").select("tid", "pos", "start", "n", "other", "other_start").unionAll(
+    near = pairs.where("edge is null and k is null").select("tid", "pos", "start", "n", "other", "other_start").unionAll(
         held.select("tid", "pos", "suffix", "before", "prev").mapInArrow(across, "tid bigint, pos int, start int, n int, other bigint, other_start int"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            right = np.frombuffer(b"".join(batch.column("suffix").to_pylist()), ">u4").reshape(n, least)
-            before = np.frombuffer(b"".join(batch.column("before").to_pylist()), ">u4").reshape(n, left)
-            line = np.concatenate([before[:, ::-1], right], 1)
-            pos = batch.column("pos").to_numpy()
-            for o in range(left + 1):
-                cut = np.ascontiguousarray(line[:, left - o : left - o + least])
-                ok = np.flatnonzero((cut != 0).all(1))
-                keys = [x.tobytes() for x in cut[ok]]
-                yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(ok)), pa.array(pos[ok] - o, pa.int32()), pa.array(keys, pa.binary())], names=["tid", "start", "words"])
-
-    # Open positions: their head stands three times or more, and no neighbour settled them. All positions of such heads are keyed.
-    light = found.select("tid", "pos", "h")
-    many = light.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").select("h")
-    open_heads = stored(light.join(near.select("tid", "pos").distinct(), ["tid", "pos"], "left_anti").select("h").distinct().join(many, "h", "left_semi"), "heads")
-    all_keys = found.join(open_heads, "h", "left_semi").select("tid", "pos", "suffix", "before").mapInArrow(windows, "tid bigint, start int, words binary").select(
-        "tid", "start", F.xxhash64("words").alias("k"), F.hash("words").alias("k2"))
-    low = all_keys.groupBy("k", "k2").agg(F.min(F.struct("tid", "start")).alias("low"), F.max(F.struct("tid", "start")).alias("high")).where("low.tid <> high.tid")
-    more = all_keys.join(low, ["k", "k2"]).select("tid", "start", F.lit(least).alias("n"), F.when(F.col("tid") == F.col("low.tid"), F.col("high")).otherwise(F.col("low")).alias("o")).select("tid", "start", "n", F.col("o.tid").alias("other"), F.col("o.start").alias("other_start"))
+    # Windows of the positions whose head stands three times or more: those of two texts or more are finds. Counted before the shuffle.
+    keys = pairs.where("k is not null").select("tid", "start", "k", "k2")
+    low = keys.groupBy("k", "k2").agg(F.min(F.struct("tid", "start")).alias("low"), F.max(F.struct("tid", "start")).alias("high")).where("low.tid <> high.tid")
+    more = keys.join(low, ["k", "k2"]).select("tid", "start", F.lit(least).alias("n"), F.when(F.col("tid") == F.col("low.tid"), F.col("high")).otherwise(F.col("low")).alias("o")).select("tid", "start", "n", F.col("o.tid").alias("other"), F.col("o.start").alias("other_start"))
     spans = near.select("tid", "start", "n", "other", "other_start").unionAll(more).distinct()
 
     # Join overlapping finds of a text; a text's finds are bounded by its length.
@@ -173,6 +157,50 @@ def _window_hash(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def _windows(rows: pa.RecordBatch, known: int, least: int, left: int) -> Iterator[pa.RecordBatch]:
+    """Keys of the `least`-word windows around the hot rows from place `known` on, at each left extent.
+
+    Left out is a window that the nearest row above of another text has, and the nearest above that of another text than
+    its own: the first rows of two texts of every run of equal windows are keyed, the others have a find by `_compare`.
+    """
+    n = rows.num_rows
+    hot = np.array(rows.column("hot").fill_null(False))
+    hot[:known] = False
+    mine = np.flatnonzero(hot)
+    if not len(mine):
+        return
+    code = rows.column("tid").to_numpy()
+    begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    above = np.repeat(begins, np.diff(np.concatenate([begins, [n]]))) - 1
+    second = np.where(above >= 0, above[np.maximum(above, 0)], -1)
+    right = np.frombuffer(b"".join(rows.column("suffix").to_pylist()), ">u4").reshape(n, least)
+    before = np.frombuffer(b"".join(rows.column("before").to_pylist()), ">u4").reshape(n, left)
+    far_right, far_left = (np.where(second[mine] >= 0, np.minimum(_agree(x[mine], x[above[mine]]), _agree(x[mine], x[second[mine]])), 0) for x in (right, before))
+    line = np.concatenate([before[:, ::-1], right], 1)[mine].astype(np.uint64)
+    solid = np.concatenate([np.zeros((len(mine), 1), np.int64), np.cumsum(line != 0, axis=1)], 1)
+    pos, tid = rows.column("pos").to_numpy()[mine], code[mine]
+    for o in range(left + 1):
+        a = left - o
+        whole = solid[:, a + least] - solid[:, a] == least
+        at = np.flatnonzero(whole & ~((far_left >= o) & (far_right >= least - o)))
+        if not len(at):
+            continue
+        k, k2 = np.zeros(len(at), np.uint64), np.ones(len(at), np.uint64)
+        for i in range(a, a + least):
+            k = (k + line[at, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            k ^= k >> np.uint64(29)
+            k2 = (k2 ^ line[at, i]) * np.uint64(0xD6E8FEB86659FD93)
+            k2 ^= k2 >> np.uint64(32)
+        none = lambda kind: pa.nulls(len(at), kind)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tid[at]), pa.array(pos[at], pa.int32()), pa.array(pos[at] - o, pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.string()),
+             none(pa.binary()), none(pa.binary()), pa.array(mixed(k).view(np.int64)), pa.array((mixed(k2) >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+            names=_NAMES)
+
+
+_NAMES = ["tid", "pos", "start", "n", "other", "other_start", "part", "edge", "suffix", "before", "k", "k2"]
+
+
 def _compare(rows: pa.RecordBatch, least: int, left: int) -> pa.RecordBatch:
     """Finds of each row with the nearest row above of another text, for both of the two."""
     n = rows.num_rows
@@ -193,11 +221,11 @@ def _compare(rows: pa.RecordBatch, least: int, left: int) -> pa.RecordBatch:
     nothing = lambda kind: pa.nulls(len(one), kind)
     return pa.RecordBatch.from_arrays(
         [take(one), pa.array(pos[one], pa.int32()), pa.array(pos[one] - b2, pa.int32()), pa.array(total, pa.int32()), take(two), pa.array(pos[two] - b2, pa.int32()),
-         nothing(pa.int32()), nothing(pa.string()), nothing(pa.binary()), nothing(pa.binary())],
-        names=["tid", "pos", "start", "n", "other", "other_start", "part", "edge", "suffix", "before"])
+         nothing(pa.int32()), nothing(pa.string()), nothing(pa.binary()), nothing(pa.binary()), nothing(pa.int64()), nothing(pa.int32())],
+        names=_NAMES)
 
 
 def _edge(row: pa.RecordBatch, part: int, edge: str) -> pa.RecordBatch:
     none = pa.nulls(1, pa.int32())
-    return pa.RecordBatch.from_arrays([row.column("tid"), row.column("pos"), none, none, pa.nulls(1, pa.int64()), none, pa.array([part], pa.int32()), pa.array([edge]), row.column("suffix"), row.column("before")],
-                                      names=["tid", "pos", "start", "n", "other", "other_start", "part", "edge", "suffix", "before"])
+    return pa.RecordBatch.from_arrays([row.column("tid"), row.column("pos"), none, none, pa.nulls(1, pa.int64()), none, pa.array([part], pa.int32()), pa.array([edge]), row.column("suffix"), row.column("before"), pa.nulls(1, pa.int64()), none],
+                                      names=_NAMES)
