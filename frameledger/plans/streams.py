@@ -92,9 +92,19 @@ def stream_best_per_day(spark, sf):
     return A.drain(best, "complete", "day").select("clip", F.date_format("day", "yyyy-MM-dd").alias("day"), "event_id", "sharp")
 
 
+def _windowed(spark, sf):
+    of = lambda ev: ev.select(C("user_id").alias("clip"), "ts", "event_id", C("value").alias("sharp"))
+    out = A.drain(A.best_per_day(of(_events(spark, sf)), "clip", "event_id", "sharp"), "append", "window")
+    return A.close_days(out, of(I.table(spark, sf, "events")), "clip", "event_id", "sharp")
+
+
+@query("X6")
+def stream_late_rows(spark, sf):
+    """Rows of the windowed stream, and those behind its watermark that no day holds."""
+    return _windowed(spark, sf)[1]
+
+
 @query("X6")
 def stream_best_windowed(spark, sf):
-    """The same with a watermark: closed days are final, emitted once and forgotten."""
-    ev = _events(spark, sf).select(C("user_id").alias("clip"), "ts", "event_id", C("value").alias("sharp"))
-    out = A.drain(A.best_per_day(ev, "clip", "event_id", "sharp"), "append", "window")
-    return out.select("clip", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "event_id", "sharp")
+    """The same with a watermark: closed days are final, emitted once and forgotten; days still open at the end follow by a batch read."""
+    return _windowed(spark, sf)[0].select("clip", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "event_id", "sharp")

@@ -68,10 +68,29 @@ def running_meter(values: DataFrame, key: str, value: str, weight: str) -> DataF
 
 
 def best_per_day(frames: DataFrame, clip: str, idx: str, sharp: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """Best frame per clip and day, one row of state each; late rows beyond the watermark are dropped."""
+    """Best frame per clip and day, one row of state each; late rows beyond the watermark are dropped (`close_days` counts them).
+
+    `n_rows` is the number of rows of the clip and day.
+    """
     timed = frames.withColumn(ts, C(ts).cast("timestamp")).withWatermark(ts, late)
     return (timed.groupBy(C(clip), F.window(ts, "1 day").alias("day"))
-            .agg(F.max_by(idx, F.struct(C(sharp), -C(idx))).alias(idx), F.max(sharp).alias(sharp)))
+            .agg(F.max_by(idx, F.struct(C(sharp), -C(idx))).alias(idx), F.max(sharp).alias(sharp), F.count(F.lit(1)).alias("n_rows")))
+
+
+def close_days(emitted: DataFrame, frames: DataFrame, clip: str, idx: str, sharp: str, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(days, late) after a bounded run of `best_per_day`: its rows and those of the days it left open; (n_rows, n_late) in one row.
+
+    `frames` is the same input as a batch. A clip and day that the stream never emitted was open at its end, or all its rows came
+    late; the batch read gives either whole. Late are the rows that no day holds. Rows without a time belong to no day.
+    """
+    every = best_per_day(frames, clip, idx, sharp, ts)
+    done = emitted.select(clip, "day").withColumn("_done", F.lit(True))
+    still = every.join(done, every[clip].eqNullSafe(done[clip]) & (every["day"] == done["day"]), "left_anti")
+    days = emitted.unionByName(still)
+    late = (every.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+            .crossJoin(days.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("kept")))           # one row each
+            .select("n_rows", (C("n_rows") - C("kept")).alias("n_late")))
+    return days, late
 
 
 class BestScore(StatefulProcessor):

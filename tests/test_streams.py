@@ -31,6 +31,27 @@ def test_windowed_best_is_a_subset_of_the_exact_one(spark, tiny):
     assert closed.exceptAll(exact).count() == 0 and closed.count() > 0
 
 
+def test_windowed_best_is_whole(spark, tiny):
+    exact = streams.stream_best_per_day(spark, tiny)
+    whole = streams.stream_best_windowed(spark, tiny)
+    assert exact.exceptAll(whole).count() == 0
+    n = spark.read.parquet(f"{tiny}/events.parquet").count()
+    assert streams.stream_late_rows(spark, tiny).collect() == [(n, 0)]
+
+
+def test_late_rows_are_counted(spark):
+    path = scratch_path(spark, "late")
+    steps = [["2024-01-01 05:00:00", "2024-01-09 05:00:00"], ["2024-01-10 05:00:00"], ["2024-01-01 06:00:00", "2024-01-10 07:00:00"]]
+    frames = spark.createDataFrame([(1, t, 10 * k + i, 1.0 + k) for k, step in enumerate(steps) for i, t in enumerate(step)], "clip long, ts string, idx long, sharp double")
+    for k in range(3):
+        frames.where(C("sharp") == 1.0 + k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    emitted = A.drain(A.best_per_day(stream, "clip", "idx", "sharp"), "append", "late")
+    days, late = A.close_days(emitted, frames, "clip", "idx", "sharp")
+    assert late.first() == (5, 1)
+    assert sorted(r.idx for r in days.collect()) == [0, 1, 21]
+
+
 def test_series(spark):
     df = spark.createDataFrame([("a", 0, 0.1), ("a", 1, 0.3), ("a", 2, 0.3), ("a", 3, 0.4)], "run string, epoch int, score double")
     assert [r.is_best for r in series.best_so_far(df).orderBy("epoch").collect()] == [True, True, False, True]
