@@ -98,3 +98,14 @@ def op10_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameledger.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op13_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers that stand for the same bytes of all documents, and how common each pair is."""
+    import public_tokenizers
+
+    from frameledger.llm.token_alignment import align_tokenizers
+
+    a, b, ranks = (str(public_tokenizers.path(p)) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return align_tokenizers(table(spark, sf_dir, "documents"), a, b, ranks)
