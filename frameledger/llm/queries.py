@@ -109,3 +109,11 @@ def op13_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a, b, ranks = (str(public_tokenizers.path(p)) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
     return align_tokenizers(table(spark, sf_dir, "documents"), a, b, ranks)
+
+
+@query
+def op11_path_copying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, with proofs and the versions that tampered leaves make."""
+    from frameledger.llm.merkle_manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
