@@ -117,3 +117,12 @@ def op11_path_copying(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameledger.llm.merkle_manifest import manifest
 
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: fixed patterns, and candidates that boosted trees select."""
+    from frameledger.llm import pii_boosting
+
+    docs = table(spark, sf_dir, "documents")
+    return pii_boosting.find_personal_data(docs, pii_boosting.fit(docs))
