@@ -1,24 +1,19 @@
-"""Batch image transforms over pixel rows (frame_id, y, x, r, g, b).
+"""Parameters of batch image transforms, drawn per frame as columns, and the transforms over frame rows.
 
-Random parameters are drawn per frame from hashed values and attached to the frame rows *before*
-they are expanded to pixels, so they are computed once per image and never depend on partitioning.
-Point operations are column expressions; neighbourhoods stay inside one image, so a table placed by
-frame_id is not shuffled.
+Random values come from hashes of the frame's id, so they depend neither on partitioning nor on retries. Where a frame
+needs many (noise, kernels), one hash seeds a counter-based stream. The pixels are worked in operators/frames.py.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from frameledger.constants import (
-    CAMERA_STAGES, CHANNEL_MEAN, CHANNEL_STD, HUE_GB, HUE_GG, HUE_GR, LUM_B, LUM_G, LUM_R,
-    PHOTOMETRIC_MODES, SHIFT_AMOUNT, SHIFT_RADIUS, SHIFT_SATURATION, SHIFT_SIGMA, SHIFT_TONE_X, SHIFT_TONE_Y)
-from frameledger.functions.numeric import clip, interp, normal, to_byte, uniform, uniform_between
-from frameledger.operators.masks import along_column, along_row
+    CAMERA_STAGES, CHANNEL_MEAN, CHANNEL_STD, HUE_GB, HUE_GG, HUE_GR, LUM_B, LUM_G, LUM_R, PHOTOMETRIC_MODES)
+from frameledger.functions.numeric import clip, hash_long, normal, to_byte, uniform, uniform_between
+from frameledger.operators import frames as K
 
 C = F.col
 RGB = ("r", "g", "b")
@@ -29,18 +24,6 @@ def _set(px: DataFrame, values: dict[str, Column]) -> DataFrame:
     return px.withColumns(values)
 
 
-def to_unit(px: DataFrame) -> DataFrame:
-    return _set(px, {c: C(c) / F.lit(255.0) for c in RGB})
-
-
-def to_bytes(px: DataFrame) -> DataFrame:
-    return _set(px, {c: to_byte(C(c)) for c in RGB})
-
-
-def clip_unit(px: DataFrame) -> DataFrame:
-    return _set(px, {c: clip(C(c), 0.0, 1.0) for c in RGB})
-
-
 def normalise(px: DataFrame) -> DataFrame:
     return _set(px, {c: (C(c) / 255.0 - m) / s for c, m, s in zip(RGB, CHANNEL_MEAN, CHANNEL_STD)})
 
@@ -129,15 +112,6 @@ def jitter_params(frames: DataFrame, seed, strength: float = 1.0, brightness: fl
     return out.select(*frames.columns, *keep)
 
 
-def color_jitter(px: DataFrame) -> DataFrame:
-    """Apply jitter_params columns. Contrast pivots on the luma mean of the incoming image."""
-    unit = to_unit(px)
-    luma = sum(C(c) * w for c, w in zip(RGB, LUM))
-    grey = unit.withColumn("_grey", F.avg(luma).over(W.partitionBy("frame_id")))
-    out = apply_matrix(grey, stored("jm"), [C(f"jbeta{i}") * C("_grey") for i in range(3)])
-    return clip_unit(out).drop("_grey")
-
-
 # -- camera stages ------------------------------------------------------------------------------
 
 def camera_params(frames: DataFrame, seed, strength: float = 1.0, stages=CAMERA_STAGES) -> DataFrame:
@@ -189,36 +163,20 @@ def camera_params(frames: DataFrame, seed, strength: float = 1.0, stages=CAMERA_
     use = "sharpblur" in on
     shift_on = (uniform(f"{seed}-chroma", key) < 0.2) if "chroma" in on else F.lit(False)
     resampled = (uniform(f"{seed}-resample", key) < 0.5) if "resample" in on else F.lit(False)
+    factor = F.greatest(one, one + F.lit(s) * (u("factor", 1.0, 2.0) - one))
 
     def unit_step(tag):
         return F.when(shift_on, F.floor(uniform(f"{seed}-{tag}", key) * 3).cast("int") - 1).otherwise(0)
 
     out = out.withColumns({"sigma": sigma if use else F.lit(None).cast("double"), "amount": amount if use else F.lit(None).cast("double"),
-                           "dx": unit_step("dx"), "dy": unit_step("dy"), "factor": F.when(resampled, 2).otherwise(1)})
+                           "dx": unit_step("dx"), "dy": unit_step("dy"), "factor": F.when(resampled, factor).otherwise(one),
+                           **{f"nk{c}": hash_long(f"{seed}-nk{c}", key) for c in range(3)}})
     keep = ([f"lin{i}{j}" for i in range(3) for j in range(3)] + ["na", "nb", "gamma"] + [f"ty{k}" for k in range(5)]
-            + ["sigma", "amount", "dx", "dy", "factor"]
+            + ["sigma", "amount", "dx", "dy", "factor", "nk0", "nk1", "nk2"]
             + ([f"sh{i}{j}" for i in range(3) for j in range(3)] if "satihue" in on else []))
     return out.select(*frames.columns, *keep)
 
 
-def linear_stage(px: DataFrame) -> DataFrame:
-    """Display to linear light (power 2.2), then white balance, exposure and colour matrix as one."""
-    lin = _set(px, {c: F.pow(C(c) / 255.0, F.lit(2.2)) for c in RGB})
-    return apply_matrix(lin, stored("lin"))
-
-
-def sensor_noise(px: DataFrame, seed) -> DataFrame:
-    """Shot and read noise with deviation sqrt(a * x + b), then the one clip of linear light."""
-    key = (C("frame_id"), C("y"), C("x"))
-    noisy = (C("na") > 0) | (C("nb") > 0)
-
-    def value(c):
-        sd = F.sqrt(F.greatest(C(c), F.lit(0.0)) * C("na") + C("nb"))
-        return clip(F.when(noisy, C(c) + sd * normal(f"{seed}-{c}", *key)).otherwise(C(c)), 0.0, 1.0)
-
-    return _set(px, {c: value(c) for c in RGB})
-
-
 def tone_value(v: Column, knots: list[Column]) -> Column:
     """Piecewise-linear curve over evenly spaced knots 0..1."""
     n = len(knots) - 1
@@ -228,117 +186,6 @@ def tone_value(v: Column, knots: list[Column]) -> Column:
     return lo + (hi - lo) * (v * n - i)
 
 
-def display_stage(px: DataFrame) -> DataFrame:
-    """Linear to display: quantise to a gamma-2 code, then the residual power and the tone curve."""
-    def value(c):
-        code = F.floor(F.sqrt(C(c)) * 255.0 + 0.5) / 255.0
-        return tone_value(F.pow(code, F.lit(2.0) / C("gamma")), [C(f"ty{k}") for k in range(5)])
-
-    return _set(px, {c: value(c) for c in RGB})
-
-
-def colour_rendering(px: DataFrame) -> DataFrame:
-    return clip_unit(apply_matrix(px, stored("sh")))
-
-
-def _smooth_lines(lines, sigma, half):
-    """1-D Gaussian of many image lines at once (mirrored ends); lines are grouped by length."""
-    out = [None] * len(lines)
-    size = np.array([len(v) for v in lines])
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        v, s, h = np.stack([lines[i] for i in at]), sigma[at], half[at].astype(int)
-        r = int(h.max())
-        wide = v if n == 1 else np.pad(v, ((0, 0), (r, r)), mode="reflect") if r < n else v[:, _mirror_index(n, r)]
-        d = np.arange(-r, r + 1)
-        k = np.exp(-(d * d) / (2.0 * s[:, None] ** 2)) * (np.abs(d) <= h[:, None])
-        k /= k.sum(axis=1, keepdims=True)
-        res = v if n == 1 else sum(k[:, i:i + 1] * wide[:, i:i + n] for i in range(2 * r + 1))
-        for i, row in zip(at, res):
-            out[i] = row
-    return out
-
-
-def _mirror_index(n: int, r: int):
-    m = np.abs(np.arange(-r, n + r)) % (2 * (n - 1))
-    return np.where(m < n, m, 2 * (n - 1) - m)
-
-
-def gaussian_blur(px: DataFrame, sigma: Column, radius: int, suffix: str = "_blur") -> DataFrame:
-    """Separable Gaussian as extra columns; mirrored borders, NULL where sigma is NULL.
-
-    Each image line becomes one small array that carries every column of its pixels, so nothing is
-    joined back; Arrow batches of lines are smoothed together. The kernel half-width is
-    int(2.5 * sigma), at least 1 and at most `radius`.
-    """
-    half = F.greatest(F.lit(1), F.least(F.floor(sigma * 2.5).cast("int"), F.lit(radius)))
-
-    @F.pandas_udf("array<double>")
-    def smooth(v: pd.Series, s: pd.Series, h: pd.Series) -> pd.Series:
-        known = s.notna().to_numpy()
-        out = np.full(len(v), None, dtype=object)
-        done = _smooth_lines(v[known].to_list(), s[known].to_numpy(float), h[known].to_numpy(float)) if known.any() else []
-        for i, row in zip(np.flatnonzero(known), done):
-            out[i] = row
-        return pd.Series(out)
-
-    def pass_over(df, line, along, names, outs):
-        carried = [c for c in df.columns if c not in ("frame_id", line, along)]
-        rows = df.groupBy("frame_id", line).agg(F.array_sort(F.collect_list(F.struct(along, *carried))).alias("_vec"))
-        first = F.element_at("_vec", 1)
-        rows = rows.withColumns({o: smooth(C(f"_vec.{n}"), first["_sg"], first["_hf"]) for n, o in zip(names, outs)})
-        # Unmatched (NULL) results must still leave one entry per pixel.
-        zipped = F.arrays_zip("_vec", *[F.coalesce(o, F.transform("_vec", lambda e: F.lit(None).cast("double"))).alias(o) for o in outs])
-        return rows.select("frame_id", line, F.explode(zipped).alias("_p")).select("frame_id", line, "_p._vec.*", *[f"_p.{o}" for o in outs])
-
-    src = px.withColumns({"_sg": sigma, "_hf": half, **{c: C(c).cast("double") for c in RGB}})
-    across = pass_over(src, "y", "x", RGB, [f"_t{c}" for c in RGB])
-    both = pass_over(across, "x", "y", [f"_t{c}" for c in RGB], [f"{c}{suffix}" for c in RGB])
-    return both.drop("_sg", "_hf", *[f"_t{c}" for c in RGB])
-
-
-def blur_or_sharpen(px: DataFrame, radius: int = 4) -> DataFrame:
-    """Exactly one of blur (amount NULL) or unsharp mask; a NULL sigma leaves the image alone."""
-    soft = gaussian_blur(px, C("sigma"), radius)
-
-    def value(c):
-        s = C(f"{c}_blur")
-        return (F.when(s.isNull(), C(c)).when(C("amount").isNull(), s)
-                .otherwise(clip(C(c) * (F.lit(1.0) + C("amount")) - s * C("amount"), 0.0, 1.0)))
-
-    return _set(soft, {c: value(c) for c in RGB}).drop(*[f"{c}_blur" for c in RGB])
-
-
-def resample_mismatch(px: DataFrame) -> DataFrame:
-    """Down by an integer factor (area mean) and back up (nearest)."""
-    block = W.partitionBy("frame_id", F.floor(C("y") / C("factor")), F.floor(C("x") / C("factor")))
-    return _set(px, {c: F.avg(c).over(block) for c in RGB})
-
-
-def chroma_shift(px: DataFrame, dx: Column, dy: Column) -> DataFrame:
-    """Move red by (dx, dy) and blue by (-dx, -dy), at most one pixel, edges repeated."""
-    def moved(c, step, win):
-        back, ahead = F.lag(c).over(win), F.lead(c).over(win)
-        return F.when(step > 0, F.coalesce(back, C(c))).when(step < 0, F.coalesce(ahead, C(c))).otherwise(C(c))
-
-    first = _set(px, {"r": moved("r", dy, along_column()), "b": moved("b", -dy, along_column())})
-    return _set(first, {"r": moved("r", dx, along_row()), "b": moved("b", -dx, along_row())})
-
-
-def camera_chain(px: DataFrame, seed, stages=CAMERA_STAGES) -> DataFrame:
-    """All camera stages in order over frames that carry camera_params. No codec stage."""
-    on = set(stages)
-    out = sensor_noise(linear_stage(px), seed)
-    out = display_stage(out)
-    if "satihue" in on:
-        out = colour_rendering(out)
-    if "sharpblur" in on:
-        out = blur_or_sharpen(out)
-    if "resample" in on:
-        out = resample_mismatch(out)
-    return chroma_shift(out, C("dx"), C("dy")) if "chroma" in on else out
-
-
 # -- geometry -----------------------------------------------------------------------------------
 
 def centre_crop_43(px: DataFrame, w: int, h: int) -> DataFrame:
@@ -350,10 +197,6 @@ def centre_crop_43(px: DataFrame, w: int, h: int) -> DataFrame:
     return px.filter((C("x") >= x0) & (C("x") < x0 + target)).withColumn("x", C("x") - x0)
 
 
-def flip_horizontal(px: DataFrame, w: int, when: Column) -> DataFrame:
-    return px.withColumn("x", F.when(when, F.lit(w - 1) - C("x")).otherwise(C("x")))
-
-
 def flip_box(box, w, when: Column) -> list[Column]:
     return [F.when(when, F.lit(w) - box[2]).otherwise(box[0]), box[1],
             F.when(when, F.lit(w) - box[0]).otherwise(box[2]), box[3]]
@@ -378,214 +221,55 @@ def crop_proposals(frames: DataFrame, seed, w: int, h: int, attempts: int = 10,
     return frames.withColumn("props", F.transform(fits, place))
 
 
-def choose_crop(frames: DataFrame, px: DataFrame, on: Column, seed, w: int, h: int, min_visible: float = 0.5, attempts: int = 10) -> DataFrame:
-    """First proposal that keeps enough of the mask, else the whole image. Adds the visible share.
+def geometry_params(frames: DataFrame, seed, w: int, h: int, max_angle: float = 10.0, flip: float = 0.5, attempts: int = 10) -> DataFrame:
+    """Per frame: angle in degrees, whether to flip, and `attempts` crop proposals as (cw, ch, x0, y0), zeros where one does not fit."""
+    key = C("frame_id")
+    out = crop_proposals(frames, seed, w, h, attempts)
+    flat = F.flatten(F.transform("props", lambda p: F.array(*[p[n] for n in ("cw", "ch", "x0", "y0")])))
+    short = F.array_repeat(F.lit(0), F.lit(4 * attempts) - F.size("props") * 4)
+    return out.withColumns({"crops": F.concat(flat, short), "angle": uniform_between(-max_angle, max_angle, f"{seed}-angle", key),
+                            "flip": uniform(f"{seed}-flip", key) < flip}).drop("props")
 
-    A foreground pixel meets its frame's one row of proposals and counts for each of them, so no
-    rows are multiplied. An empty mask takes the first proposal.
-    """
-    prop = crop_proposals(frames.select("frame_id"), seed, w, h, attempts)
-    def inside(k):
-        p = f"get(props, {k})"          # NULL where fewer proposals fit
-        return f"x >= {p}.x0 AND x < {p}.x0 + {p}.cw AND y >= {p}.y0 AND y < {p}.y0 + {p}.ch"
-
-    seen = (px.filter(on).select("frame_id", "y", "x").join(prop, "frame_id").groupBy("frame_id")
-            .agg(F.count(F.lit(1)).alias("fg"), *[F.expr(f"count_if({inside(k)})").alias(f"v{k}") for k in range(attempts)]))
-    j = prop.join(seen, "frame_id", "left").withColumn("vis", F.array(*[F.coalesce(f"v{k}", F.lit(0)) for k in range(attempts)]))
-    need = F.greatest(F.lit(1), F.ceil(C("fg") * min_visible))
-    tried = F.zip_with(C("props"), F.slice("vis", 1, F.size("props")), lambda p, v: F.when(C("fg").isNull() | (v >= need), F.struct(
-        *[p[n].alias(n) for n in ("cw", "ch", "x0", "y0")], v.alias("vis"))))
-    j = j.withColumn("_p", F.try_element_at(F.array_compact(tried), F.lit(1)))
-    chosen = j.select("frame_id", *[F.coalesce(C(f"_p.{n}"), F.lit(d)).alias(n) for n, d in (("cw", w), ("ch", h), ("x0", 0), ("y0", 0))],
-                      F.when(C("fg") > 0, F.coalesce(C("_p.vis") / C("fg"), F.lit(1.0))).alias("visible"))
-    return frames.join(chosen, "frame_id")
-
-
-def crop(px: DataFrame, x0: Column, y0: Column, cw: Column, ch: Column) -> DataFrame:
-    inside = (C("x") >= x0) & (C("x") < x0 + cw) & (C("y") >= y0) & (C("y") < y0 + ch)
-    return px.filter(inside).withColumns({"x": C("x") - x0, "y": C("y") - y0})
-
-
-def rotate_mask(px: DataFrame, value: str, angle_deg: Column, w: int, h: int) -> DataFrame:
-    """Rotate about the centre by inverse nearest mapping; outside is background."""
-    a = F.radians(angle_deg)
-    cx, cy = w / 2.0, h / 2.0
-    sx = F.cos(a) * (C("x") - cx) - F.sin(a) * (C("y") - cy) + cx
-    sy = F.sin(a) * (C("x") - cx) + F.cos(a) * (C("y") - cy) + cy
-    want = px.select("frame_id", "y", "x", F.floor(sx + 0.5).cast("int").alias("sx"), F.floor(sy + 0.5).cast("int").alias("sy"))
-    src = px.select("frame_id", C("y").alias("sy"), C("x").alias("sx"), value)
-    return want.join(src, ["frame_id", "sy", "sx"], "left").select("frame_id", "y", "x", F.coalesce(value, F.lit(0)).alias(value))
-
-
-# -- level operations on whole levels 0..255 ------------------------------------------------------
-
-def posterise(v: Column, bits: Column) -> Column:
-    step = F.pow(F.lit(2.0), F.lit(8) - bits).cast("int")
-    return v - v % step
-
-
-def solarise(v: Column, threshold: Column) -> Column:
-    return F.when(v < threshold, v).otherwise(F.lit(255) - v)
-
-
-def autocontrast(v: Column, lo: Column, hi: Column) -> Column:
-    scaled = F.floor(F.round((v - lo) * F.lit(255.0) / (hi - lo), 9)).cast("int")
-    return F.when(hi > lo, F.least(F.greatest(scaled, F.lit(0)), F.lit(255))).otherwise(v)
-
-
-def equalise_table(px: DataFrame, values: tuple = RGB, keys: tuple = ("frame_id",)) -> DataFrame:
-    """(keys, channel, level, out): histogram equalisation with integer steps. 256 rows at most each."""
-    long = px.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), C(c).alias("level")) for c in values])).alias("u")
-                     ).select(*keys, "u.*")
-    hist = long.groupBy(*keys, "channel", "level").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*keys, "channel")
-    up = w.orderBy("level")
-    h = hist.withColumns({"before": F.coalesce(F.sum("n").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-                          "total": F.sum("n").over(w), "levels": F.count(F.lit(1)).over(w),
-                          "last": F.max(F.struct("level", "n")).over(w)["n"]})
-    step = F.floor((C("total") - C("last")) / 255)
-    out = F.floor((F.floor(step / 2) + C("before")) / step)
-    return h.select(*keys, "channel", "level", F.when((C("levels") > 1) & (step > 0), F.least(out, F.lit(255)))
-                    .otherwise(C("level")).cast("int").alias("out"))
-
-
-def level_histogram(px: DataFrame) -> DataFrame:
-    """(frame_id, channel, level, n): at most 256 rows per image and channel."""
-    long = px.select("frame_id", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), C(c).alias("level")) for c in RGB])).alias("u"))
-    return long.groupBy("frame_id", "u.channel", "u.level").agg(F.count(F.lit(1)).alias("n"))
-
-
-def level_step(table: DataFrame, keys: tuple, choice: Column, bits: Column, threshold: Column) -> DataFrame:
-    """Apply one op to the `value` of histogram rows (weight n): 0 autocontrast, 1 equalise,
-    2 posterise, 3 solarise, anything else none."""
-    w = W.partitionBy(*keys)
-    lower = w.orderBy("value").rangeBetween(W.unboundedPreceding, -1)
-    t = table.withColumns({"_op": choice, "_lo": F.min("value").over(w), "_hi": F.max("value").over(w), "_n": F.sum("n").over(w),
-                           "_below": F.coalesce(F.sum("n").over(lower), F.lit(0))})
-    t = t.withColumn("_top", F.sum(F.when(C("value") == C("_hi"), C("n")).otherwise(0)).over(w))
-    v, step = C("value"), F.floor((C("_n") - C("_top")) / 255)
-    equal = F.when((C("_hi") > C("_lo")) & (step > 0), F.least(F.floor((F.floor(step / 2) + C("_below")) / step), F.lit(255))).otherwise(v)
-    new = (F.when(C("_op") == 0, autocontrast(v, C("_lo"), C("_hi"))).when(C("_op") == 1, equal)
-           .when(C("_op") == 2, posterise(v, bits)).when(C("_op") == 3, solarise(v, threshold)).otherwise(v))
-    return t.withColumn("value", new.cast("int")).drop("_op", "_lo", "_hi", "_n", "_below", "_top")
-
-
-def chain_mix(px: DataFrame, seed, width: int = 3, severity: int = 3, strength: float = 1.0) -> DataFrame:
-    """Weighted mix of `width` chains of one to three label-safe ops, blended with the image.
-
-    Weights are normalised exponentials (sum to one); the blend factor is uniform. Every op maps
-    levels to levels, so the chains run on histograms and the pixels meet only the final tables.
-    """
-    key = (C("frame_id"), C("branch"))
-    t = level_histogram(px).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("value", C("level"))
-    depth = F.floor(uniform(f"{seed}-depth", *key) * 3) + 1
-    for step in range(3):
-        lvl = uniform_between(0.1, float(severity), f"{seed}-level{step}", *key)
-        choice = F.when(depth > step, F.floor(uniform(f"{seed}-op{step}", *key) * 4).cast("int")).otherwise(-1)
-        t = level_step(t, ("frame_id", "branch", "channel"), choice, F.lit(4) - F.floor(lvl * 0.4).cast("int"),
-                       F.lit(256) - F.floor(lvl * 25.6).cast("int"))
-    raw = -F.log(F.greatest(uniform(f"{seed}-weight", *key), F.lit(1e-12)))
-    mixed = t.withColumn("_w", raw).groupBy("frame_id", "channel", "level").agg((F.sum(C("value") * C("_w")) / F.sum("_w") / 255.0).alias("mix"))
-    out = px.withColumn("_b", uniform(f"{seed}-blend", C("frame_id")) * float(strength))
-    for c in RGB:
-        part = mixed.filter(C("channel") == c).select("frame_id", C("level").alias(c), C("mix").alias(f"_m{c}"))
-        out = out.join(part, ["frame_id", c])
-    return out.withColumns({c: (F.lit(1.0) - C("_b")) * C(c) / 255.0 + C("_b") * C(f"_m{c}") for c in RGB}).drop("_b", *[f"_m{c}" for c in RGB])
-
-
-def neighbours3(px: DataFrame, names) -> tuple[DataFrame, dict]:
-    """3x3 neighbourhood of each pixel as columns, mirrored at the border (two window passes).
-
-    Returns the table and {(dy, dx, name): column name}.
-    """
-    def sides(df, win, cols, before, after):
-        out = {}
-        for c in cols:
-            back, ahead = F.lag(c).over(win), F.lead(c).over(win)
-            out[c + before], out[c + after] = F.coalesce(back, ahead, C(c)), F.coalesce(ahead, back, C(c))
-        return df.withColumns(out)
-
-    x_tag, y_tag = {-1: "_l", 0: "", 1: "_r"}, {-1: "_u", 0: "", 1: "_d"}
-    across = sides(px, along_row(), names, "_l", "_r")
-    wide = sides(across, along_column(), [n + t for n in names for t in x_tag.values()], "_u", "_d")
-    return wide, {(dy, dx, n): n + x_tag[dx] + y_tag[dy] for n in names for dx in x_tag for dy in y_tag}
-
-
-def random_convolution(px: DataFrame, seed, strength: float = 1.0) -> DataFrame:
-    """Random 1x1 or 3x3 convolution, first two moments matched to the input, then blended."""
-    unit = to_unit(px).select("frame_id", "y", "x", *RGB)
-    k3 = uniform(f"{seed}-k", C("frame_id")) >= 0.5
-    sd = F.when(k3, F.lit(math.sqrt(2.0 / 27))).otherwise(F.lit(math.sqrt(2.0 / 3)))
-    off = F.sequence(F.lit(-1), F.lit(1))
-    here = k3 | ((C("dy") == 0) & (C("dx") == 0))       # a 1x1 kernel has only its centre
-
-    def weight(o, i):
-        return F.when(here, normal(f"{seed}-w{o}{i}", C("frame_id"), C("dy"), C("dx")) * sd).otherwise(0.0)
-
-    # 81 weights per frame, drawn once: three arrays of 27, ordered by (dy, dx, channel).
-    draws = (px.select("frame_id").distinct().withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off))
-             .withColumns({f"w{o}": F.array(*[weight(o, i) for i in range(3)]) for o in range(3)}))
-    taps = F.array_sort(F.collect_list(F.struct("dy", "dx", "w0", "w1", "w2")))
-    wt = draws.groupBy("frame_id").agg(taps.alias("_t")).select(
-        "frame_id", F.struct(*[F.flatten(C(f"_t.w{o}")).alias(f"w{o}") for o in range(3)]).alias("_w"))
-    wide, at = neighbours3(unit, RGB)
-    j = wide.join(wt, "frame_id")
-    # Weighted sums over arrays: written out, 81 products make a method too big to be compiled.
-    order = [(dy, dx, c) for dy in (-1, 0, 1) for dx in (-1, 0, 1) for c in RGB]
-    j = j.withColumn("_v", F.array(*[C(at[k]) for k in order])).select("frame_id", "y", "x", *RGB, "_v", "_w")
-    j = j.selectExpr("frame_id", "y", "x", *RGB, *[
-        f"aggregate(zip_with(_v, _w.w{o}, (a, b) -> a * b), 0e0, (acc, t) -> acc + t) AS y{o}" for o in range(3)])
-    fw = W.partitionBy("frame_id")
-
-    def moments(cols):
-        mean = F.avg(sum(C(c) for c in cols) / 3.0).over(fw)
-        square = F.avg(sum(C(c) * C(c) for c in cols) / 3.0).over(fw)
-        return mean, square
-
-    (mx, sx), (my, sy) = moments(RGB), moments(("y0", "y1", "y2"))
-    j = j.withColumns({"_mx": mx, "_sx": sx, "_my": my, "_sy": sy})
-    dev = {t: F.sqrt(F.greatest(C(f"_s{t}") - C(f"_m{t}") * C(f"_m{t}"), F.lit(0.0))) + 1e-6 for t in ("x", "y")}
-    alpha = F.lit(1.0) - F.lit(float(strength)) * uniform(f"{seed}-alpha", C("frame_id"))
-    out = {c: clip(alpha * C(c) + (F.lit(1.0) - alpha) * ((C(f"y{o}") - C("_my")) / dev["y"] * dev["x"] + C("_mx")), 0.0, 1.0)
-           for o, c in enumerate(RGB)}
-    return j.select("frame_id", "y", "x", *[v.alias(c) for c, v in out.items()])
-
-
-def held_out_shift(px: DataFrame) -> DataFrame:
-    """Fixed tone curve, strong unsharp mask, saturation. (No resampling round trip.)"""
-    toned = _set(px, {c: interp(C(c) / 255.0, SHIFT_TONE_X, SHIFT_TONE_Y) for c in RGB})
-    soft = gaussian_blur(toned, F.lit(SHIFT_SIGMA), SHIFT_RADIUS)
-    sharp = _set(soft, {c: C(c) * (1.0 + SHIFT_AMOUNT) - C(f"{c}_blur") * SHIFT_AMOUNT for c in RGB}).drop(*[f"{c}_blur" for c in RGB])
-    return clip_unit(apply_matrix(sharp, saturation_matrix(SHIFT_SATURATION)))
-
-
-def policy(frames: DataFrame, expand, photometric: str = "jitter", stages=None, strength: float = 1.0, seed=0) -> DataFrame:
-    """One named photometric block over images. `expand` turns frame rows into pixel rows.
-
-    Unknown modes and stages raise; strength 0 is the identity. Values are in [0, 1].
+
+def convolution_params(frames: DataFrame, seed) -> DataFrame:
+    """Per frame: the stream of its kernel, whether it is 3x3, and the blend."""
+    key = C("frame_id")
+    return frames.withColumns({"rk": hash_long(f"{seed}-rc", key), "r3": uniform(f"{seed}-k", key) >= 0.5, "ra": uniform(f"{seed}-alpha", key)})
+
+
+def mix_params(frames: DataFrame, seed, width: int = 3, severity: int = 3) -> DataFrame:
+    """Per frame and chain: depth, ops and levels of three steps, weight; and the blend. Weights are exponential, so normalised they sum to one."""
+    key, chains = C("frame_id"), [F.lit(b) for b in range(width)]
+    return frames.withColumns({
+        "mix_depth": F.array(*[F.floor(uniform(f"{seed}-depth", key, b) * 3).cast("int") + 1 for b in chains]),
+        "mix_op": F.array(*[F.floor(uniform(f"{seed}-op{k}", key, b) * 4).cast("int") for b in chains for k in range(3)]),
+        "mix_level": F.array(*[uniform_between(0.1, float(severity), f"{seed}-level{k}", key, b) for b in chains for k in range(3)]),
+        "mix_weight": F.array(*[-F.log(F.greatest(uniform(f"{seed}-weight", key, b), F.lit(1e-12))) for b in chains]),
+        "mix_blend": uniform(f"{seed}-blend", key)})
+
+
+def policy(frames: DataFrame, photometric: str = "jitter", stages=None, strength: float = 1.0, seed=0, geometry: tuple[int, int] | None = None,
+           finish=K.planes, schema: str = K.PLANES) -> DataFrame:
+    """One named photometric block over frame rows, after one geometric block where `geometry` names their (w, h).
+
+    Unknown modes and stages raise; strength 0 is the photometric identity. `finish` gets values in [0, 1] and returns the
+    columns of `schema`. With geometry, frames keep their arrays' size and `cw`, `ch`, `mask` and `box` go with them.
     """
     if photometric not in PHOTOMETRIC_MODES:
         raise ValueError(f"no such photometric mode: {photometric!r} (offered: {', '.join(PHOTOMETRIC_MODES)})")
     if stages is not None and set(stages) - set(CAMERA_STAGES):
         raise ValueError(f"not offered as camera stages: {', '.join(sorted(set(stages) - set(CAMERA_STAGES)))}")
-    names = ("frame_id", "y", "x", *RGB)
+    first = []
+    if geometry:
+        frames = geometry_params(frames, f"{seed}-geo", *geometry)
+        first = [K.geometry, K.to_levels]
     if photometric == "none" or strength <= 0:
-        return to_unit(expand(frames)).select(*names)
+        return K.applied(frames, *first, K.to_unit, finish=finish, schema=schema)
     if photometric == "jitter":
-        out = color_jitter(expand(jitter_params(frames, seed, strength)))
-    elif photometric == "cpr":
+        return K.applied(jitter_params(frames, seed, strength), *first, K.color_jitter, finish=finish, schema=schema)
+    if photometric == "cpr":
         use = CAMERA_STAGES if stages is None else tuple(stages)
-        out = camera_chain(expand(camera_params(frames, seed, strength, use)), seed, use)
-    elif photometric == "randconv":
-        out = random_convolution(expand(frames), seed, strength)
-    else:
-        out = chain_mix(expand(frames), seed, strength=strength)
-    return out.select(*names)
-
-
-def skin_band(r: Column, g: Column, b: Column, band) -> Column:
-    """Chroma inside a (Cr, Cb) band; luma and chroma by the usual linear conversion, rounded."""
-    y = r * 0.299 + g * 0.587 + b * 0.114
-    cr = F.floor((r - y) * 0.713 + 128.5)
-    cb = F.floor((b - y) * 0.564 + 128.5)
-    return cr.between(band[0], band[1]) & cb.between(band[2], band[3])
+        return K.applied(camera_params(frames, seed, strength, use), *first, K.camera_chain(use), finish=finish, schema=schema)
+    if photometric == "randconv":
+        return K.applied(convolution_params(frames, seed), *first, K.random_convolution(strength), finish=finish, schema=schema)
+    return K.applied(mix_params(frames, seed), *first, K.chain_mix(strength), finish=finish, schema=schema)

@@ -6,7 +6,6 @@ frame_id is never shuffled again, and no group is larger than one image.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from frameledger.constants import (
@@ -123,45 +122,6 @@ def hand_prior(sh: DataFrame) -> DataFrame:
     return sh.withColumn("prior", F.when(C("n_fg") == 0, F.lit(-10.0)).otherwise(-penalty))
 
 
-def _mirror(win, value: Column) -> tuple[Column, Column]:
-    """Previous and next value with the border mirrored about the edge pixel."""
-    before, after = F.lag(value).over(win), F.lead(value).over(win)
-    return F.coalesce(before, after, value), F.coalesce(after, before, value)
-
-
-def laplacian_variance(px: DataFrame, grey: Column) -> DataFrame:
-    """Focus measure per frame: population variance of the 4-neighbour Laplacian."""
-    g = px.select("frame_id", "y", "x", grey.cast("double").alias("v"))
-    left, right = _mirror(along_row(), C("v"))
-    g = g.withColumn("h", left + right)
-    up, down = _mirror(along_column(), C("v"))
-    lap = g.withColumn("lap", C("h") + up + down - C("v") * 4)
-    return lap.groupBy("frame_id").agg(F.var_pop("lap").alias("sharpness"))
-
-
-def _slide(px: DataFrame, value: str, radius: int, fn) -> DataFrame:
-    for win in (along_row(), along_column()):
-        px = px.withColumn(value, fn(value).over(win.rowsBetween(-radius, radius)))
-    return px
-
-
-def dilate(px: DataFrame, value: str, size: int) -> DataFrame:
-    """Box maximum, separable; pixels outside the image do not count."""
-    return _slide(px, value, size // 2, F.max)
-
-
-def erode(px: DataFrame, value: str, size: int) -> DataFrame:
-    return _slide(px, value, size // 2, F.min)
-
-
-def opened(px: DataFrame, value: str, size: int) -> DataFrame:
-    return dilate(erode(px, value, size), value, size)
-
-
-def closed(px: DataFrame, value: str, size: int) -> DataFrame:
-    return erode(dilate(px, value, size), value, size)
-
-
 def background_plate(px: DataFrame, scene: str, values: list[str], minimum: int = 5) -> DataFrame:
     """Per-pixel median across the frames of a scene, truncated; NULL below `minimum` frames.
 
@@ -236,39 +196,14 @@ def resize_mask(px: DataFrame, value: str, factor: int) -> DataFrame:
 
 
 def runs_of(px: DataFrame, on: Column) -> DataFrame:
-    """Horizontal foreground runs: (frame_id, y, x1, x2 inclusive, n). The nodes of `components`."""
+    """Horizontal foreground runs: (frame_id, y, x1, x2 inclusive, n). The nodes of `components_by_joins`."""
     fg = px.filter(on).select("frame_id", "y", "x")
     tagged = fg.withColumn("g", C("x") - F.row_number().over(along_row()))
     return (tagged.groupBy("frame_id", "y", "g").agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.count(F.lit(1)).alias("n"))
             .drop("g"))
 
 
-_WIDTH = 1 << 20                # node id = y * _WIDTH + x1
-
-
-def _label_runs(y, x1, x2) -> list[int]:
-    """First run of each run's component (union-find over one image's runs in reading order)."""
-    parent = list(range(len(y)))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    above = start = 0               # runs [above, start) belong to the row before the current one
-    for i in range(len(y)):
-        if i and y[i] != y[i - 1]:
-            above, start = start, i
-        j = above
-        while j < start and y[j] == y[i] - 1 and x1[j] <= x2[i] + 1:
-            if x2[j] >= x1[i] - 1:
-                a, b = find(j), find(i)
-                parent[max(a, b)] = min(a, b)
-            else:
-                above = j + 1
-            j += 1
-    return [find(i) for i in range(len(y))]
+_ROW = 1 << 32                  # node id = y * _ROW + x1: apart for any whole-number places
 
 
 def _component_boxes(labelled: DataFrame) -> DataFrame:
@@ -277,38 +212,23 @@ def _component_boxes(labelled: DataFrame) -> DataFrame:
         (F.max("x2") + 1).alias("x2"), (F.max("y") + 1).alias("y2"))
 
 
-def components(px: DataFrame, on: Column) -> DataFrame:
-    """8-connected components: one row per component with label, area and box.
-
-    Pixels shrink to runs in Spark; the runs of one image (at most half its pixels) are then
-    labelled together. The label is the first run of the component in reading order.
-    """
-    @F.pandas_udf("array<int>")
-    def label(y: pd.Series, x1: pd.Series, x2: pd.Series) -> pd.Series:
-        return pd.Series([_label_runs(a.tolist(), b.tolist(), c.tolist()) for a, b, c in zip(y, x1, x2)])
-
-    per_image = runs_of(px, on).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("y", "x1", "x2", "n"))).alias("runs"))
-    tagged = per_image.withColumn("root", label(C("runs.y"), C("runs.x1"), C("runs.x2")))
-    one = tagged.select("frame_id", "runs", F.explode(F.arrays_zip("runs", "root")).alias("z"))
-    first = F.element_at("runs", C("z.root") + 1)
-    return _component_boxes(one.select("frame_id", (first["y"].cast("long") * _WIDTH + first["x1"]).alias("label"), "z.runs.*"))
-
+def components_by_joins(px: DataFrame, on: Column) -> DataFrame:
+    """8-connected components for images too large for one task (others: frames.components): labels spread by joins.
 
-def components_by_joins(px: DataFrame, on: Column, max_rounds: int = 64) -> DataFrame:
-    """Same result for images too large for one task: labels spread by joins.
+    One row per component with label (of its first run in reading order), area and box.
 
     Every round takes the least label of the neighbours and then jumps to that label's own label,
     so the number of rounds grows with the logarithm of the longest chain. Each round is cut with
     a reliable checkpoint; the loop ends when no label changes.
     """
-    node = C("y").cast("long") * _WIDTH + C("x1")
+    node = C("y").cast("long") * _ROW + C("x1")
     runs = cut_lineage(runs_of(px, on).withColumn("id", node))
     a = runs.select("frame_id", (C("y") + 1).alias("y"), C("id").alias("src"), C("x1").alias("a1"), C("x2").alias("a2"))
     down = (a.join(runs.select("frame_id", "y", C("id").alias("dst"), "x1", "x2"), ["frame_id", "y"])
             .filter((C("x1") <= C("a2") + 1) & (C("x2") >= C("a1") - 1)).select("frame_id", "src", "dst"))
     edges = cut_lineage(down.unionByName(down.select("frame_id", C("dst").alias("src"), C("src").alias("dst"))))
     label = runs.select("frame_id", "id", C("id").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         seen = label.select("frame_id", C("id").alias("src"), C("label").alias("other"))
         near = edges.join(seen, ["frame_id", "src"]).groupBy("frame_id", C("dst").alias("id")).agg(F.min("other").alias("other"))
         low = (label.join(near, ["frame_id", "id"], "left")
@@ -319,8 +239,6 @@ def components_by_joins(px: DataFrame, on: Column, max_rounds: int = 64) -> Data
         label = step.select("frame_id", "id", C("next").alias("label"))
         if moved == 0:
             break
-    else:
-        raise RuntimeError("component labels did not settle")
     return _component_boxes(runs.join(label, ["frame_id", "id"]))
 
 

@@ -7,6 +7,8 @@ shuffle moves frames, never pixels.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from frameledger.constants import GESTURES, N_CLASSES
@@ -95,6 +97,33 @@ def frame_rows(spark, sf, expand: int = 256, **extra: Column) -> DataFrame:
     return placed(base, "frame_id", expand)
 
 
+def image_rows(spark, sf, w: int = 8, h: int = 8, **extra: Column) -> DataFrame:
+    """One row per frame with its picture and mask as bytes; `extra` adds per-frame columns.
+
+    The table of frames is one small file, so it is dealt to every core; frames stream through, and nothing grows with a
+    partition. Stands for the decoding of image files.
+    """
+    base = table(spark, sf, "part").select(C("p_partkey").alias("frame_id"), "p_size")
+    base = base.withColumns(extra).repartition(2 * spark.sparkContext.defaultParallelism, "frame_id")
+    fields = ", ".join(f"{name} {kind}" for name, kind in base.dtypes)
+    x, y = np.meshgrid(np.arange(w), np.arange(h))
+
+    def draw(batches):
+        for batch in batches:
+            step = max(1, (1 << 20) // (w * h))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                f, s = (part.column(c).to_numpy().astype(np.int64)[:, None, None] for c in ("frame_id", "p_size"))
+                rgb = np.stack(np.broadcast_arrays((x * 16 + f) % 256, (y * 16 + s * 3) % 256, (x * y + f * 5) % 256), -1).astype(np.uint8)
+                on = (x >= f % 5) & (x < f % 5 + s % 11) & (y >= f % 4) & (y < f % 4 + 6)
+                mask = np.where(on, 255, (x * 7 + y * 13 + f) % 100).astype(np.uint8)
+                n = part.num_rows
+                made = [pa.array(np.full(n, v, np.int32)) for v in (w, h)] + [pa.array([v.tobytes() for v in plane], pa.binary()) for plane in (rgb, mask)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "w", "h", "rgb", "mask"])
+
+    return base.mapInArrow(draw, f"{fields}, w int, h int, rgb binary, mask binary")
+
+
 def px(spark, sf) -> DataFrame:
     f, s, x, y = C("frame_id"), C("p_size"), C("x"), C("y")
     gt = (x >= f % 5) & (x < f % 5 + s % 11) & (y >= f % 4) & (y < f % 4 + 6)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from frameledger.constants import MASK_THRESHOLD
 from frameledger.functions import boxes
 from frameledger.functions.numeric import bce_with_logits, flag, mean_or_zero, sigmoid
+from frameledger.operators import frames as K
 from frameledger.operators import heatmaps, masks, picking
 from frameledger.plans import inputs as I
 from frameledger.plans.registry import query
@@ -111,7 +113,10 @@ _NB = """(SELECT frame_id, y, x, gt_v AS v, coalesce(lag(gt_v) OVER r, lead(gt_v
 @query("M6", f"SELECT frame_id, CAST(round(var_pop(lap)*65536) AS BIGINT) AS sharpness FROM {_NB} GROUP BY frame_id", "px")
 def sharpness(spark, sf):
     """Scaled by the squared pixel count, where the variance of whole numbers is whole."""
-    return masks.laplacian_variance(I.px(spark, sf), C("gt_v")).select("frame_id", F.round(C("sharpness") * 65536).cast("long").alias("sharpness"))
+    def finish(f):
+        return {"frame_id": f.ids, "sharpness": np.round(K.laplacian_variance(f.mask) * 65536).astype(np.int64)}
+
+    return K.over(I.image_rows(spark, sf, 16, 16).drop("rgb"), finish, "frame_id bigint, sharpness bigint")
 
 
 def _slide_sql(steps):
@@ -123,14 +128,15 @@ def _slide_sql(steps):
     return src
 
 
-@query("M8", f"SELECT 'opened' AS op, frame_id, count(*) FILTER (WHERE v=255) AS n FROM {_slide_sql(['min', 'max'])} GROUP BY frame_id UNION ALL SELECT 'closed', frame_id, count(*) FILTER (WHERE v=255) FROM {_slide_sql(['max', 'min'])} GROUP BY frame_id", "px")
+@query("M8", f"SELECT 'opened' AS op, frame_id, count(*) FILTER (WHERE v=255) AS n, CAST(sum(v*(x+1)*(y+2)) AS BIGINT) AS placed FROM {_slide_sql(['min', 'max'])} GROUP BY frame_id UNION ALL SELECT 'closed', frame_id, count(*) FILTER (WHERE v=255), CAST(sum(v*(x+1)*(y+2)) AS BIGINT) FROM {_slide_sql(['max', 'min'])} GROUP BY frame_id", "px")
 def morphology(spark, sf):
-    m = I.px(spark, sf).select("frame_id", "y", "x", F.when(masks.foreground("gt_v", 60), 255).otherwise(0).alias("v"))
-
-    def area(op, df):
-        return df.groupBy("frame_id").agg(F.count_if(C("v") == 255).alias("n")).select(F.lit(op).alias("op"), "frame_id", "n")
+    def finish(f):
+        m, place = np.where(f.mask >= 60, 255, 0), np.outer(np.arange(f.h) + 2, np.arange(f.w) + 1)
+        both = {"opened": K.opened(m, 3), "closed": K.closed(m, 3)}
+        return {"op": np.repeat(list(both), len(f.ids)), "frame_id": np.tile(f.ids, 2), "n": np.concatenate([(v == 255).sum((1, 2)) for v in both.values()]),
+                "placed": np.concatenate([(v * place).sum((1, 2)) for v in both.values()])}
 
-    return area("opened", masks.opened(m, "v", 3)).unionByName(area("closed", masks.closed(m, "v", 3)))
+    return K.over(I.image_rows(spark, sf, 16, 16).drop("rgb"), finish, "op string, frame_id bigint, n bigint, placed bigint")
 
 
 _PLATE = "(SELECT scene, y, x, count(*) AS n, CAST(floor(quantile_cont(r,0.5)) AS INT) AS r, CAST(floor(quantile_cont(g,0.5)) AS INT) AS g, CAST(floor(quantile_cont(b,0.5)) AS INT) AS b FROM rgb GROUP BY scene, y, x)"
@@ -214,7 +220,7 @@ SELECT frame_id, count(*) AS n_components, count(*) FILTER (WHERE area>0.005*256
 
 @query("M18", _COMPONENTS, "px")
 def connected_components(spark, sf):
-    comp = masks.components(I.px(spark, sf), masks.foreground("gt_v", 85))
+    comp = K.over(I.image_rows(spark, sf, 16, 16).drop("rgb"), lambda f: K.components(f.ids, f.mask >= 85), K.COMPONENTS)
     return masks.component_summary(comp, 256).select("frame_id", "n_components", "n_large", "largest_area")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameledger.operators import heatmaps, masks, picking
+from frameledger.operators import frames, heatmaps, masks, picking
 
 C = F.col
 
@@ -74,11 +74,15 @@ def test_components_match_flood_fill(spark):
     spiral[0, :] = spiral[:, 16] = spiral[13, 2:] = spiral[2:, 2] = spiral[2, 2:15] = 255
     images.update({7: comb, 8: spiral})
     px = pixels(spark, images)
-    for way in (masks.components, masks.components_by_joins):
-        got = {i: [] for i in images}
-        for r in way(px, masks.foreground("v")).collect():
-            got[r.frame_id].append(r.area)
-        assert {i: sorted(v) for i, v in got.items()} == {i: flood(m) for i, m in images.items()}
+    want = {i: flood(m) for i, m in images.items()}
+    got = {i: [] for i in images}
+    for r in masks.components_by_joins(px, masks.foreground("v")).collect():
+        got[r.frame_id].append(r.area)
+    assert {i: sorted(v) for i, v in got.items()} == want
+    found = frames.components(np.array(list(images)), np.stack([m > 0 for m in images.values()]))
+    assert {i: sorted(found["area"][found["frame_id"] == i].tolist()) for i in images} == want
+    for i, label, x1, y1, x2, y2 in zip(*(found[c].tolist() for c in ("frame_id", "label", "x1", "y1", "x2", "y2"))):
+        assert images[i][label // 17, label % 17] and y1 == label // 17 and (images[i][y1:y2, x1:x2] > 0).any((0, 1))
 
 
 def test_otsu_separates_two_levels(spark):
@@ -99,12 +103,11 @@ def test_otsu_separates_two_levels(spark):
     assert got[1] == best(im) and 40 <= got[2] < 200
 
 
-def test_laplacian_variance_with_mirrored_borders(spark):
+def test_laplacian_variance_with_mirrored_borders():
     im = np.random.default_rng(2).integers(0, 256, (7, 9))
     p = np.pad(im, 1, mode="reflect").astype(float)
     lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * im
-    got = masks.laplacian_variance(pixels(spark, {1: im}), C("v")).first().sharpness
-    assert got == pytest.approx(lap.var())
+    assert frames.laplacian_variance(im[None]) == pytest.approx([lap.var()])
 
 
 def test_qc_flags(spark):
