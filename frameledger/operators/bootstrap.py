@@ -1,22 +1,44 @@
 """Percentile bootstrap over clips for frame-weighted means.
 
-The statistic is a ratio of sums, so a clip is reduced to (sum, count) per metric first. Two ways
-to draw: `clip_intervals` hashes every pick (reproducible in any SQL engine); `split_intervals`
-draws the same multinomial as a two-level split, so nothing of size draws x clips is ever shuffled.
+The statistic is a ratio of sums, so a clip is reduced to (sum, count) per metric first. Two ways to draw:
+`clip_intervals` gives every clip a Poisson weight in every draw, from a hash of the clip and the number of the draw;
+weights are applied and added up inside each partition, so the shuffle carries partitions x draws rows and nothing is
+joined. The number of clips in a draw then varies about their number, which cancels in a ratio of sums; any SQL engine
+can repeat the draws. `split_intervals` draws exactly as many clips as there are, as a two-level multinomial split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from frameledger.functions.numeric import hash_long
-from frameledger.operators.ranking import hashed_row_number
 from frameledger.sources.durable import cut_lineage
 
 C = F.col
-_BUCKETS = 1024
+_BUCKETS, _BUCKET_CLIPS = 1024, 4096
+PRIME = (1 << 31) - 1
+
+
+def poisson_steps() -> list[int]:
+    """Least hash value (of PRIME) with weight 1, 2, ...: the distribution function of the Poisson law of mean 1, in whole steps."""
+    inverse_e = sum(Fraction((-1) ** k, _factorial(k)) for k in range(30))
+    out, total, k = [], Fraction(0), 0
+    while True:
+        total += inverse_e / _factorial(k)
+        step = -int(-total * PRIME // 1)
+        if step >= PRIME:
+            return out
+        out.append(step)
+        k += 1
+
+
+def _factorial(k: int) -> int:
+    return 1 if k < 2 else k * _factorial(k - 1)
 
 
 def clip_sums(records: DataFrame, clip: str, metrics: dict) -> DataFrame:
@@ -48,36 +70,46 @@ def _summary(per_draw: DataFrame, sums: DataFrame, metrics: list[str], alpha: fl
 
 def clip_intervals(records: DataFrame, clip: str, metrics: dict, n_boot: int = 1000, seed: int = 0,
                    alpha: float = 0.05) -> DataFrame:
-    """All metrics from the same draws.
+    """All metrics from the same draws, each over the clips that have it: (metric, mean, lo, hi, n_clips).
 
-    The clips drawn from are those in `records`: for a metric known only on annotated frames, pass
-    the annotated frames, so that clips without any are neither drawn nor counted.
+    A clip weighs in with its own weight in each draw whatever the others do, so clips without a value of a metric (say
+    on frames without annotation) do not touch that metric's interval, and are not counted for it.
     """
     sums = cut_lineage(clip_sums(records, clip, metrics))      # the only pass over the records
-    indexed = (hashed_row_number(sums, F.md5(C(clip).cast("string")), [clip], "pos")
-               .withColumn("pos", C("pos") - 1))
-    size = sums.groupBy().agg(F.count(F.lit(1)).alias("k")).withColumn("_one", F.lit(1))
-    # Each position draws n_boot times; picks are then counted, so a clip's row moves once per draw group.
-    picks = (indexed.select("pos").withColumn("_one", F.lit(1)).join(F.broadcast(size), "_one")   # one row
-             .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-             .select("draw", (hash_long(seed, C("draw"), C("pos")) % C("k")).alias("pos"))
-             .groupBy("draw", "pos").agg(F.count(F.lit(1)).alias("times")))
     cols = [f"{p}_{m}" for m in metrics for p in ("s", "n")]
-    per_draw = (picks.join(indexed.select("pos", *cols), "pos")
-                .groupBy("draw").agg(*[F.sum(C(c) * C("times")).alias(c) for c in cols]))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), C(clip).cast("string")))
+    keyed = sums.select(*[F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"_c{k}") for k in range(4)], *[C(c).cast("double") for c in cols])
+    steps = np.array(poisson_steps())
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, draw = np.zeros((n_boot, len(cols))), np.arange(1, n_boot + 1)[:, None]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                values = np.stack([part.column(c).to_numpy() for c in cols], 1)
+                # A cubic in the number of the draw, its four coefficients from the clip: weights of any four draws are independent.
+                h = np.zeros((n_boot, part.num_rows), np.int64)
+                for k in range(4):
+                    h = (h * draw + part.column(f"_c{k}").to_numpy() % PRIME) % PRIME
+                total += np.searchsorted(steps, h, "right") @ values
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *map(pa.array, total.T.copy())], names=["draw", *cols])
+
+    per_draw = keyed.mapInArrow(add_up, "draw long, " + ", ".join(f"{c} double" for c in cols)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in cols])
     return _summary(per_draw, sums, list(metrics), alpha)
 
 
 def split_intervals(records: DataFrame, clip: str, metrics: dict, n_boot: int = 1000, seed: int = 0,
-                    alpha: float = 0.05, buckets: int = _BUCKETS) -> DataFrame:
-    """Same distribution as clip_intervals, for very many clips.
+                    alpha: float = 0.05, buckets: int | None = None) -> DataFrame:
+    """The same with exactly as many clips in each draw as there are.
 
     A multinomial over clips equals a multinomial over buckets of clips followed by independent
     ones inside each bucket. Each bucket is one task's group (clips / buckets rows); it emits n_boot
-    partial sums, so the shuffle carries clips once plus buckets x n_boot rows.
+    partial sums, so the shuffle carries clips once plus buckets x n_boot rows. Their number follows
+    that of the clips: one for each 4,096, 1,024 at most.
     """
     sums = cut_lineage(clip_sums(records, clip, metrics))      # the only pass over the records
     cols = [f"{p}_{m}" for m in metrics for p in ("s", "n")]
+    buckets = buckets or min(_BUCKETS, sums.count() // _BUCKET_CLIPS + 1)
     tagged = sums.withColumn("bucket", F.pmod(F.xxhash64(clip), F.lit(buckets)).cast("int"))
     # At most `buckets` rows reach the driver, whatever the data size.
     sizes = sorted((r["bucket"], r["m"]) for r in tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).collect())

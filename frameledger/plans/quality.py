@@ -234,42 +234,51 @@ def calibration_error(spark, sf):
     return calibration.calibration_error(I.pred(spark, sf)).select(F.round("cls_ece", 9).alias("cls_ece"), "n")
 
 
-def _boot_sql(cols: str, names: list[str], where: str, seed: int, draws: int) -> str:
-    agg = ", ".join(f"sum(s_{m})/nullif(sum(n_{m}),0) AS {m}" for m in names)
+def _boot_sql(**metrics_of: str) -> str:
+    """1,000 draws over the clips: a clip's weight is the Poisson quantile of a cubic in the draw, its coefficients from the clip's digest."""
+    names, p = list(metrics_of), bootstrap.PRIME
+    h = "0"
+    for k in range(4):
+        h = f"(({h})*d+c{k})%{p}"
+    weight = "+".join(f"(h>={t})::INT" for t in bootstrap.poisson_steps())
     rows = " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, round((SELECT sum(s_{m})/sum(n_{m}) FROM c),9) AS mean, round(quantile_cont({m},0.025),9) AS lo, round(quantile_cont({m},0.975),9) AS hi, (SELECT count(*) FROM c) AS n_clips FROM d"
-        for m in names)
+        f"SELECT '{m}' AS metric, round((SELECT sum(s_{m})/sum(n_{m}) FROM c),9) AS mean, round(quantile_cont({m},0.025),9) AS lo, round(quantile_cont({m},0.975),9) AS hi, (SELECT count(*) FROM c WHERE n_{m}>0) AS n_clips FROM r" for m in names)
     return f"""
-WITH c AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(l_suppkey AS VARCHAR)), l_suppkey)-1 AS pos FROM (SELECT l_suppkey, {cols} FROM pred_iou WHERE {where} GROUP BY l_suppkey)),
-k AS (SELECT count(*) AS k FROM c),
-picks AS (SELECT draw, CAST('0x'||substr(md5(concat('{seed}|',draw,'|',pos)),1,13) AS BIGINT) % k AS pos FROM c CROSS JOIN k CROSS JOIN range({draws}) t(draw)),
-d AS (SELECT draw, {agg} FROM picks JOIN c USING (pos) GROUP BY draw)
+WITH c AS (SELECT *, {', '.join(f"CAST('0x'||substr(md5(concat('0|',clip)),{8 * k + 1},8) AS BIGINT)%{p} AS c{k}" for k in range(4))} FROM
+  (SELECT clip, {', '.join(f"coalesce(sum({e}),0) AS s_{m}, count({e}) AS n_{m}" for m, e in metrics_of.items())} FROM pred_iou GROUP BY clip)),
+w AS (SELECT * EXCLUDE (h), {weight} AS w FROM (SELECT d, {', '.join(f's_{m}, n_{m}' for m in names)}, {h} AS h FROM c CROSS JOIN range(1,1001) t(d))),
+r AS (SELECT d, {', '.join(f'sum(w*s_{m})/nullif(sum(w*n_{m}),0) AS {m}' for m in names)} FROM w GROUP BY d)
 {rows}"""
 
 
-def _sums(**m):
-    return ", ".join(f"sum({e}) AS s_{n}, count({e}) AS n_{n}" for n, e in m.items())
+_SEVEN_SQL = {"cls_top1": "CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END", "mean_cls_conf": "conf", "mean_det_conf": "det_conf", "mean_box_iou": "CASE WHEN has_mask THEN iou END",
+              **{f"det_acc{t}": f"CASE WHEN has_mask THEN CASE WHEN iou>=0.{t}e0 THEN 1e0 ELSE 0e0 END END" for t in (50, 75, 90)}}
 
 
-@query("A16", _boot_sql(_sums(cls_top1="CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END"), ["cls_top1"], "true", 0, 200), "pred_iou")
-def bootstrap_interval(spark, sf):
-    out = bootstrap.clip_intervals(I.pred(spark, sf), "l_suppkey", {"cls_top1": flag(C("gt") == C("pred"))}, n_boot=200)
+def _seven() -> dict:
+    hits = {f"det_acc{int(t * 100)}": F.when(C("box_iou").isNotNull(), flag(C("box_iou") >= t)) for t in (0.5, 0.75, 0.9)}
+    return {"cls_top1": flag(C("gt") == C("pred")), "mean_cls_conf": C("conf"), "mean_det_conf": C("det_conf"), "mean_box_iou": C("box_iou"), **hits}
+
+
+def _rounded_intervals(out):
     return out.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "n_clips")
 
 
-@query("A17", _boot_sql(_sums(det_acc50="CASE WHEN iou>=0.5e0 THEN 1e0 ELSE 0e0 END", det_acc75="CASE WHEN iou>=0.75e0 THEN 1e0 ELSE 0e0 END", mean_box_iou="iou"), ["det_acc50", "det_acc75", "mean_box_iou"], "has_mask", 0, 100), "pred_iou")
+@query("A16", _boot_sql(cls_top1=_SEVEN_SQL["cls_top1"]), "pred_iou")
+def bootstrap_interval(spark, sf):
+    return _rounded_intervals(bootstrap.clip_intervals(I.pred(spark, sf), "clip", {"cls_top1": flag(C("gt") == C("pred"))}))
+
+
+@query("A17", _boot_sql(**_SEVEN_SQL), "pred_iou")
 def bootstrap_metrics(spark, sf):
-    out = bootstrap.clip_intervals(
-        I.pred_iou(spark, sf).filter("has_mask"), "l_suppkey",
-        {"det_acc50": flag(C("box_iou") >= 0.5), "det_acc75": flag(C("box_iou") >= 0.75), "mean_box_iou": C("box_iou")}, n_boot=100)
-    return out.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")], "n_clips")
+    """Seven metrics, 1,000 draws, all clips; box metrics over annotated frames only."""
+    return _rounded_intervals(bootstrap.clip_intervals(I.pred_iou(spark, sf), "clip", _seven()))
 
 
 @query("A16 A17")
 def bootstrap_split(spark, sf):
-    """Full 1000 draws with the two-level split; random, so checked by its distribution in tests."""
-    return bootstrap.split_intervals(
-        I.pred_iou(spark, sf), "l_suppkey", {"cls_top1": flag(C("gt") == C("pred")), "mean_conf": C("conf")}, n_boot=1000, buckets=64)
+    """The two-level split; random, so checked by its distribution in tests."""
+    return bootstrap.split_intervals(I.pred_iou(spark, sf), "clip", _seven())
 
 
 def _sides(spark, sf):

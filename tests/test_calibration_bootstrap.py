@@ -70,3 +70,18 @@ def test_seed_moves_the_interval_not_the_point(records):
 def test_no_clips_gives_zeros(records):
     r = bootstrap.clip_intervals(records.limit(0), "clip", {"v": C("v"), "w": flag(C("v") > 2)}, n_boot=5).collect()
     assert {(x.mean, x.lo, x.hi, x.n_clips) for x in r} == {(0.0, 0.0, 0.0, 0)}
+
+
+def test_poisson_steps_are_the_distribution_function():
+    steps = np.array(bootstrap.poisson_steps()) / bootstrap.PRIME
+    terms = np.exp(-1) / np.cumprod([1, *range(1, len(steps))])
+    assert steps == pytest.approx(np.cumsum(terms), abs=1e-9) and len(steps) > 10
+
+
+def test_metrics_that_few_clips_have(spark):
+    """A metric's interval is that of its own clips, as if the others were not there."""
+    rows = spark.range(3000).selectExpr("id % 300 AS clip", "double(id % 7) AS v", "CASE WHEN id % 300 < 90 THEN double(id % 5) END AS w")
+    both = {r.metric: r for r in bootstrap.clip_intervals(rows, "clip", {"v": C("v"), "w": C("w")}).collect()}
+    alone = bootstrap.clip_intervals(rows.filter("w IS NOT NULL"), "clip", {"w": C("w")}).first()
+    assert both["w"].n_clips == alone.n_clips == 90 and both["v"].n_clips == 300
+    assert (both["w"].mean, both["w"].lo, both["w"].hi) == (pytest.approx(alone.mean), pytest.approx(alone.lo), pytest.approx(alone.hi))
