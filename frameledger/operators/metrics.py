@@ -187,9 +187,14 @@ def block_values(cell: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:
 
 def evaluation_document(records: DataFrame, class_names=GESTURES) -> DataFrame:
     """The full metric document: one nested row, safe on empty input."""
+    return from_cells(cells(records), class_names)
+
+
+def from_cells(cell: DataFrame, class_names=GESTURES) -> DataFrame:
+    """The document from its sufficient statistics, wherever they were summed."""
     n = len(class_names)
     names = F.array(*[F.lit(g) for g in class_names])
-    flat = block_values(cells(records), n)
+    flat = block_values(cell, n)
     for grain in ("frame", "clip"):
         for part in ("f1", "support"):
             flat = flat.withColumn(f"{grain}_per_class_{part}", F.map_from_arrays(names, C(f"{grain}_{part}"))).drop(f"{grain}_{part}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameledger.operators import metrics
 from frameledger.plans import inputs as I
 from frameledger.plans.registry import query
 from frameledger.sources import readers, writers
@@ -34,7 +35,7 @@ def stream_accumulator(spark, sf):
 @query("X2", "SELECT event_type, round(sum(value*(event_id%5+1))/sum(event_id%5+1),6) AS avg, sum(event_id%5+1)::BIGINT AS n FROM events GROUP BY event_type")
 def stream_meter(spark, sf):
     ev = _events(spark, sf).withColumn("w", C("event_id") % 5 + 1)
-    return A.drain(A.running_meter(ev, "event_type", "value", "w"), "complete", "meter").withColumn("avg", F.round("avg", 6))
+    return A.drain(A.running_meter(ev, "event_type", "value", "w"), "update", "meter", keys=["event_type"]).withColumn("avg", F.round("avg", 6))
 
 
 def _epoch_files(spark, sf, cut: int = 15):
@@ -55,7 +56,7 @@ def stream_best_score(spark, sf):
     sink, state = scratch_path(spark, "best-sink"), scratch_path(spark, "best-state")
 
     def run():
-        return A.drain(A.best_so_far(spark.readStream.schema(_EPOCH).json(path)), "append", "best", state, sink)
+        return A.drain(A.best_so_far(spark.readStream.schema(_EPOCH).json(path), first=1), "append", "best", state, sink, provider=A.ROCKS)
 
     run()
     writers.append_epochs(later, path)
@@ -93,18 +94,55 @@ def stream_best_per_day(spark, sf):
 
 
 def _windowed(spark, sf):
-    of = lambda ev: ev.select(C("user_id").alias("clip"), "ts", "event_id", C("value").alias("sharp"))
-    out = A.drain(A.best_per_day(of(_events(spark, sf)), "clip", "event_id", "sharp"), "append", "window")
-    return A.close_days(out, of(I.table(spark, sf, "events")), "clip", "event_id", "sharp")
+    ev = _events(spark, sf).select(C("user_id").alias("clip"), "ts", "event_id", C("value").alias("sharp"))
+    return A.drain_to_end(ev, lambda rows: A.best_per_day(rows, "clip", "event_id", "sharp"), "ts", "window")
 
 
-@query("X6")
+@query("X6", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_late FROM events")
 def stream_late_rows(spark, sf):
-    """Rows of the windowed stream, and those behind its watermark that no day holds."""
-    return _windowed(spark, sf)[1]
+    """Rows of the windowed stream, and those behind its watermark that no day holds. (One file is one batch: none is late.)"""
+    return A.late_rows(*_windowed(spark, sf))
 
 
-@query("X6")
+@query("X6", """SELECT user_id AS clip, strftime(ts,'%Y-%m-%d') AS day, arg_max(event_id, value*1e7-event_id) AS event_id, max(value) AS sharp FROM events GROUP BY 1,2""")
 def stream_best_windowed(spark, sf):
-    """The same with a watermark: closed days are final, emitted once and forgotten; days still open at the end follow by a batch read."""
+    """The same with a watermark: closed days are final, emitted once and forgotten; the last ones close with the run."""
     return _windowed(spark, sf)[0].select("clip", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "event_id", "sharp")
+
+
+def _scored(ev):
+    """Events as full evaluation records: boxes and masks on four of five, with a time."""
+    e = C("event_id")
+    part = lambda k: (e * k % 1000).cast("double") / 1000
+    known = e % 5 != 0
+    return ev.select(
+        C("user_id").alias("clip"), "ts", (C("user_id") % 10).cast("int").alias("gt"), F.when(e % 4 == 0, e % 10).otherwise(C("user_id") % 10).cast("int").alias("pred"),
+        part(37).alias("conf"), part(29).alias("det_conf"), F.when(known, part(13)).alias("box_iou"),
+        *[F.when(known, v).alias(n) for n, v in (("miou", (part(7) + part(11)) / 2), ("iou_hand", part(7)), ("iou_bg", part(11)), ("dice", part(17)))])
+
+
+_SCORED_SQL = """r AS (SELECT user_id AS clip, CAST(user_id%10 AS INT) AS gt, CAST(CASE WHEN event_id%4=0 THEN event_id%10 ELSE user_id%10 END AS INT) AS pred, CAST(event_id*37%1000 AS DOUBLE)/1000 AS conf,
+  CAST(event_id*29%1000 AS DOUBLE)/1000 AS det, CASE WHEN event_id%5<>0 THEN CAST(event_id*13%1000 AS DOUBLE)/1000 END AS iou, CASE WHEN event_id%5<>0 THEN CAST(event_id*7%1000+event_id*11%1000 AS DOUBLE)/2000 END AS miou,
+  CASE WHEN event_id%5<>0 THEN CAST(event_id*17%1000 AS DOUBLE)/1000 END AS dice, 1e0/count(*) OVER (PARTITION BY user_id) AS w FROM events)"""
+
+
+@query("X1 A30", f"""WITH {_SCORED_SQL},
+c AS (SELECT clip, avg(iou) AS iou, avg(CASE WHEN iou>=0.5e0 THEN 1e0 WHEN iou<0.5e0 THEN 0e0 END) AS hit, avg(miou) AS miou, avg(dice) AS dice, avg(CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END) AS t FROM r GROUP BY clip)
+SELECT (SELECT count(*) FROM r) AS n_frames, (SELECT count(*) FROM c) AS n_clips, round(avg(CASE WHEN iou>=0.5e0 THEN 1e0 WHEN iou<0.5e0 THEN 0e0 END),9) AS frame_det_acc50, (SELECT round(avg(hit),9) FROM c) AS clip_det_acc50,
+ round(avg(iou),9) AS frame_mean_box_iou, (SELECT round(avg(iou),9) FROM c) AS clip_mean_box_iou, round(avg(miou),9) AS frame_seg_miou, (SELECT round(avg(miou),9) FROM c) AS clip_seg_miou,
+ round(avg(dice),9) AS frame_seg_dice, (SELECT round(avg(dice),9) FROM c) AS clip_seg_dice, round(avg(CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END),9) AS frame_cls_top1, (SELECT round(avg(t),9) FROM c) AS clip_cls_top1,
+ round(avg(conf),9) AS mean_cls_conf, round(avg(det),9) AS mean_det_conf FROM r""")
+def stream_evaluation(spark, sf):
+    """The whole evaluation document from a stream whose state goes with each clip."""
+    cells, _ = A.drain_to_end(_scored(_events(spark, sf)), A.running_cells, "ts", "cells")
+    d = metrics.from_cells(A.merged_cells(cells))
+    return d.select("n_frames", "n_clips", *[F.round(C(f"{g}.{m}"), 9).alias(f"{g}_{m}") for m in ("det_acc50", "mean_box_iou", "seg_miou", "seg_dice", "cls_top1") for g in ("frame", "clip")],
+                    F.round("mean_cls_conf", 9).alias("mean_cls_conf"), F.round("mean_det_conf", 9).alias("mean_det_conf"))
+
+
+@query("X5", "SELECT strftime(ts,'%Y-%m-%d') AS day, count(DISTINCT concat(user_id,'-',event_type)) AS n FROM events GROUP BY 1")
+def stream_first_seen(spark, sf):
+    """Signatures seen once a day: repeats lie within the bound, so the bounded memory finds them all."""
+    ev = _events(spark, sf).select("ts", F.concat_ws("-", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("sig"))
+    once, _ = A.drain_to_end(ev, lambda rows: A.first_seen(rows, ["sig"]), "ts", "seen")
+    return once.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
