@@ -13,6 +13,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from frameledger.functions.numeric import flag, ratio_or_zero
 from frameledger.operators import metrics
@@ -82,7 +83,7 @@ def drain(stream: DataFrame, mode: str, label: str, checkpoint: str | None = Non
     run(stream, mode, sink, checkpoint or scratch_path(spark, f"{label}-state"), provider)
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(sink)
-    every = spark.read.schema(stream.schema.add("batch", "long")).parquet(sink)
+    every = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(sink)
     if mode == "update":
         rest = [c for c in stream.columns if c not in set(keys)]
         return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_now")).select(*keys, "_now.*")
