@@ -206,3 +206,34 @@ def group_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_i
     named = groups.join(prints, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     names = groups.join(named, "root").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of all of a row's values; maps, which have no hash, are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()])
+
+
+def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stand for their near-duplicate groups, one of each group, with all columns.
+
+    It is the one of the smallest id (null last), then of the smallest hash of its values; of rows that are equal in all
+    values one stays. Rows that share an id, or have none, are rows of their own: what counts is the text. Null and empty
+    texts are one group with what links to them; texts of any length count whole. An empty table gives no rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array([fingerprint(t) for t in texts(part.column("text"))], pa.int64())], names=["id", "h", "fp"])
+
+    light = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), row_hash(docs).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = cut_lineage(light.mapInArrow(run, "id bigint, h bigint, fp bigint"))
+    first = F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "h")).alias("first")
+    prints = cut_lineage(rows.groupBy("fp").agg(first))
+    chosen = prints.join(fingerprint_groups(prints.select("fp"), radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.col("first.id").alias("id"), F.col("first.h").alias("h"))
+    # All columns of docs go along in one, so that none can clash.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("bigint").alias("i"), row_hash(docs).alias("row"))
+    kept = whole.join(chosen, (F.col("row") == F.col("h")) & F.col("i").eqNullSafe(F.col("id")), "left_semi")
+    if not rows.groupBy("id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["row", "i"])
+    return kept.select("doc.*")
