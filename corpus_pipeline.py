@@ -14,7 +14,8 @@ from frameledger.sources.durable import scratch_path
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go: no letter, or a probability under the calibrated bound.
 
-    The model learns from the labelled rows of `docs`; texts keep their label. Every row is judged by its own text.
+    The model learns from the labelled rows of `docs`; texts keep their label. Every row is judged by its own text: null
+    and empty ones are rejected, repeated rows are judged alike, and columns of any name are kept.
     """
     from frameledger.llm import language_id
     from frameledger.llm.arrow_text import slices, texts
@@ -31,35 +32,38 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest doc_id; of rows that repeat it, one.
+    """One document of each near-duplicate group stays, the one of the smallest doc_id.
 
-    Rows without an id name no group: of groups of such rows alone, one row of each fingerprint stays.
+    Rows are told apart by their values, not by their ids: unlike texts under one id, or under none, are kept each by its
+    group. Null and empty texts are one group; of equal rows one stays; texts of any length count whole.
     """
-    from frameledger.llm.simhash_groups import fingerprint, group_near_duplicates
+    from frameledger.llm.simhash_groups import representatives
 
-    groups = group_near_duplicates(docs)
-    named = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    bare = docs.where("doc_id is null")
-    if bare.isEmpty():
-        return named
-    prints = F.udf(lambda text: f"{fingerprint((text or '').encode()) & (1 << 64) - 1:016x}")      # for rows without an id only
-    alone = groups.where("component_id is null").select("fingerprint").distinct()
-    marked = bare.withColumn("fingerprint of the row", prints("text"))
-    marked = marked.join(alone, marked["fingerprint of the row"] == alone["fingerprint"], "left_semi").dropDuplicates(["fingerprint of the row"])
-    return named.unionByName(marked.select(docs.columns))
+    return representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    A document is found by its text: rows of the same id with another text stay, and so do rows without an id. Null and
+    empty texts hold nothing; repeated rows stay or go together; columns of any name are kept.
+    """
     from frameledger.llm.decontaminate import contaminated
 
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    found = contaminated(docs, items).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found")), "left_anti").select(docs.columns)
+    # A text's id here is its hash and length, so that equal texts are searched as one.
+    name = F.concat_ws("-", F.hex(F.xxhash64("text")), F.hex(F.hash("text")), F.octet_length("text").cast("string"))
+    found = contaminated(docs.select(name.alias("doc_id"), F.col("text")), items).select("doc_id").distinct().withColumnRenamed("doc_id", "name of a found text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), name.alias("name of its text"))
+    return rows.join(found, F.col("name of its text") == F.col("name of a found text"), "left_anti").select("doc.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows. No document goes."""
+    """Secrets are replaced by a mark; n_chars follows. No document goes.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, texts of any length are scanned whole, and
+    columns of any name are kept.
+    """
     from frameledger.llm.arrow_text import slices, texts
     from frameledger.llm.credential_scan import redact_text
 
@@ -83,7 +87,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of 4,096 tokens: a row for each piece of a document."""
+    """Packed sequences of 4,096 tokens: a row for each piece of a document.
+
+    Null and empty texts are one piece with the end id; repeated rows are packed each; further columns are not carried.
+    """
     import public_tokenizers
 
     from frameledger.llm.packing import pack
