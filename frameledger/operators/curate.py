@@ -15,10 +15,14 @@ _LIMBS, _LIMB_HEX = 5, 6
 
 
 def frame_number(name: Column) -> Column:
-    """Frame number of a file name, NULL for anything else. Numbers beyond a 64-bit integer are an error, never dropped."""
-    digits = F.nullif(F.regexp_extract(name, FRAME_PATTERN, 1), F.lit(""))
-    number = digits.try_cast("bigint")
-    return F.when(digits.isNotNull() & number.isNull(), F.raise_error(F.concat(F.lit("frame number too large: "), name)).cast("bigint")).otherwise(number)
+    """Frame number of a file name, NULL for anything else, also for a number beyond 64 bits (`rejected_frames` lists those)."""
+    return F.nullif(F.regexp_extract(name, FRAME_PATTERN, 1), F.lit("")).try_cast("bigint")
+
+
+def rejected_frames(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose file name is a frame's, but whose number no 64-bit integer holds, with a `problem`."""
+    name = F.regexp_extract(path, "([^/]+)$", 1)
+    return paths.filter((F.regexp_extract(name, FRAME_PATTERN, 1) != "") & frame_number(name).isNull()).withColumn("problem", F.lit("frame number beyond 64 bits"))
 
 
 def parse_tree_path(paths: DataFrame, root: str, path: str = "path") -> DataFrame:
@@ -28,10 +32,12 @@ def parse_tree_path(paths: DataFrame, root: str, path: str = "path") -> DataFram
     Only known classes, clip folders and frame files survive. A scheme (`file:`) before the root is ignored.
     """
     top = re.escape(re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", root).rstrip("/"))
-    pattern = rf"^(?:[a-z0-9]+:(?://[^/]*)?)?{top}/([^/]+)/(?:.*/)?(G\d{{2}}_[A-Za-z]+)/(clip[^/]*)/(rgb|annotation)/([^/]+)$"
-    part = {n: F.regexp_extract(path, pattern, i) for i, n in enumerate(("subject", "gesture", "clip", "kind", "name"), 1)}
-    out = paths.withColumns(part).withColumn("frame", frame_number(C("name")))
-    return out.filter(C("gesture").isin(*GESTURES) & C("frame").isNotNull())
+    under = rf"^(?:[a-z0-9]+:(?://[^/]*)?)?{top}/[^/]+/.*"
+    # One pattern for the root; the parts are those of the split path, the last four from its end.
+    steps = F.split(F.regexp_replace(path, rf"^(?:[a-z0-9]+:(?://[^/]*)?)?{top}/", ""), "/")
+    part = {"subject": steps[0], **{n: F.try_element_at(steps, F.lit(-i)) for i, n in ((4, "gesture"), (3, "clip"), (2, "kind"), (1, "name"))}}
+    out = paths.filter(C(path).rlike(under)).withColumn("_s", steps).withColumns(part).filter((F.size("_s") >= 5) & C("gesture").isin(*GESTURES) & C("clip").startswith("clip") & C("kind").isin("rgb", "annotation"))
+    return out.drop("_s").withColumn("frame", frame_number(C("name"))).filter(C("frame").isNotNull())
 
 
 def parse_video_name(df: DataFrame, name: str = "name") -> DataFrame:

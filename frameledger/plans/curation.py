@@ -28,6 +28,53 @@ def frame_tree_parse(spark, sf):
     return t.groupBy("subject", "gesture", "clip", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("frame").alias("last_frame"))
 
 
+_TREE_SQL = """(SELECT concat('s', s_nationkey) AS subject, CASE WHEN s_suppkey%4=0 THEN 'G01_call' WHEN s_suppkey%4=1 THEN 'G08_rock' WHEN s_suppkey%4=2 THEN 'G99_none' ELSE 'G04_ok' END AS gesture,
+  CASE WHEN s_suppkey%3=0 THEN 'annotation' ELSE 'rgb' END AS kind, s_suppkey%7=0 AS empty, s_suppkey%11=0 AS long, s_suppkey%13=0 AS other, length(s_name) AS size, s_suppkey FROM supplier)"""
+
+
+def _write_tree(spark, sf) -> str:
+    """One file for each supplier: of known and unknown classes, some empty, some with numbers too long, some no frames."""
+    import pyarrow as pa
+
+    from frameledger.sources.durable import scratch_path
+    from frameledger.sources.frame_tree import _place
+    root, k = scratch_path(spark, "tree"), C("s_suppkey")
+    gesture = F.when(k % 4 == 0, "G01_call").when(k % 4 == 1, "G08_rock").when(k % 4 == 2, "G99_none").otherwise("G04_ok")
+    name = F.when(k % 13 == 0, F.format_string("notes_%d.txt", k)).when(k % 11 == 0, F.format_string("frame_%d99999999999999999999.png", k)).otherwise(F.format_string("frame_%03d.png", k))
+    folder = F.concat_ws("/", F.lit(root), F.concat(F.lit("s"), C("s_nationkey").cast("string")), F.when(k % 5 == 0, "wrap/inner").otherwise("set"), gesture, F.lit("clip01"), F.when(k % 3 == 0, "annotation").otherwise("rgb"))
+    rows = I.table(spark, sf, "supplier").select(folder.alias("folder"), name.alias("name"), F.when(k % 7 == 0, "").otherwise(C("s_name")).alias("bytes"))
+
+    def write(batches):
+        for batch in batches:
+            n = 0
+            for row in batch.to_pylist():
+                system, base = _place(row["folder"])
+                system.create_dir(base, recursive=True)
+                with system.open_output_stream(f"{base}/{row['name']}") as out:
+                    out.write(row["bytes"].encode())
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+    return root
+
+
+@query("S1 S10 S13", f"SELECT subject, gesture, kind, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS frames, CAST(sum(size) AS BIGINT) AS bytes FROM {_TREE_SQL} WHERE NOT other AND NOT long AND NOT empty AND gesture <> 'G99_none' GROUP BY 1,2,3")
+def frame_tree_scan(spark, sf):
+    """A tree of files, written and scanned: subjects are partitions."""
+    from frameledger.sources.frame_tree import frame_tree
+    frames, _ = frame_tree(spark, _write_tree(spark, sf))
+    return frames.groupBy("subject", "gesture", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("frames"), F.sum("length").alias("bytes"))
+
+
+@query("S1 S3 S10 S13", f"SELECT subject, kind, CASE WHEN long THEN 'frame number beyond 64 bits' ELSE 'empty file' END AS problem, count(*) AS n FROM {_TREE_SQL} WHERE NOT other AND (long OR empty) AND gesture <> 'G99_none' GROUP BY 1,2,3")
+def frame_tree_rejects(spark, sf):
+    """What the scan does not take, empty masks included."""
+    from frameledger.sources.frame_tree import frame_tree
+    _, rejects = frame_tree(spark, _write_tree(spark, sf))
+    return _count(rejects, "subject", "kind", "problem")
+
+
 @query("S3", r"SELECT p_partkey, CAST(regexp_extract(name,'^frame_(\d+)\.(png|jpg|jpeg)$',1) AS BIGINT) AS frame FROM names WHERE regexp_matches(name,'^frame_(\d+)\.(png|jpg|jpeg)$')", "names")
 def frame_name_filter(spark, sf):
     return I.names(spark, sf).withColumn("frame", curate.frame_number(C("name"))).filter("frame IS NOT NULL").select("p_partkey", "frame")

@@ -189,9 +189,9 @@ def maskstats(spark, sf) -> DataFrame:
 
 
 def clipframes(spark, sf) -> DataFrame:
-    """Frame position within each clip. A hot clip is numbered day by day, not in one sort."""
+    """Frame position within each clip. A hot clip is spread over the range sort like any other rows."""
     ev = table(spark, sf, "events").select(C("user_id").alias("clip"), "event_id", "ts", C("value").alias("sharp"))
-    ranked = ranking.bucketed_row_number(ev, ["clip"], F.to_date("ts"), ["ts", "event_id"], "rn", total="total")
+    ranked = ranking.sorted_row_number(ev, ["clip"], ["ts", "event_id"], "rn", total="total")
     return ranked.select("clip", "event_id", (C("rn") - 1).alias("idx"), "total", "sharp")
 
 

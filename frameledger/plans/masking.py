@@ -353,8 +353,8 @@ def gather_cells(spark, sf):
 
 @query("T8", "SELECT frame_id, CAST((rn-1)//30+1 AS INT) AS page, CAST(((rn-1)%30)//6 AS INT) AS r, CAST((rn-1)%6 AS INT) AS c FROM (SELECT frame_id, row_number() OVER (ORDER BY frame_id) AS rn FROM maskstats)", "maskstats")
 def review_pages(spark, sf):
-    from frameledger.operators.ranking import ordered_row_number
-    items = ordered_row_number(I.maskstats(spark, sf).select("frame_id"), "frame_id", "rn")
+    from frameledger.operators.ranking import sorted_row_number
+    items = sorted_row_number(I.maskstats(spark, sf).select("frame_id"), [], ["frame_id"], "rn")
     i = C("rn") - 1
     return items.select("frame_id", (F.floor(i / 30) + 1).cast("int").alias("page"), F.floor((i % 30) / 6).cast("int").alias("r"), (i % 6).cast("int").alias("c"))
 

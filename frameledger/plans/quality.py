@@ -200,9 +200,9 @@ def segmentation_record(spark, sf):
 @query("P11", """SELECT count(DISTINCT k) AS n_clips, sum(CASE WHEN k LIKE '_frame%' THEN 1 ELSE 0 END)::BIGINT AS n_fallback FROM (
 SELECT CASE WHEN o_orderstatus='P' THEN concat('_frame', row_number() OVER (ORDER BY o_orderkey)-1) ELSE CAST(o_custkey AS VARCHAR) END AS k FROM orders)""")
 def clip_key_fallback(spark, sf):
-    from frameledger.operators.ranking import ordered_row_number
+    from frameledger.operators.ranking import sorted_row_number
     rows = I.table(spark, sf, "orders").select("o_orderkey", F.when(C("o_orderstatus") != "P", C("o_custkey")).alias("clip"))
-    at = ordered_row_number(rows, "o_orderkey", "pos").withColumn("pos", C("pos") - 1)
+    at = sorted_row_number(rows, [], ["o_orderkey"], "pos").withColumn("pos", C("pos") - 1)
     keyed = metrics.with_clip_key(at, "clip", "pos").groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
     return keyed.agg(F.count(F.lit(1)).alias("n_clips"),
                      F.coalesce(F.sum(F.when(C("clip").startswith("_frame"), C("n"))), F.lit(0)).alias("n_fallback"))

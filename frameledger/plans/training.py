@@ -165,6 +165,14 @@ def percentiles(spark, sf):
     return g.select("gt", *[F.round(F.element_at("q", i + 1), 6).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
 
+@query("F9", "SELECT gt, round(quantile_cont(iou,0.025),9) AS lo, round(quantile_cont(iou,0.5),9) AS mid, round(quantile_cont(iou,0.975),9) AS hi FROM pred_iou WHERE has_mask GROUP BY gt", "pred_iou")
+def continuous_percentiles(spark, sf):
+    """The same over a value with about as many levels as rows."""
+    from frameledger.operators.ranking import exact_quantiles
+    q = exact_quantiles(I.pred_iou(spark, sf), ["gt"], "box_iou", {"lo": 0.025, "mid": 0.5, "hi": 0.975})
+    return q.select("gt", *[F.round(n, 9).alias(n) for n in ("lo", "mid", "hi")])
+
+
 @query("L5 S13", "SELECT vec_id, gt, pred FROM emb_pred", "emb_pred")
 def batch_scoring(spark, sf):
     """A user model (class means as a matrix) applied to Arrow batches of vectors."""
