@@ -260,7 +260,7 @@ def merge(heads: list[bytes], pending: int = 1 << 22) -> tuple[list[np.ndarray],
     return [r.totals for r in runs], steps()
 
 
-def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, ranks_path: str | None = None, block_bytes: int = 4 << 20,
+def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, ranks_path: str | None = None, block_bytes: int = 2 << 20,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
