@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from frameledger.constants import MASK_THRESHOLD
@@ -44,11 +45,13 @@ def mask_shape(spark, sf):
     return sh.select("frame_id", *[F.round(c, 6).alias(c) for c in ("area", "aspect", "cx", "cy", "fill")])
 
 
-_FLAGS = _SHAPE + """, f AS (SELECT frame_id, CASE WHEN g=0 THEN 'EMPTY_MASK' ELSE concat_ws(';',
-  CASE WHEN area<0.01 THEN printf('TOO_SMALL(%.1f%%)', area*100) END, CASE WHEN area>0.075 THEN printf('TOO_LARGE(%.1f%%)', area*100) END,
-  CASE WHEN NOT aspect BETWEEN 0.35 AND 1.6 THEN printf('ASPECT(%.2f)', aspect) END,
-  CASE WHEN NOT (cx BETWEEN 0.15 AND 0.85 AND cy BETWEEN 0.15 AND 0.85) THEN printf('OFF_CENTRE(%.2f,%.2f)', cx, cy) END,
-  CASE WHEN edge THEN 'TOUCHES_BORDER' END, CASE WHEN fill<0.3 THEN printf('LOW_FILL(%.2f)', fill) END) END AS flags FROM s) """
+def _flags_sql(multi: str = "") -> str:
+    """Printed values are rounded first, halves up, since engines print halves differently."""
+    return _SHAPE + f""", f AS (SELECT frame_id, CASE WHEN g=0 THEN 'EMPTY_MASK' ELSE concat_ws(';',
+  CASE WHEN area<0.01 THEN printf('TOO_SMALL(%.1f%%)', round(area*100,1)) END, CASE WHEN area>0.075 THEN printf('TOO_LARGE(%.1f%%)', round(area*100,1)) END,
+  CASE WHEN NOT aspect BETWEEN 0.35 AND 1.6 THEN printf('ASPECT(%.2f)', round(aspect,2)) END,
+  CASE WHEN NOT (cx BETWEEN 0.15 AND 0.85 AND cy BETWEEN 0.15 AND 0.85) THEN printf('OFF_CENTRE(%.2f,%.2f)', round(cx,2), round(cy,2)) END,
+  CASE WHEN edge THEN 'TOUCHES_BORDER' END, {multi} CASE WHEN fill<0.3 THEN printf('LOW_FILL(%.2f)', round(fill,2)) END) END AS flags FROM s) """
 
 
 def _names_only(flags):
@@ -56,10 +59,10 @@ def _names_only(flags):
     return F.array_join(F.transform(flags, lambda f: F.regexp_replace(f, r"\(.*\)", "")), ";")
 
 
-@query("P18 F11", _FLAGS + r"SELECT frame_id, regexp_replace(flags, '\([^)]*\)', '', 'g') AS flags FROM f", "maskpair")
+@query("P18 F11", _flags_sql() + "SELECT frame_id, flags FROM f", "maskpair")
 def mask_qc_flags(spark, sf):
     sh = masks.qc_flags(masks.shape(masks.stats(I.px(spark, sf), "gt_v")))
-    return sh.select("frame_id", _names_only(C("flags")).alias("flags"))
+    return sh.select("frame_id", F.array_join("flags", ";").alias("flags"))
 
 
 @query("P19", _SHAPE + """SELECT frame_id, CASE WHEN g=0 THEN 'NO_HAND_DETECTED' ELSE concat_ws(';', CASE WHEN NOT area*100 BETWEEN 1.59 AND 4.73 THEN 'AREA_OUT_OF_BAND' END,
@@ -75,7 +78,7 @@ def hand_prior(spark, sf):
     return masks.hand_prior(masks.shape(masks.stats(I.px(spark, sf), "gt_v"))).select("frame_id", F.round("prior", 6).alias("prior"))
 
 
-@query("A29 K9", _FLAGS + "SELECT count(*) FILTER (WHERE flags<>'') AS n_flagged, count(*) FILTER (WHERE flags='EMPTY_MASK') AS n_empty, count(*) AS n FROM f", "maskpair")
+@query("A29 K9", _flags_sql() + "SELECT count(*) FILTER (WHERE flags<>'') AS n_flagged, count(*) FILTER (WHERE flags='EMPTY_MASK') AS n_empty, count(*) AS n FROM f", "maskpair")
 def flagged_rows(spark, sf):
     sh = masks.qc_flags(masks.shape(masks.stats(I.px(spark, sf), "gt_v")))
     return sh.agg(F.count_if(F.size("flags") > 0).alias("n_flagged"),
@@ -230,6 +233,35 @@ def connected_components_joins(spark, sf):
     return masks.component_summary(comp, 256).select("frame_id", "n_components", "n_large", "largest_area")
 
 
+@query("P18 K9 M18", _COMPONENTS[: _COMPONENTS.rindex("SELECT frame_id, count(*)")] + """, big AS (SELECT frame_id, count(*) FILTER (WHERE area>0.005*256) AS n_large, sum(area) AS g FROM c GROUP BY frame_id),
+box AS (SELECT frame_id, min(x) AS x1, min(y) AS y1, max(x)+1 AS x2, max(y)+1 AS y2 FROM px WHERE gt_v>=85 GROUP BY 1)
+SELECT p_partkey AS frame_id, coalesce(n_large,0) AS n_large, CASE WHEN g IS NULL THEN 'EMPTY_MASK' ELSE concat_ws(';', CASE WHEN g/256e0<0.01 THEN 'TOO_SMALL' END, CASE WHEN g/256e0>0.075 THEN 'TOO_LARGE' END,
+ CASE WHEN NOT (x2-x1)/CAST(y2-y1 AS DOUBLE) BETWEEN 0.35 AND 1.6 THEN 'ASPECT' END, CASE WHEN NOT ((x1+x2)/32e0 BETWEEN 0.15 AND 0.85 AND (y1+y2)/32e0 BETWEEN 0.15 AND 0.85) THEN 'OFF_CENTRE' END,
+ CASE WHEN x1<=1 OR y1<=1 OR x2>=15 OR y2>=15 THEN 'TOUCHES_BORDER' END, CASE WHEN n_large>1 THEN printf('MULTI_COMPONENT(%d)', n_large) END, CASE WHEN g/((x2-x1)*CAST(y2-y1 AS DOUBLE))<0.3 THEN 'LOW_FILL' END) END AS flags
+FROM part LEFT JOIN big ON big.frame_id=p_partkey LEFT JOIN box ON box.frame_id=p_partkey""", "px")
+def mask_qc_report(spark, sf):
+    """Shape and large components of every mask in one pass over frames, their flags written as a report and read back."""
+    from frameledger.constants import MIN_COMPONENT
+    from frameledger.sources.durable import scratch_path
+
+    def finish(f):
+        on = f.mask >= 85
+        comp, at = K.components(f.ids, on), {v: i for i, v in enumerate(f.ids.tolist())}
+        large = np.zeros(len(f.ids), np.int64)
+        big = comp["area"] > MIN_COMPONENT * f.w * f.h
+        np.add.at(large, [at[i] for i in comp["frame_id"][big].tolist()], 1)
+        box, some = K.mask_boxes(np.where(on, 255, 0))
+        return {"frame_id": f.ids, "n_fg": on.sum((1, 2)), "n_px": np.full(len(f.ids), f.w * f.h), "img_w": np.full(len(f.ids), f.w), "img_h": np.full(len(f.ids), f.h),
+                **{c: pa.array(box[:, i].astype(np.int64), mask=~some) for i, c in enumerate(("x1", "y1", "x2", "y2"))}, "n_large": large}
+
+    stats = K.over(I.image_rows(spark, sf, 16, 16).drop("rgb"), finish, "frame_id bigint, n_fg bigint, n_px bigint, img_w bigint, img_h bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, n_large bigint")
+    path = scratch_path(spark, "qc-report")
+    masks.qc_flags(masks.shape(stats), "n_large").select("frame_id", "n_large", "flags").write.json(path)
+    report = spark.read.schema("frame_id bigint, n_large bigint, flags array<string>").json(path)
+    named = F.transform("flags", lambda f: F.when(f.startswith("MULTI"), f).otherwise(F.regexp_replace(f, r"\(.*\)", "")))
+    return report.select("frame_id", "n_large", F.array_join(named, ";").alias("flags"))
+
+
 @query("P25", "SELECT frame_id, count(*) AS n, min(x)-2 AS x0, max(x)-2 AS x9 FROM px WHERE x >= (16-11)//2 AND x < (16-11)//2+11 AND y < 8 GROUP BY frame_id", "px")
 def centre_crop(spark, sf):
     """16 wide and 8 high is wider than 4:3, so round(8 * 4 / 3) = 11 columns stay."""

@@ -281,6 +281,26 @@ def bootstrap_split(spark, sf):
     return bootstrap.split_intervals(I.pred_iou(spark, sf), "clip", _seven())
 
 
+_DOCUMENT_SEVEN = {k: v for k, v in _SEVEN_SQL.items() if not k.startswith("mean_c") and not k.startswith("mean_d")}
+
+
+@query("A30 A13 A14 A16 A17", f"""WITH boot AS ({_boot_sql(**_DOCUMENT_SEVEN)}), b AS ({_BINS} SELECT bin, count(conf) AS n, avg(conf) AS conf, avg(ok) AS acc FROM j GROUP BY bin)
+SELECT metric, mean, lo, hi, n_clips, (SELECT round(sum(n*abs(acc-conf))/sum(n),9) FROM b) AS cls_ece, (SELECT sum(n)::BIGINT FROM b) AS n_binned, (SELECT count(*) FROM b) AS n_bins,
+ (SELECT count(*) FROM pred) AS n_frames, (SELECT round(avg(CASE WHEN gt=pred THEN 1e0 ELSE 0e0 END),9) FROM pred) AS cls_top1 FROM boot""", "pred_iou pred")
+def result_document(spark, sf):
+    """The document written as a file and read back, an interval a row."""
+    from frameledger.operators.documents import result_document
+    from frameledger.sources import readers, writers
+    from frameledger.sources.durable import scratch_path
+    path = scratch_path(spark, "document")
+    writers.write_results(result_document(I.pred_iou(spark, sf)).drop("config"), path)
+    good, _ = readers.result_set(spark, path, F.lit("one"))
+    r9 = lambda c: F.round(c, 9)
+    return good.select(F.explode("ci").alias("metric", "v"), r9(C("frame")["cls_ece"]).alias("cls_ece"), F.aggregate("reliability", F.lit(0).cast("bigint"), lambda s, b: s + b["n"]).alias("n_binned"),
+                       F.size("reliability").cast("bigint").alias("n_bins"), "n_frames", r9(C("frame")["cls_top1"]).alias("cls_top1")).select(
+        "metric", *[r9(C(f"v.{k}")).alias(k) for k in ("mean", "lo", "hi")], "v.n_clips", "cls_ece", "n_binned", "n_bins", "n_frames", "cls_top1")
+
+
 def _sides(spark, sf):
     """One prediction per order line, ground truth per order; orders and lines drop out at other ids."""
     lines = I.table(spark, sf, "lineitem").select(
