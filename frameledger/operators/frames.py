@@ -393,6 +393,16 @@ def chain_mix(strength: float = 1.0) -> Callable[[Frames], None]:
 
 # -- geometry -------------------------------------------------------------------------------------
 
+def centre_crop_43(f: Frames) -> None:
+    """Width-only centre crop to 4:3, when wider."""
+    target = int(round(f.h * 4 / 3))
+    if f.w > target:
+        x0 = (f.w - target) // 2
+        f.rgb = f.rgb[:, :, x0 : x0 + target]
+        f.mask = None if f.mask is None else f.mask[:, :, x0 : x0 + target]
+        f.w = target
+
+
 def rotated_nearest(mask: np.ndarray, degrees: np.ndarray) -> np.ndarray:
     """Masks turned about the centre by inverse nearest mapping; outside is background."""
     n, h, w = mask.shape

@@ -11,8 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from frameledger.constants import (
-    CAMERA_STAGES, CHANNEL_MEAN, CHANNEL_STD, HUE_GB, HUE_GG, HUE_GR, LUM_B, LUM_G, LUM_R, PHOTOMETRIC_MODES)
-from frameledger.functions.numeric import clip, hash_long, normal, to_byte, uniform, uniform_between
+    CAMERA_STAGES, HUE_GB, HUE_GG, HUE_GR, LUM_B, LUM_G, LUM_R, PHOTOMETRIC_MODES)
+from frameledger.functions.numeric import clip, hash_long, normal, uniform, uniform_between
 from frameledger.operators import frames as K
 
 C = F.col
@@ -20,19 +20,6 @@ RGB = ("r", "g", "b")
 LUM = (LUM_R, LUM_G, LUM_B)
 
 
-def _set(px: DataFrame, values: dict[str, Column]) -> DataFrame:
-    return px.withColumns(values)
-
-
-def normalise(px: DataFrame) -> DataFrame:
-    return _set(px, {c: (C(c) / 255.0 - m) / s for c, m, s in zip(RGB, CHANNEL_MEAN, CHANNEL_STD)})
-
-
-def denormalise(px: DataFrame) -> DataFrame:
-    """Exact inverse, back to whole levels."""
-    return _set(px, {c: to_byte(C(c) * s + m) for c, m, s in zip(RGB, CHANNEL_MEAN, CHANNEL_STD)})
-
-
 # -- colour maps: 3x3 of columns or numbers, optional bias ------------------------------------
 
 def _col(v) -> Column:
@@ -71,14 +58,6 @@ def matmul(a, b) -> list[list[Column]]:
     return [[a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j] for j in range(3)] for i in range(3)]
 
 
-def apply_matrix(px: DataFrame, m, bias=None) -> DataFrame:
-    r, g, b = (C(c) for c in RGB)
-    out = {c: m[i][0] * r + m[i][1] * g + m[i][2] * b for i, c in enumerate(RGB)}
-    if bias is not None:
-        out = {c: v + bias[i] for (c, v), i in zip(out.items(), range(3))}
-    return _set(px, out)
-
-
 # -- jitter -------------------------------------------------------------------------------------
 
 def jitter_params(frames: DataFrame, seed, strength: float = 1.0, brightness: float = 0.4, contrast: float = 0.4,
@@ -188,15 +167,6 @@ def tone_value(v: Column, knots: list[Column]) -> Column:
 
 # -- geometry -----------------------------------------------------------------------------------
 
-def centre_crop_43(px: DataFrame, w: int, h: int) -> DataFrame:
-    """Width-only centre crop to 4:3, when wider."""
-    target = int(round(h * 4 / 3))
-    if w <= target:
-        return px
-    x0 = (w - target) // 2
-    return px.filter((C("x") >= x0) & (C("x") < x0 + target)).withColumn("x", C("x") - x0)
-
-
 def flip_box(box, w, when: Column) -> list[Column]:
     return [F.when(when, F.lit(w) - box[2]).otherwise(box[0]), box[1],
             F.when(when, F.lit(w) - box[0]).otherwise(box[2]), box[3]]
