@@ -490,6 +490,28 @@ def laplacian_variance(grey: np.ndarray) -> np.ndarray:
     return lap.var((1, 2))
 
 
+def orientation_features(grey: np.ndarray, cell: int = 8, bins: int = 9) -> np.ndarray:
+    """(n, block rows, block columns, 4 * bins): histograms of gradient orientation in cells of `cell` pixels, weighted between
+    the two nearest bins; blocks of 2 x 2 cells (by row, column and bin), scaled to length one, cut at 0.2 and scaled again."""
+    v = grey.astype(float) / 255.0
+    n, h, w = v.shape
+    gx, gy = np.zeros_like(v), np.zeros_like(v)
+    gx[:, :, 1:-1], gy[:, 1:-1] = v[:, :, 2:] - v[:, :, :-2], v[:, 2:] - v[:, :-2]
+    b = np.mod(np.degrees(np.arctan2(gy, gx)), 180.0) / (180.0 / bins) - 0.5
+    low, size = np.floor(b), np.hypot(gx, gy)
+    rows, cols = h // cell, w // cell
+    hist = np.zeros((n, rows, cols, bins))
+    place = np.broadcast_to(((np.arange(n)[:, None, None] * rows + np.arange(h)[None, :, None] // cell) * cols + np.arange(w)[None, None, :] // cell) * bins, v.shape)[:, : rows * cell, : cols * cell]
+    for k, weight in ((0, size * (1 - (b - low))), (1, size * (b - low))):
+        at = place + np.mod(low + k, bins).astype(int)[:, : rows * cell, : cols * cell]
+        hist += np.bincount(at.ravel(), weight[:, : rows * cell, : cols * cell].ravel(), hist.size).reshape(hist.shape)
+    block = np.concatenate([hist[:, y : rows - 1 + y, x : cols - 1 + x] for y in (0, 1) for x in (0, 1)], -1)
+    for cut in (0.2, None):
+        block = block / np.sqrt((block * block).sum(-1, keepdims=True) + 1e-6)
+        block = block if cut is None else np.minimum(block, cut)
+    return block
+
+
 def _slide(mask: np.ndarray, size: int, best, blank: int) -> np.ndarray:
     r = size // 2
     for axis in (2, 1):

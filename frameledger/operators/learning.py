@@ -2,49 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from frameledger.functions.numeric import mean_or_zero
 
 C = F.col
 
 
-def softmax(scores: DataFrame, key: str = "vec_id", z: str = "z") -> DataFrame:
-    """Class probabilities with the maximum shifted out (one row per class in each window)."""
-    w = W.partitionBy(key)
-    e = scores.withColumn("_e", F.exp(C(z) - F.max(z).over(w)))
-    return e.withColumn("p", C("_e") / F.sum("_e").over(w)).drop("_e")
+def class_scores(vectors: DataFrame, means: DataFrame, features: str, label: str, digits: int = 9) -> DataFrame:
+    """All class scores of a vector as one array `zs` (vector times class weights), beside its label `gt`.
+
+    `means` has (k, m): a row of weights for each class, so its size is that of the model, whatever the data; it is
+    gathered to one row and broadcast, and vectors are neither exploded nor moved.
+    """
+    model = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda r: r["m"]).alias("_w"))
+    dot = lambda w: F.round(F.aggregate(F.zip_with(features, w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, t: acc + t), digits)
+    return vectors.withColumn("gt", C(label)).crossJoin(F.broadcast(model)).withColumn("zs", F.transform("_w", dot)).drop("_w")
+
+
+def _exponents(zs: Column, top: Column) -> Column:
+    return F.transform(zs, lambda z: F.exp(z - top))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
-def predict(scores: DataFrame, key: str = "vec_id", k: str = "k", z: str = "z") -> DataFrame:
-    """Best class (first index on ties) and its probability, as one aggregate per row."""
-    best = F.min(F.struct((-C(z)).alias("o"), C(k).alias("pred"))).alias("b")
-    g = scores.groupBy(key).agg(F.first("gt").alias("gt"), best, F.collect_list(z).alias("zs"))
-    top = -C("b.o")
-    conf = F.lit(1.0) / F.aggregate(F.transform("zs", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
-    return g.select(key, "gt", C("b.pred").alias("pred"), conf.alias("conf"))
+def softmax(scored: DataFrame, zs: str = "zs") -> DataFrame:
+    """Class probabilities `ps` with the maximum shifted out."""
+    e = scored.withColumn("_e", _exponents(C(zs), F.array_max(zs)))
+    e = e.withColumn("_s", _total(C("_e")))
+    return e.withColumn("ps", F.transform("_e", lambda v: v / C("_s"))).drop("_e", "_s")
 
 
-def smoothed_cross_entropy(scores: DataFrame, smoothing: float = 0.05, key: str = "vec_id") -> DataFrame:
+def predict(scored: DataFrame, zs: str = "zs") -> DataFrame:
+    """Adds the best class `pred` (first index on ties) and its probability `conf`."""
+    top = F.array_max(zs)
+    return scored.withColumns({"pred": (F.array_position(zs, top) - 1).cast("int"), "conf": F.lit(1.0) / _total(_exponents(C(zs), top))})
+
+
+def smoothed_cross_entropy(scored: DataFrame, smoothing: float = 0.05, zs: str = "zs") -> DataFrame:
     """Mean cross-entropy against a smoothed one-hot target."""
-    w = W.partitionBy(key)
-    top = F.max("z").over(w)
-    s = (scores.withColumn("_top", top)
-         .withColumn("_lse", C("_top") + F.log(F.sum(F.exp(C("z") - C("_top"))).over(w))))
-    n = F.count(F.lit(1)).over(w)
-    target = F.when(C("k") == C("gt"), F.lit(1.0 - smoothing)).otherwise(F.lit(0.0)) + F.lit(smoothing) / n
-    terms = s.withColumn("_t", target * (C("_lse") - C("z")))
-    return terms.groupBy(key).agg(F.sum("_t").alias("loss")).agg(mean_or_zero(C("loss")).alias("cls"))
+    top = F.array_max(zs)
+    lse, n = top + F.log(_total(_exponents(C(zs), top))), F.size(zs)
+    own = lse - F.get(zs, C("gt"))
+    every = _total(F.transform(zs, lambda z: lse - z))
+    return scored.select((F.lit(1.0 - smoothing) * own + F.lit(smoothing) / n * every).alias("_l")).agg(mean_or_zero(C("_l")).alias("cls"))
 
 
-def standardised(long: DataFrame, pos: str = "pos", v: str = "v") -> DataFrame:
-    """Subtract the mean, divide by the population deviation + 1e-6, per dimension.
+def standardised(vectors: DataFrame, features: str, size: int) -> DataFrame:
+    """Subtract the mean, divide by the population deviation + 1e-6, per dimension of a `size`-long array.
 
-    Statistics are aggregated first (one row per dimension, a bounded table) and joined back;
-    a window per dimension would sort the whole data set into a few tasks.
+    One aggregate over all dimensions (a row of 2 x `size` numbers, broadcast); vectors are neither exploded nor moved.
     """
-    st = long.groupBy(pos).agg(F.avg(v).alias("_mu"), (F.stddev_pop(v) + F.lit(1e-6)).alias("_sd"))
-    return long.join(F.broadcast(st), pos).withColumn(v, (C(v) - C("_mu")) / C("_sd")).drop("_mu", "_sd")
+    at = [F.get(features, F.lit(i)).cast("double") for i in range(size)]
+    st = vectors.agg(F.array(*[F.avg(v) for v in at]).alias("_mu"), F.array(*[F.stddev_pop(v) + F.lit(1e-6) for v in at]).alias("_sd"))
+    scaled = F.zip_with(F.zip_with(features, "_mu", lambda v, m: v.cast("double") - m), "_sd", lambda v, s: v / s)
+    return vectors.crossJoin(F.broadcast(st)).withColumn(features, scaled).drop("_mu", "_sd")
 
 
 def gradient(vectors: DataFrame, features: str, label: str, n_classes: int) -> DataFrame:
@@ -76,45 +90,6 @@ def fit_multinomial(vectors: DataFrame, features: str, label: str, l2: float = 1
     return Pipeline(stages=[scale, model]).fit(vectors)
 
 
-def orientation_features(px: DataFrame, grey: Column, img_w: int, img_h: int, cell: int = 8, bins: int = 9) -> DataFrame:
-    """Gradient-orientation histogram, 2x2-cell blocks with clipped normalisation.
-
-    Long result (frame_id, block_y, block_x, i, f) with i ordered by (cell row, cell column, bin).
-    """
-    row = W.partitionBy("frame_id", "y").orderBy("x")
-    col = W.partitionBy("frame_id", "x").orderBy("y")
-    g = px.select("frame_id", "y", "x", (grey.cast("double") / 255.0).alias("v"))
-    zero = F.lit(0.0)
-    g = g.withColumn("gx", F.coalesce(F.lead("v").over(row) - F.lag("v").over(row), zero))
-    g = g.withColumn("gy", F.coalesce(F.lead("v").over(col) - F.lag("v").over(col), zero))
-    angle = F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(180.0))
-    b = angle / (180.0 / bins) - 0.5
-    low = F.floor(b)
-    n_y, n_x = img_h // cell, img_w // cell
-    cells = (g.withColumn("cy", F.floor(C("y") / cell).cast("int")).withColumn("cx", F.floor(C("x") / cell).cast("int"))
-             .filter((C("cy") < n_y) & (C("cx") < n_x))
-             .withColumn("mag", F.sqrt(C("gx") * C("gx") + C("gy") * C("gy")))
-             .withColumn("b", b).withColumn("frac", b - low)
-             .select("frame_id", "cy", "cx", F.explode(F.array(
-                 F.struct(F.pmod(low, F.lit(bins)).cast("int").alias("bin"), (C("mag") * (F.lit(1.0) - C("frac"))).alias("w")),
-                 F.struct(F.pmod(low + 1, F.lit(bins)).cast("int").alias("bin"), (C("mag") * C("frac")).alias("w")))).alias("s"))
-             .groupBy("frame_id", "cy", "cx").agg(*[F.sum(F.when(C("s.bin") == k, C("s.w")).otherwise(0.0)).alias(f"b{k}") for k in range(bins)]))
-    # Every cell belongs to up to four blocks.
-    blocks = (cells.withColumn("dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("dx", F.explode(F.array(F.lit(0), F.lit(1))))
-              .withColumn("block_y", C("cy") - C("dy")).withColumn("block_x", C("cx") - C("dx"))
-              .filter(C("block_y").between(0, n_y - 2) & C("block_x").between(0, n_x - 2))
-              .select("frame_id", "block_y", "block_x", (C("dy") * 2 + C("dx")).alias("part"),
-                      F.posexplode(F.array(*[C(f"b{k}") for k in range(bins)])).alias("bin", "v"))
-              .withColumn("i", C("part") * bins + C("bin")))
-    w = W.partitionBy("frame_id", "block_y", "block_x")
-
-    def unit(df):
-        return df.withColumn("v", C("v") / F.sqrt(F.sum(C("v") * C("v")).over(w) + F.lit(1e-6)))
-
-    once = unit(blocks).withColumn("v", F.least("v", F.lit(0.2)))
-    return unit(once).select("frame_id", "block_y", "block_x", "i", C("v").alias("f"))
-
-
 def crop_choice(box: list[Column], img_w: int, img_h: int) -> list[Column]:
     """Integer crop of a predicted box, clamped, at least 2 px; the whole frame when there is none."""
     x1, y1, x2, y2 = [F.bround(b).cast("int") for b in box]

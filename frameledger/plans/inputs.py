@@ -291,14 +291,11 @@ def centroids(spark, sf) -> DataFrame:
 
 
 def emb_scores(spark, sf) -> DataFrame:
-    """Vector times class mean. Means travel as one array per class, so vectors never explode."""
+    """Vector times class mean: all ten scores of a vector in one row."""
+    from frameledger.operators import learning
     means = centroids(spark, sf).groupBy("k").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("m"))
-    dot = F.aggregate(F.zip_with("embedding", "m", lambda a, b: a.cast("double") * b),
-                      F.lit(0.0), lambda acc, t: acc + t)
-    return (table(spark, sf, "embeddings").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(N_CLASSES - 1))))
-            .join(F.broadcast(means), "k")          # at most N_CLASSES rows
-            .select("vec_id", C("label").alias("gt"), "k", F.round(dot, 9).alias("z")))
+    return learning.class_scores(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), means, "embedding", "label").select("vec_id", "gt", "zs")
 
 
 def emb_pred(spark, sf) -> DataFrame:

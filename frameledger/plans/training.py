@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from frameledger.functions.numeric import flag
+from frameledger.operators import frames as K
 from frameledger.operators import learning, series
 from frameledger.plans import inputs as I
 from frameledger.plans.registry import query
@@ -19,7 +21,8 @@ def predict_class(spark, sf):
 
 @query("F10", "SELECT vec_id, k, round(exp(z-max(z) OVER w)/sum(exp(z)) OVER w*exp(max(z) OVER w),6) AS p FROM emb_scores WINDOW w AS (PARTITION BY vec_id)", "emb_scores")
 def softmax_rows(spark, sf):
-    return learning.softmax(I.emb_scores(spark, sf)).select("vec_id", "k", F.round("p", 6).alias("p"))
+    rows = learning.softmax(I.emb_scores(spark, sf)).select("vec_id", F.posexplode("ps").alias("k", "p"))
+    return rows.select("vec_id", "k", F.round("p", 6).alias("p"))
 
 
 @query("A25", "SELECT round(avg(l),6) AS cls FROM (SELECT vec_id, sum((CASE WHEN k=gt THEN 0.95e0 ELSE 0 END+0.05e0/10)*(lse-z)) AS l FROM (SELECT *, ln(sum(exp(z)) OVER (PARTITION BY vec_id)) AS lse FROM emb_scores) GROUP BY vec_id)", "emb_scores")
@@ -32,8 +35,9 @@ _STD = "(SELECT vec_id, label, pos, (v-avg(v) OVER w)/(stddev_pop(v) OVER w+1e-6
 
 @query("L3", f"SELECT vec_id, round(sum(v*(pos+1)),5) AS checksum, round(max(v),5) AS top FROM {_STD} GROUP BY vec_id", "emb")
 def standardise(spark, sf):
-    s = learning.standardised(I.emb(spark, sf))
-    return s.groupBy("vec_id").agg(F.round(F.sum(C("v") * (C("pos") + 1)), 5).alias("checksum"), F.round(F.max("v"), 5).alias("top"))
+    s = learning.standardised(I.table(spark, sf, "embeddings"), "embedding", 64)
+    weighed = F.aggregate(F.transform("embedding", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return s.select("vec_id", F.round(weighed, 5).alias("checksum"), F.round(F.array_max("embedding"), 5).alias("top"))
 
 
 @query("L4", """SELECT CAST(pos AS INT) AS pos, k, round(sum(v*(0.1e0-CASE WHEN label=k THEN 1 ELSE 0 END))/(SELECT count(*) FROM embeddings),6) AS g
@@ -80,8 +84,11 @@ SELECT frame_id, count(*) AS n, round(sum(f*(i+1)),4) AS checksum, round(max(f),
 
 @query("L1 F7", _hog_sql(), "px")
 def orientation_features(spark, sf):
-    f = learning.orientation_features(I.px(spark, sf), C("gt_v"), 16, 16)
-    return f.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(C("f") * (C("i") + 1)), 4).alias("checksum"), F.round(F.max("f"), 5).alias("top"))
+    def finish(f):
+        v = K.orientation_features(f.mask).reshape(len(f.ids), -1)
+        return {"frame_id": f.ids, "n": np.full(len(v), v.shape[1]), "checksum": K.rounded((v * np.arange(1, v.shape[1] + 1)).sum(1), 4), "top": K.rounded(v.max(1), 5)}
+
+    return K.over(I.image_rows(spark, sf, 16, 16).drop("rgb"), finish, "frame_id bigint, n bigint, checksum double, top double")
 
 
 @query("L2", """SELECT clip, frame, l_partkey, l_suppkey, CASE WHEN ok THEN x1 ELSE 0 END AS x1, CASE WHEN ok THEN y1 ELSE 0 END AS y1, CASE WHEN ok THEN x2 ELSE 200 END AS x2, CASE WHEN ok THEN y2 ELSE 120 END AS y2 FROM (
@@ -176,7 +183,6 @@ def continuous_percentiles(spark, sf):
 @query("L5 S13", "SELECT vec_id, gt, pred FROM emb_pred", "emb_pred")
 def batch_scoring(spark, sf):
     """A user model (class means as a matrix) applied to Arrow batches of vectors."""
-    import numpy as np
     from frameledger.operators import scoring
     means = sorted(I.centroids(spark, sf).collect(), key=lambda r: (r["k"], r["pos"]))     # classes x dimensions numbers
     weights = np.array([r["m"] for r in means]).reshape(10, -1)
