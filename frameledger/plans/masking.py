@@ -338,6 +338,17 @@ def ladder_pick(spark, sf):
     return picking.ladder_pick(I.cands(spark, sf), "frame_id", "rk", "frac").select("frame_id", "rk", "frac")
 
 
+@query("W6", """WITH l AS (SELECT rk-1 AS rk, t FROM (SELECT unnest([1,2,3,4,5]) AS rk, unnest([220,128,90,60,30]) AS t)),
+ m AS (SELECT frame_id, CAST(rk AS INT) AS rk, count(*) FILTER (WHERE gt_v>=t)/256e0 AS frac, min(x) FILTER (WHERE gt_v>=t) AS x1, max(y) FILTER (WHERE gt_v>=t)+1 AS y2 FROM px CROSS JOIN l GROUP BY 1,2)
+SELECT frame_id, rk, frac, x1, y2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY CASE WHEN frac BETWEEN 0.01 AND 0.075 THEN 0 ELSE 1 END,
+ CASE WHEN frac BETWEEN 0.01 AND 0.075 THEN 0 ELSE round(greatest(0.01e0-frac,0)+greatest(frac-0.075e0,0),9) END, rk) AS rn FROM m) WHERE rn=1""", "px")
+def proposed_masks(spark, sf):
+    """A backend proposes a ladder of masks for every frame; the first in the area band is taken, with its box."""
+    from frameledger.operators import scoring
+    cands = scoring.propose(I.image_rows(spark, sf, 16, 16).select("frame_id", "w", "h", "mask"), "levels").drop("mask")
+    return picking.ladder_pick(cands.withColumn("rk", F.struct("rk", "x1", "y2")), "frame_id", "rk", "frac").select("frame_id", "rk.rk", "frac", "rk.x1", "rk.y2")
+
+
 @query("W7", """SELECT frame_id, rk, frac FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY CASE WHEN frac<=0.075 THEN 0 ELSE 1 END, CASE WHEN frac<=0.075 THEN rk ELSE -rk END) AS rn FROM cands) WHERE rn=1""", "cands")
 def first_rung_below(spark, sf):
     return picking.first_below(I.cands(spark, sf), "frame_id", "rk", "frac")

@@ -185,3 +185,15 @@ def test_null_numbers_and_planes(spark):
     rows = spark.createDataFrame([(1, 2, 1, None, None), (2, 2, 1, bytearray(b"\x01\x02\x03\x04\x05\x06"), 3.0)], "frame_id long, w int, h int, rgb binary, v double")
     got = {r.frame_id: (r.s, r.v) for r in K.over(rows, lambda f: {"frame_id": f.ids, "s": f.rgb.astype(np.int64).sum((1, 2, 3)), "v": np.nan_to_num(f.p["v"], nan=-1.0)}, "frame_id bigint, s bigint, v double").collect()}
     assert got == {1: (0, -1.0), 2: (21, 3.0)}
+
+
+def test_proposers_by_name(spark, tiny):
+    from frameledger.operators import scoring
+
+    rows = inputs.image_rows(spark, tiny, 16, 16).filter("frame_id < 30")
+    with pytest.raises(ValueError, match="unknown backend"):
+        scoring.propose(rows, "segmenter")
+    own = {"halves": lambda f: np.stack([np.ones_like(f.mask, bool), np.zeros_like(f.mask, bool)], 1)}
+    got = scoring.propose(rows, "halves", own).collect()
+    assert {(r.rk, r.frac, r.x1, r.x2, len(r.mask)) for r in got} == {(0, 1.0, 0, 16, 256), (1, 0.0, None, None, 256)}
+    assert scoring.propose(rows, "skin").count() == 4 * rows.count()
