@@ -31,8 +31,10 @@ _FENCES = {"ul", "ol", "table", "div", "article", "section", "main", "body", "dl
 _PUNCTUATION = re.compile(r"[.,;:!?。，、]")
 
 
-def _marks(attributes: str) -> set[str]:
+def _marks(attributes: str) -> tuple[set[str], set[str]]:
+    """Words in class, id and role, and the whole names there."""
     words: set[str] = set()
+    names: set[str] = set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
@@ -40,7 +42,8 @@ def _marks(attributes: str) -> set[str]:
             words.add("\0hidden")
         elif name != "style":
             words.update(re.split(r"[^a-z]+", value))
-    return words
+            names.update(value.split())
+    return words, names
 
 
 def blocks(page: str) -> list[tuple[tuple, int, str]]:
@@ -50,7 +53,7 @@ def blocks(page: str) -> list[tuple[tuple, int, str]]:
     elements belong to their block. `p`, list and table items close by themselves, as in HTML.
     """
     out: list[tuple[tuple, int, str]] = []
-    stack: list[tuple[str, str, bool, int]] = []      # tag, path step, aside, serial
+    stack: list[tuple[str, str, int, int]] = []       # tag, path step, aside (2: surely, 1: by a part of a name), serial
     text: list[str] = []
     serial = 0
 
@@ -101,9 +104,14 @@ def blocks(page: str) -> list[tuple[tuple, int, str]]:
                     break
                 if stack[i][0] in _FENCES:
                     break
-        marks = _marks(m[4]) if m[4].strip() else set()
+        marks, names = _marks(m[4]) if m[4].strip() else (set(), set())
         inside = any(x[1].split(".")[0] in ("article", "main") for x in stack)
-        aside = tag in _ASIDE or tag == "header" and not inside or bool(marks & _ASIDE_WORDS) and tag not in ("body", "html", "article", "main") or "comment" in marks or "comments" in marks or "\0hidden" in marks
+        whole = tag in ("body", "html", "article", "main")
+
+        def says(found: set[str], whole: bool = whole) -> bool:
+            return bool(found & _ASIDE_WORDS) and not whole or bool(found & {"comment", "comments"})
+
+        aside = 2 if tag in _ASIDE or tag == "header" and not inside or "\0hidden" in marks or says(names) else 1 if says(marks) else 0
         serial += 1
         stack.append((tag, ".".join([tag, *sorted(marks - {"", "\0hidden"})]), aside, serial))
     if at < len(page):
@@ -120,10 +128,17 @@ def main_text(page: str, threshold: float = 0.5) -> str:
     their path, smoothed over their neighbours by a Gaussian; the fused score is the geometric mean of both. Paths
     whose score reaches `threshold` times the length-weighted mean are content. The element that holds all of them, or the
     article around it, is the main part: what stands in it and in no aside element (menus, adverts, forms, comments and the like) is kept, so
-    that headings and short paragraphs between content stay.
+    that headings and short paragraphs between content stay. A class that only has such a word in its name (`has-sidebar`,
+    `comments-open`) makes no aside of an element that holds four fifths of the text that is surely in none.
     """
-    every = blocks(page)
-    free = [b for b in every if not any(aside for _, aside, _ in b[0])]
+    some = [b for b in blocks(page) if not any(aside == 2 for _, aside, _ in b[0])]
+    held: dict[int, int] = {}
+    for b in some:
+        for _, aside, serial in b[0]:
+            if aside:
+                held[serial] = held.get(serial, 0) + len(b[2])
+    most = 0.8 * sum(len(b[2]) for b in some)
+    free = [b for b in some if not any(aside and held[serial] < most for _, aside, serial in b[0])]
     if not free:
         return ""
     paths = [tuple(step for step, _, _ in b[0]) for b in free]
@@ -161,7 +176,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars (code points).
 
     A null, empty or text-less page has the empty text. Repeated rows are kept, an empty table gives no rows,
-    further columns are not carried.
+    further columns are not carried. Very long pages are read whole, one at a time. Paths of equal scores are kept or left
+    together.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

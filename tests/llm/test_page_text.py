@@ -62,3 +62,18 @@ def test_odd_rows(spark):
     assert got == [(0, "u", 5), (2, "u", 0), (2, "u", 0), (3, "u", 299_999)]
     assert [r.text for r in extract(pages).where("url is null").collect()] == [""]
     assert extract(pages.limit(0)).count() == 0
+
+
+PROSE = [f"Paragraph {k} of the article, with commas, clauses and a full stop, runs on for a good while so that it counts as text." for k in range(5)]
+
+
+@pytest.mark.parametrize("opening, closing", [('<div class="content has-sidebar">', "</div>"), ('<body class="comments-open"><article>', "</article></body>"), ('<article class="post comment-status-open">', "</article>"),
+                                              ('<div id="page-header-fixed">', "</div>"), ('<div class="search-result">', "</div>")])
+def test_names_that_only_hold_a_word_drop_no_article(opening, closing):
+    page = f"<html><nav>Home About</nav>{opening}{''.join(f'<p>{p}</p>' for p in PROSE)}{closing}<div class='sidebar'>Links here</div></html>"
+    assert main_text(page) == "\n".join(PROSE)
+
+
+def test_whole_names_and_small_parts_still_go():
+    page = f"<main>{''.join(f'<p>{p}</p>' for p in PROSE)}<div class='comments'><p>{PROSE[0]} I agree.</p></div><div class='article-sidebar'><p>Read this too, and that, and more.</p></div></main>"
+    assert main_text(page) == "\n".join(PROSE)
