@@ -72,20 +72,18 @@ def grid(df: DataFrame, w: int, h: int) -> DataFrame:
             .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1)))))
 
 
-_TARGET_BYTES = 128 << 20       # per task after expansion
-_ROW_BYTES = 16                 # estimate of one narrow row before it
+_TARGET_BYTES = 32 << 20        # per task after expansion
 
 
 def placed(df: DataFrame, key: str, rows_per_row: int, row_bytes: int = 64) -> DataFrame:
     """Hash-place rows that are about to be expanded, sized for what they expand to.
 
-    Adaptive coalescing looks at the small rows before the expansion and would pack far too many
-    into one task, so the number of partitions is set from the expanded size instead.
+    Adaptive coalescing looks at the small rows before the expansion and would pack far too many into one task, so the
+    number of partitions is set from the expanded size instead. The rows are counted (for a Parquet table its footers
+    tell): the size of a compressed file says little about them.
     """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    expanded = size // _ROW_BYTES * rows_per_row * row_bytes
-    n = max(spark.sparkContext.defaultParallelism, expanded // _TARGET_BYTES + 1)
+    expanded = df.count() * rows_per_row * row_bytes
+    n = max(df.sparkSession.sparkContext.defaultParallelism, expanded // _TARGET_BYTES + 1)
     return df.repartition(int(n), key)
 
 
