@@ -46,9 +46,9 @@ def decode(peak: DataFrame, img_w: int, img_h: int) -> DataFrame:
 
 
 def gather_at(dense: DataFrame, cells: DataFrame, grid_w: int, value: str = "heat") -> DataFrame:
-    """Value at one flat cell index per frame."""
+    """Value at one flat cell index per frame. Each task holds the cells of its own frames: nothing is broadcast."""
     flat = dense.select("frame_id", (C("y") * grid_w + C("x")).alias("cell"), value)
-    return cells.join(flat, ["frame_id", "cell"])
+    return cells.hint("shuffle_hash").join(flat, ["frame_id", "cell"])
 
 
 def focal_loss(logit: Column, target: Column, alpha: float = 2.0, beta: float = 4.0) -> Column:

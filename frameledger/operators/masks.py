@@ -164,8 +164,11 @@ def otsu(px: DataFrame, value: str) -> DataFrame:
 
 
 def half_plane(px: DataFrame, landmarks: DataFrame, value: str) -> DataFrame:
-    """Clear the mask behind a wrist point; (dx, dy) points to the fingers. No axis: unchanged."""
-    j = px.join(landmarks, "frame_id", "left")
+    """Clear the mask behind a wrist point; (dx, dy) points to the fingers. No axis: unchanged.
+
+    Each task holds the landmarks of its own frames: they grow with the frames, so they are not broadcast.
+    """
+    j = px.join(landmarks.hint("shuffle_hash"), "frame_id", "left")
     forward = (C("x") - C("wx")) * C("dx") + (C("y") - C("wy")) * C("dy") >= 0
     short = F.sqrt(C("dx") * C("dx") + C("dy") * C("dy")) < 1e-6
     keep = C("wx").isNull() | short | forward
