@@ -84,9 +84,14 @@ def stream_deduplicate(spark, sf):
     return once.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sig").alias("n_sig"))
 
 
-@query("X6", """SELECT user_id AS clip, strftime(ts,'%Y-%m-%d') AS day, arg_max(event_id, value*1e7-event_id) AS event_id, max(value) AS sharp FROM events GROUP BY 1,2""")
+# The sharpest row of a clip and day; of equally sharp ones that with the least id.
+_BEST_PER_DAY = """SELECT clip, day, event_id, sharp FROM (SELECT user_id AS clip, strftime(ts,'%Y-%m-%d') AS day, event_id, value AS sharp,
+  row_number() OVER (PARTITION BY user_id, strftime(ts,'%Y-%m-%d') ORDER BY value DESC NULLS LAST, event_id) AS rn FROM events) WHERE rn=1"""
+
+
+@query("X6", _BEST_PER_DAY)
 def stream_best_per_day(spark, sf):
-    """Best frame per clip and day (state: one row per clip and open day)."""
+    """Best frame per clip and day, the least id of equally sharp ones (state: one row per clip and open day)."""
     day = F.to_date("ts").alias("day")
     ev = _events(spark, sf).select(C("user_id").alias("clip"), day, "event_id", C("value").alias("sharp"))
     best = ev.groupBy("clip", "day").agg(F.max_by("event_id", F.struct(C("sharp"), -C("event_id"))).alias("event_id"), F.max("sharp").alias("sharp"))
@@ -104,7 +109,7 @@ def stream_late_rows(spark, sf):
     return A.late_rows(*_windowed(spark, sf))
 
 
-@query("X6", """SELECT user_id AS clip, strftime(ts,'%Y-%m-%d') AS day, arg_max(event_id, value*1e7-event_id) AS event_id, max(value) AS sharp FROM events GROUP BY 1,2""")
+@query("X6", _BEST_PER_DAY)
 def stream_best_windowed(spark, sf):
     """The same with a watermark: closed days are final, emitted once and forgotten; the last ones close with the run."""
     return _windowed(spark, sf)[0].select("clip", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "event_id", "sharp")

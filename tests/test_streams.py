@@ -1,9 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from frameledger.operators import metrics, series
-from frameledger.plans import streams
+from frameledger.plans import CHECKS, QUERIES, streams
 from frameledger.sources.durable import scratch_path
 from frameledger.streaming import accumulators as A
 
@@ -32,6 +33,23 @@ def test_windowed_best_is_whole(spark, tiny):
     assert exact.exceptAll(whole).count() == whole.exceptAll(exact).count() == 0
 
 
+@pytest.mark.parametrize("name", ["stream_best_per_day", "stream_best_windowed"])
+def test_best_of_large_ids_matches_sql(spark, tmp_path, name):
+    """Ids far above the steps of the values: the sharpest row wins, then the least id."""
+    rows = [(k * 3_000_000_000 + i, f"2024-01-0{1 + i % 3} 05:00:00", i % 2, round(7.0 + k * 0.01 + (i % 5 == k) * 0.01, 2) if i else None) for k in range(4) for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    best = {}
+    for e, ts, u, v in rows:
+        if v is not None:
+            best.setdefault((u, ts[:10]), []).append((-v, e))
+    want = sorted((*k, min(v)[1], -min(v)[0]) for k, v in best.items())
+    cols = ("clip", "day", "event_id", "sharp")
+    assert sorted(tuple(r[c] for c in cols) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+    assert sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({CHECKS[name]})").fetchall()) == want
+
+
 def folder(spark, steps):
     """One file a step, in order of time, as a stream source of one file a batch."""
     path = scratch_path(spark, "steps")
