@@ -222,27 +222,28 @@ def components_by_joins(px: DataFrame, on: Column) -> DataFrame:
 
     Every round takes the least label of the neighbours and then jumps to that label's own label,
     so the number of rounds grows with the logarithm of the longest chain. Each round is cut with
-    a reliable checkpoint; the loop ends when no label changes.
+    a reliable checkpoint; the loop ends when no label changes. All joins are sort-merge joins: both
+    sides grow with the pixels, whatever size is expected of them, and none goes through the driver.
     """
     node = C("y").cast("long") * _ROW + C("x1")
     runs = cut_lineage(runs_of(px, on).withColumn("id", node))
     a = runs.select("frame_id", (C("y") + 1).alias("y"), C("id").alias("src"), C("x1").alias("a1"), C("x2").alias("a2"))
-    down = (a.join(runs.select("frame_id", "y", C("id").alias("dst"), "x1", "x2"), ["frame_id", "y"])
+    down = (a.join(runs.select("frame_id", "y", C("id").alias("dst"), "x1", "x2").hint("merge"), ["frame_id", "y"])
             .filter((C("x1") <= C("a2") + 1) & (C("x2") >= C("a1") - 1)).select("frame_id", "src", "dst"))
     edges = cut_lineage(down.unionByName(down.select("frame_id", C("dst").alias("src"), C("src").alias("dst"))))
     label = runs.select("frame_id", "id", C("id").alias("label"))
     while True:
         seen = label.select("frame_id", C("id").alias("src"), C("label").alias("other"))
-        near = edges.join(seen, ["frame_id", "src"]).groupBy("frame_id", C("dst").alias("id")).agg(F.min("other").alias("other"))
-        low = (label.join(near, ["frame_id", "id"], "left")
+        near = edges.join(seen.hint("merge"), ["frame_id", "src"]).groupBy("frame_id", C("dst").alias("id")).agg(F.min("other").alias("other"))
+        low = (label.join(near.hint("merge"), ["frame_id", "id"], "left")
                .select("frame_id", "id", "label", F.least("label", F.coalesce("other", "label")).alias("low")))
         jump = low.select("frame_id", C("id").alias("low"), C("low").alias("far"))
-        step = cut_lineage(low.join(jump, ["frame_id", "low"]).select("frame_id", "id", "label", F.least("low", "far").alias("next")))
+        step = cut_lineage(low.join(jump.hint("merge"), ["frame_id", "low"]).select("frame_id", "id", "label", F.least("low", "far").alias("next")))
         moved = step.filter("label <> next").limit(1).count()
         label = step.select("frame_id", "id", C("next").alias("label"))
         if moved == 0:
             break
-    return _component_boxes(runs.join(label, ["frame_id", "id"]))
+    return _component_boxes(runs.join(label.hint("merge"), ["frame_id", "id"]))
 
 
 def component_summary(comp: DataFrame, n_px: int) -> DataFrame:

@@ -1,7 +1,9 @@
 """Rows that are expanded are placed by what they expand to, however small their file is."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from frameledger.operators import masks
 from frameledger.plans import QUERIES
 from frameledger.plans import inputs as I
 
@@ -25,3 +27,19 @@ def test_a_small_file_of_many_frames_is_spread(spark, folder):
 def test_one_row_a_frame_is_joined_in_its_task(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_no_join_of_components_goes_through_the_driver(spark, folder, monkeypatch):
+    """Pixels that come from a small file are expected to be few; still no table of them is broadcast."""
+    plans, cut = [], masks.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(masks, "cut_lineage", noted)
+    px = I.grid(I.table(spark, folder, "part").where("p_partkey < 500").selectExpr("p_partkey AS frame_id"), 4, 4)
+    out = masks.components_by_joins(px, (F.col("frame_id") + F.col("x") * 3 + F.col("y")) % 4 < 2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.select("frame_id").distinct().count() == 500
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
