@@ -111,10 +111,10 @@ def normalise_round_trip(spark, sf):
 
 @query("I2 I3 I4 I9", _means_sql(_each_sql(_affine_sql(_affine_sql(_UNIT, _sat_sql("0.6e0+(frame_id%8)/10e0")), _hue_sql("((frame_id%11)-5)/100e0")), _CLIP)), "rgb")
 def colour_matrices(spark, sf):
-    """Saturation then hue, composed per frame and applied once."""
-    rows = images.store_matrix(I.image_rows(spark, sf), "m", images.matmul(
-        images.hue_matrix((C("frame_id") % 11 - 5) / 100.0), images.saturation_matrix(F.lit(0.6) + (C("frame_id") % 8) / 10.0)))
-    return _weighted(rows, K.to_unit, K.colour_map("m"))
+    """Saturation then hue, one after the other in the SQL's order of sums: some means lie exactly on the edge of rounding."""
+    rows = images.store_matrix(I.image_rows(spark, sf), "s", images.saturation_matrix(F.lit(0.6) + (C("frame_id") % 8) / 10.0))
+    rows = images.store_matrix(rows, "h", images.hue_matrix((C("frame_id") % 11 - 5) / 100.0))
+    return K.applied(rows, K.to_unit, K.colour_maps_in_turn("s", "h"), finish=K.weighted_in_turn, schema=K.WEIGHTED)
 
 
 def _jitter_sql():

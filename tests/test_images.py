@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 from frameledger.constants import CAMERA_STAGES
 from frameledger.operators import frames as K
 from frameledger.operators import images
-from frameledger.plans import inputs
+from frameledger.plans import CHECKS, QUERIES, inputs
 
 C = F.col
 
@@ -197,3 +198,12 @@ def test_proposers_by_name(spark, tiny):
     got = scoring.propose(rows, "halves", own).collect()
     assert {(r.rk, r.frac, r.x1, r.x2, len(r.mask)) for r in got} == {(0, 1.0, 0, 16, 256), (1, 0.0, None, None, 256)}
     assert scoring.propose(rows, "skin").count() == 4 * rows.count()
+
+
+def test_means_on_the_edge_of_rounding_match_sql(spark, tmp_path):
+    """Means of these frames end exactly in half a unit of the fifth digit."""
+    spark.read.parquet("/root/testdata/sf0.01/part.parquet").where("p_partkey IN (313, 467, 1611)").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(f"SELECT frame_id, r, g, b FROM ({CHECKS['colour_matrices']}) ORDER BY frame_id").fetchall()
+    assert [tuple(r) for r in QUERIES["colour_matrices"](spark, str(tmp_path)).select("frame_id", "r", "g", "b").orderBy("frame_id").collect()] == want
