@@ -19,7 +19,7 @@ from frameledger.constants import (
     LUM_B, LUM_G, LUM_R, SHIFT_AMOUNT, SHIFT_RADIUS, SHIFT_SATURATION, SHIFT_SIGMA, SHIFT_TONE_X, SHIFT_TONE_Y)
 
 LUM = np.array([LUM_R, LUM_G, LUM_B])
-_PIXELS = 1 << 19
+_PIXELS = 1 << 17                # of a slice: what kernels hold follows this, not the rows of a task
 
 
 @dataclass

@@ -108,7 +108,7 @@ def image_rows(spark, sf, w: int = 8, h: int = 8, **extra: Column) -> DataFrame:
 
     def draw(batches):
         for batch in batches:
-            step = max(1, (1 << 20) // (w * h))
+            step = max(1, (1 << 16) // (w * h))
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
                 f, s = (part.column(c).to_numpy().astype(np.int64)[:, None, None] for c in ("frame_id", "p_size"))

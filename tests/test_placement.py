@@ -1,9 +1,10 @@
 """Rows that are expanded are placed by what they expand to, however small their file is."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameledger.operators import masks
+from frameledger.operators import frames, masks
 from frameledger.plans import QUERIES
 from frameledger.plans import inputs as I
 
@@ -43,3 +44,13 @@ def test_no_join_of_components_goes_through_the_driver(spark, folder, monkeypatc
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.select("frame_id").distinct().count() == 500
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_slices_of_frames_do_not_grow_with_the_rows_of_a_task(spark, folder):
+    """What the kernels of orientation_features, skin_bands and camera_policy hold follows from the pixels of a slice."""
+    def size(f):
+        return {"frame_id": f.ids, "n_px": np.full(len(f.ids), len(f.ids) * f.w * f.h)}
+
+    for side in (8, 16):
+        got = frames.over(I.image_rows(spark, folder, side, side).coalesce(1), size, "frame_id bigint, n_px bigint").agg(F.max("n_px"), F.count("*")).first()
+        assert got[0] <= 1 << 17 and got[1] == FRAMES
