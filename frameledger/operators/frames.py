@@ -561,25 +561,24 @@ def closed(mask: np.ndarray, size: int) -> np.ndarray:
 COMPONENTS = "frame_id bigint, label bigint, area bigint, x1 int, y1 int, x2 int, y2 int"
 
 
-def components(ids: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
-    """8-connected components of (n, h, w) foregrounds: one row each with label, area and box (open ends).
+def run_roots(line: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """For runs [x1, x2] sorted by line and place, the first run that each hangs together with, corners included.
 
-    Horizontal runs are the nodes; runs of neighbouring rows that touch are linked, and labels fall to the smallest by
-    rounds of hooking and pointer jumping over all frames at once. A label is the place (y * w + x) of the first pixel.
+    Runs of neighbouring lines that touch are linked, and labels fall to the smallest by rounds of hooking and pointer
+    jumping over all runs at once.
     """
-    n, h, w = on.shape
-    edge = np.diff(np.pad(on, ((0, 0), (0, 0), (1, 1))).astype(np.int8), axis=2).reshape(n * h, w + 1)
-    line, x1 = np.nonzero(edge == 1)
-    x2 = np.nonzero(edge == -1)[1] - 1
-    stride = w + 3                                                     # no run reaches into the next line
+    root = np.arange(len(line))
+    if not len(line):
+        return root
+    least = int(x1.min())
+    stride = int(x2.max()) - least + 4                                 # no run reaches into the next line
+    x1, x2 = x1 - least, x2 - least
     start, end = line * stride + x1 + 1, line * stride + x2 + 1
-    below = np.where(line % h < h - 1, (line + 1) * stride, -1)
-    lo = np.searchsorted(end, below + x1)
-    hi = np.where(below >= 0, np.searchsorted(start, below + x2 + 2, "right"), lo)
+    lo = np.searchsorted(end, (line + 1) * stride + x1)
+    hi = np.searchsorted(start, (line + 1) * stride + x2 + 2, "right")
     many = np.maximum(hi - lo, 0)
     a = np.repeat(np.arange(len(line)), many)
     b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-    root = np.arange(len(line))
     while True:
         least = np.minimum(root[a], root[b])
         new = root.copy()
@@ -588,8 +587,20 @@ def components(ids: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
         while not (new[new] == new).all():
             new = new[new]
         if (new == root).all():
-            break
+            return root
         root = new
+
+
+def components(ids: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
+    """8-connected components of (n, h, w) foregrounds: one row each with label, area and box (open ends).
+
+    Horizontal runs are the nodes, linked by `run_roots`. A label is the place (y * w + x) of the first pixel.
+    """
+    n, h, w = on.shape
+    edge = np.diff(np.pad(on, ((0, 0), (0, 0), (1, 1))).astype(np.int8), axis=2).reshape(n * h, w + 1)
+    line, x1 = np.nonzero(edge == 1)
+    x2 = np.nonzero(edge == -1)[1] - 1
+    root = run_roots(line + line // h, x1, x2)                         # an empty line between frames
     heads, of = np.unique(root, return_inverse=True)
 
     def fold(best, values, first):

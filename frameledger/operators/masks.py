@@ -6,12 +6,17 @@ frame_id is never shuffled again, and no group is larger than one image.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from frameledger.constants import (
     AREA_HI, AREA_LO, AREA_PCT_P05, AREA_PCT_P95, ASPECT_HI, ASPECT_LO, CENTRE_HI, CENTRE_LO,
     MASK_THRESHOLD, MIN_COMPONENT, MIN_FILL, PRIOR_CENTRE)
-from frameledger.sources.durable import cut_lineage
+from frameledger.operators.frames import run_roots
+from frameledger.sources.durable import cut_lineage, stored
 
 C = F.col
 
@@ -199,51 +204,96 @@ def resize_mask(px: DataFrame, value: str, factor: int) -> DataFrame:
 
 
 def runs_of(px: DataFrame, on: Column) -> DataFrame:
-    """Horizontal foreground runs: (frame_id, y, x1, x2 inclusive, n). The nodes of `components_by_joins`."""
+    """Horizontal foreground runs: (frame_id, y, x1, x2 inclusive, n). `components_by_joins` labels them."""
     fg = px.filter(on).select("frame_id", "y", "x")
     tagged = fg.withColumn("g", C("x") - F.row_number().over(along_row()))
     return (tagged.groupBy("frame_id", "y", "g").agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.count(F.lit(1)).alias("n"))
             .drop("g"))
 
 
-_ROW = 1 << 32                  # node id = y * _ROW + x1: apart for any whole-number places
+_ROW = 1 << 32                  # label = y * _ROW + x1: apart for any whole-number places
 
 
 def _component_boxes(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("frame_id", "label").agg(
-        F.sum("n").alias("area"), F.min("x1").alias("x1"), F.min("y").alias("y1"),
-        (F.max("x2") + 1).alias("x2"), (F.max("y") + 1).alias("y2"))
+    return labelled.groupBy("frame_id", "label").agg(F.sum("area").alias("area"), *[best(c).alias(c) for best, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))])
+
+
+def _band_parts(band: int):
+    """A function over bands of images (rows of `runs`) that gives their parts: what hangs together within the band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("runs")
+            y, x1, x2 = (held.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            row = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((x1, y, row))
+            y, x1, x2, row = y[order], x1[order], x2[order], row[order]
+            place = y % band
+            root = run_roots(row * (band + 1) + place, x1, x2)             # an empty line between bands
+            order = np.argsort(root, kind="stable")
+            heads, begin = np.unique(root[order], return_index=True)
+
+            def fold(best, values):
+                return pa.array(best.reduceat(values[order], begin) if len(begin) else values)
+
+            edge = order[(place[order] == 0) | (place[order] == band - 1)]
+            ends = np.searchsorted(root[edge], np.append(heads, len(root))).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(v[edge]) for v in (y, x1, x2)], names=["y", "x1", "x2"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("frame_id").take(pa.array(row[heads])), pa.array(y[heads] * _ROW + x1[heads]), fold(np.add, x2 - x1 + 1), fold(np.minimum, x1), fold(np.minimum, y),
+                 fold(np.maximum, x2 + 1), fold(np.maximum, y + 1), pa.ListArray.from_arrays(pa.array(ends), runs)],
+                names=["frame_id", "label", "area", "x1", "y1", "x2", "y2", "edge"])
+
+    return run
 
 
-def components_by_joins(px: DataFrame, on: Column) -> DataFrame:
-    """8-connected components for images too large for one task (others: frames.components): labels spread by joins.
+def components_by_joins(px: DataFrame, on: Column, band: int = 64) -> DataFrame:
+    """8-connected components for images too large for one task (others: frames.components).
 
     One row per component with label (of its first run in reading order), area and box.
 
-    Every round takes the least label of the neighbours and then jumps to that label's own label,
-    so the number of rounds grows with the logarithm of the longest chain. Each round is cut with
-    a reliable checkpoint; the loop ends when no label changes. All joins are sort-merge joins: both
-    sides grow with the pixels, whatever size is expected of them, and none goes through the driver.
+    An image is cut into bands of `band` rows. What hangs together within a band is found in its task and stored as one row, a
+    part; neither pixels nor runs are stored. Parts that reach a band's first or last row are joined with those of the next
+    band, and labels spread over what touches: every round takes the least label of the neighbours, hands it to the node that
+    named it until then, and jumps to that label's own label, so the number of rounds grows with the logarithm of the longest chain of parts. Each round is cut with
+    a reliable checkpoint; the loop ends when no label changes. All joins are sort-merge joins: both sides grow with the
+    images, whatever size is expected of them, and none goes through the driver.
     """
-    node = C("y").cast("long") * _ROW + C("x1")
-    runs = cut_lineage(runs_of(px, on).withColumn("id", node))
-    a = runs.select("frame_id", (C("y") + 1).alias("y"), C("id").alias("src"), C("x1").alias("a1"), C("x2").alias("a2"))
-    down = (a.join(runs.select("frame_id", "y", C("id").alias("dst"), "x1", "x2").hint("merge"), ["frame_id", "y"])
-            .filter((C("x1") <= C("a2") + 1) & (C("x2") >= C("a1") - 1)).select("frame_id", "src", "dst"))
+    kinds = dict(px.dtypes)
+    place = [C(c).cast("long").alias(c) for c in ("y", "x1", "x2")]
+    bands = (runs_of(px.dropna(subset=["frame_id", "y", "x"]), on).groupBy("frame_id", F.floor((C("y") - F.pmod("y", F.lit(band))) / band).alias("band"))
+             .agg(F.collect_list(F.struct(*place)).alias("runs")).select("frame_id", "runs"))
+    parts = stored(bands.mapInArrow(_band_parts(band), f"frame_id {kinds['frame_id']}, label bigint, area bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, edge array<struct<y: bigint, x1: bigint, x2: bigint>>"), "mask-parts")
+    parts = parts.withColumns({c: C(c).cast(kinds[c[0]]) for c in ("x1", "y1", "x2", "y2")})
+    inner, outer = parts.where("size(edge) = 0").drop("edge"), parts.where("size(edge) > 0")
+    reach = outer.select("frame_id", "label", F.explode("edge").alias("e")).select("frame_id", "label", "e.*")
+    a = reach.where(F.pmod("y", F.lit(band)) == band - 1).select("frame_id", (C("y") + 1).alias("y"), C("label").alias("src"), C("x1").alias("a1"), C("x2").alias("a2"))
+    b = reach.where(F.pmod("y", F.lit(band)) == 0).select("frame_id", "y", C("label").alias("dst"), "x1", "x2")
+    down = (a.join(b.hint("merge"), ["frame_id", "y"])
+            .filter((C("x1") <= C("a2") + 1) & (C("x2") >= C("a1") - 1)).select("frame_id", "src", "dst").distinct())
     edges = cut_lineage(down.unionByName(down.select("frame_id", C("dst").alias("src"), C("src").alias("dst"))))
-    label = runs.select("frame_id", "id", C("id").alias("label"))
+    label = cut_lineage(edges.select("frame_id", C("src").alias("id")).distinct().withColumn("label", C("id")))
+    rounds = 0
     while True:
         seen = label.select("frame_id", C("id").alias("src"), C("label").alias("other"))
         near = edges.join(seen.hint("merge"), ["frame_id", "src"]).groupBy("frame_id", C("dst").alias("id")).agg(F.min("other").alias("other"))
         low = (label.join(near.hint("merge"), ["frame_id", "id"], "left")
                .select("frame_id", "id", "label", F.least("label", F.coalesce("other", "label")).alias("low")))
-        jump = low.select("frame_id", C("id").alias("low"), C("low").alias("far"))
-        step = cut_lineage(low.join(jump.hint("merge"), ["frame_id", "low"]).select("frame_id", "id", "label", F.least("low", "far").alias("next")))
+        # What a node has found holds for its label too.
+        up = (low.unionByName(low.select("frame_id", C("label").alias("id"), F.lit(None).cast("long").alias("label"), "low"))
+              .groupBy("frame_id", "id").agg(F.max("label").alias("label"), F.min("low").alias("low")))
+        jump = up.select("frame_id", C("id").alias("low"), C("low").alias("far"))
+        step = cut_lineage(up.join(jump.hint("merge"), ["frame_id", "low"]).select("frame_id", "id", "label", F.least("low", "far").alias("next")))
         moved = step.filter("label <> next").limit(1).count()
         label = step.select("frame_id", "id", C("next").alias("label"))
         if moved == 0:
             break
-    return _component_boxes(runs.join(label.hint("merge"), ["frame_id", "id"]))
+        rounds += 1
+        if rounds % 4 == 0:                 # a checkpoint keeps the expected size, which multiplies with every join
+            label = stored(label, "mask-labels")
+    first = label.select("frame_id", C("id").alias("label"), C("label").alias("first"))
+    named = outer.drop("edge").join(first.hint("merge"), ["frame_id", "label"], "left").withColumn("label", F.coalesce("first", "label")).drop("first")
+    return inner.unionByName(_component_boxes(named))
 
 
 def component_summary(comp: DataFrame, n_px: int) -> DataFrame:

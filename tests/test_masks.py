@@ -85,6 +85,25 @@ def test_components_match_flood_fill(spark):
         assert images[i][label // 17, label % 17] and y1 == label // 17 and (images[i][y1:y2, x1:x2] > 0).any((0, 1))
 
 
+def test_parts_of_bands_are_joined(spark):
+    """Labels, areas and boxes do not depend on the bands that an image is cut into, nor on where its rows are counted from."""
+    rng = np.random.default_rng(8)
+    images = {i: (rng.random((21, 19)) < d) * 255 for i, d in enumerate((0.2, 0.4, 0.5, 0.6, 0.0, 1.0))}
+    comb = np.zeros((21, 19), int)
+    comb[:, ::2] = 255
+    comb[20, :] = 255
+    spiral = np.zeros((21, 19), int)
+    for k in range(0, 10, 2):
+        spiral[k, max(k - 1, 0) : 19 - k] = spiral[k : 21 - k, 18 - k] = spiral[20 - k, k : 19 - k] = spiral[k + 2 : 21 - k, k] = 255
+    images.update({6: comb, 7: spiral})
+    found = frames.components(np.array(list(images)), np.stack([m > 0 for m in images.values()]))
+    want = sorted(zip(found["frame_id"].tolist(), *(found[c].tolist() for c in ("area", "x1", "y1", "x2", "y2")), (found["label"] // 19).tolist(), (found["label"] % 19).tolist()))
+    for band, up in ((1, 0), (4, 9), (64, 0)):
+        px = pixels(spark, images).withColumn("y", F.col("y") - up)
+        got = [(r.frame_id, r.area, r.x1, r.y1 + up, r.x2, r.y2 + up, (r.label >> 32) + up, r.label & 0xFFFFFFFF) for r in masks.components_by_joins(px, masks.foreground("v"), band).collect()]
+        assert sorted(got) == want
+
+
 def test_otsu_separates_two_levels(spark):
     rng = np.random.default_rng(0)
     im = rng.integers(0, 256, (12, 12))

@@ -1,5 +1,7 @@
 """Rows that are expanded are placed by what they expand to, however small their file is."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from frameledger.operators import frames, masks
 from frameledger.plans import QUERIES
 from frameledger.plans import inputs as I
+from frameledger.sources.durable import shared_root
 
 FRAMES = 60_000
 
@@ -46,6 +49,19 @@ def test_no_join_of_components_goes_through_the_driver(spark, folder, monkeypatc
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
 
 
+def test_components_store_parts_and_neither_runs_nor_pixels(spark, folder):
+    """The shared folder gets a few bytes a frame, however many runs its mask has and however many rounds there are."""
+    def size():
+        root = shared_root(spark).removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+
+    before, frames = size(), 3000
+    px = I.grid(I.table(spark, folder, "part").where(f"p_partkey < {frames}").selectExpr("p_partkey AS frame_id"), 16, 16)
+    out = masks.components_by_joins(px, (F.col("frame_id") + F.col("x") * 3 + F.col("y") * 5) % 7 < 4)
+    assert out.select("frame_id").distinct().count() == frames
+    assert size() - before < 400 * frames
+
+
 def test_slices_of_frames_do_not_grow_with_the_rows_of_a_task(spark, folder):
     """What the kernels of orientation_features, skin_bands and camera_policy hold follows from the pixels of a slice."""
     def size(f):
